@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Python workers get this package's functions with their tasks and need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
 #: ASCII white space of the word contracts: space and \t \n \v \f \r.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality
+from . import decontaminate, language, mixing, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_language": language.op2_language,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_shard": sharding.op7_shard,
+    "op8_tokens": tokens.op8_tokens,
+    "op9_mix_sources": mixing.op9_mix_sources,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op9_mix_sources": mixing.OP9_SQL,
 }
