@@ -1,14 +1,61 @@
-"""The corpus pipeline: stages over ``documents``, each one operator."""
+"""The corpus pipeline: stages over ``documents``, each by one operator.
+
+Every stage works on all that the one before it kept; the last adds the shard and the
+position in it. ``ORACLE_SQL`` is None: the toxicity stage is a trained classifier,
+which SQL cannot express; ``tests/llm`` hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from metalith.llm import decontaminate, jaccard, mixing, sharding
+from metalith.llm import toxicity as tox
+from metalith.llm.common import read, stored
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    """Apply all stages to the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the threshold stay."""
+    model = tox.model_of(spark, sf_dir)
+    return tox.scored(docs, model, name="_toxicity").where(F.col("_toxicity") < tox.THRESHOLD).drop("_toxicity")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five words, similarity 0.8."""
+    return jaccard.one_of_each(docs, words=5, percent=80)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), "documents")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their size, shard and slot."""
+    out = sharding.shards(docs)
+    return out.select(*docs.columns, F.col("_size").alias("size"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", near_copies),
+    ("decontamination", benchmark),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each written and read again but the last."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

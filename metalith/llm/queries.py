@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, quality, sharding, tokens, toxicity
+from . import decontaminate, jaccard, language, mixing, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -12,9 +12,11 @@ QUERIES = {
     "op7_shard": sharding.op7_shard,
     "op8_tokens": tokens.op8_tokens,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_ngram_join": jaccard.op10_ngram_join,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
+    "op10_ngram_join": jaccard.OP10_SQL,
 }
