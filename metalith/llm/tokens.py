@@ -19,6 +19,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -30,11 +33,11 @@ from pyspark.sql import functions as F
 from .common import new_path, read, removed
 
 SCALE = 18
-LANES = 512
+LANES = 2048
 LOW = np.uint64(1 << 31)
 #: A block is closed at the first document end after so many ids.
-BLOCK = 1 << 17
-CHECKPOINT_STEPS = 128
+BLOCK = 1 << 18
+CHECKPOINT_STEPS = 64
 END = 0
 TEXTS = 128
 NO_ID = -(1 << 63)
@@ -68,22 +71,22 @@ class Coder:
         self.slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
         self.rank = np.zeros(int(symbols.max()) + 1 if len(symbols) else 1, dtype=np.uint32)
         self.rank[symbols] = np.arange(len(symbols), dtype=np.uint32)
-        self.limit = ((LOW >> self.scale) << np.uint64(32)) * self.freq
 
     def encode(self, ids: np.ndarray, lanes: int = LANES, every: int = CHECKPOINT_STEPS):
         """``(words, checkpoints)``; a checkpoint is (step, word position, states)."""
         lanes = max(1, min(lanes, len(ids)))
         steps = -(-len(ids) // lanes)
         r = self.rank[np.append(ids, np.repeat(ids[:1], steps * lanes - len(ids)))].reshape(steps, lanes)
+        freq, start = self.freq[r], self.start[r]
+        limit = freq * ((LOW >> self.scale) << np.uint64(32))
         x, groups, marks = np.full(lanes, LOW), [None] * steps, {}
         for t in range(steps - 1, -1, -1):
-            s = r[t]
-            f = self.freq[s]
-            over = x >= self.limit[s]
+            f = freq[t]
+            over = x >= limit[t]
             groups[t] = (x[over] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             x = np.where(over, x >> np.uint64(32), x)
             q = x // f
-            x = (q << self.scale) + (x - q * f) + self.start[s]
+            x = (q << self.scale) + (x - q * f) + start[t]
             if t % every == 0:
                 marks[t] = x.copy()
         at = np.cumsum([0] + [len(g) for g in groups])
@@ -144,16 +147,61 @@ def read_block(coder: Coder, data: bytes, first_mark: int = 0):
 
 # -- files --------------------------------------------------------------------------------------
 
-_TOKENIZERS: dict[str, object] = {}
+#: Most pieces of text whose ids a Python worker remembers (about 200 bytes each).
+PIECES = 1_000_000
+#: A space between two visible characters always begins a new piece of a byte-level tokenizer.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_ODD = re.compile(r"\s\s|^\s|\s$|\0")
 
 
-def tokenizer(path: str):
-    if path not in _TOKENIZERS:
+class Tokens:
+    """Ids of whole texts by the tokenizers library.
+
+    A byte-level tokenizer looks at each word with the space before it on its own, so a
+    text is cut at single spaces, each distinct piece is encoded once by the library and
+    remembered, and a text's ids are its pieces' ids in a row. Texts that hold one of
+    the tokenizer's added tokens are encoded whole, as are all texts of other tokenizers."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
+        self.encoder = Tokenizer.from_file(path)
+        self.added = [x.content for x in self.encoder.get_added_tokens_decoder().values()]
+        spec = json.loads(self.encoder.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.known: dict[str, bytes] = {}
+
+    @staticmethod
+    def of(path: str) -> Tokens:
+        """The tokenizer of this Python worker, kept from task to task."""
+        state = sys.modules.setdefault("_metalith_worker_state", types.ModuleType("_metalith_worker_state"))
+        kept = state.__dict__.setdefault("tokens", {})
+        if path not in kept:
+            kept[path] = Tokens(path)
+        return kept[path]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.encoder.encode_batch(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        cut: list[list[str] | None] = []
+        for x in texts:
+            if not self.by_piece or any(t in x for t in self.added):
+                cut.append(None)
+            elif _ODD.search(x):
+                first, *rest = _CUT.split(x)
+                cut.append([first, *(" " + w for w in rest)])
+            else:
+                cut.append(x.replace(" ", "\0 ").split("\0"))
+        known = self.known
+        if len(known) > PIECES:
+            known.clear()
+        new = list({w for pieces in cut if pieces for w in pieces if w not in known})
+        known.update(zip(new, self.whole(new), strict=True))
+        return [b"".join(map(known.__getitem__, pieces)) if pieces is not None else self.whole([x])[0] for x, pieces in zip(texts, cut, strict=True)]
 
 
 def _tokenised(path: str, end: int):
@@ -163,6 +211,7 @@ def _tokenised(path: str, end: int):
         part, number, before, held = TaskContext.get().partitionId(), 0, 0, 0
         docs, lengths, chunks = [], [], []
         counts = np.zeros(0, dtype=np.int64)
+        last = np.array([end], dtype="<u4").tobytes()
 
         def row(counts=None):
             ids = np.concatenate(chunks) if chunks else np.zeros(0, dtype=np.uint32)
@@ -175,12 +224,12 @@ def _tokenised(path: str, end: int):
 
         encode = None
         for batch in batches:
-            encode = encode or tokenizer(path)
+            encode = encode or Tokens.of(path)
             names, texts = batch.column(0), batch.column(1)
             for k in range(0, batch.num_rows, TEXTS):
-                got = encode.encode_batch_fast([x or "" for x in texts.slice(k, TEXTS).to_pylist()], add_special_tokens=False)
+                got = encode.encode([x or "" for x in texts.slice(k, TEXTS).to_pylist()])
                 for name, x in zip(names.slice(k, TEXTS).to_pylist(), got, strict=True):
-                    ids = np.array(x.ids + [end], dtype=np.uint32)
+                    ids = np.frombuffer(x + last, dtype="<u4")
                     docs.append(NO_ID if name is None else name)
                     lengths.append(len(ids))
                     chunks.append(ids)
