@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, mixing, quality, sharding, tokens, toxicity
+from . import decontaminate, jaccard, language, lines, mixing, quality, secrets, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_language": language.op2_language,
+    "op3_line_dedup": lines.op3_line_dedup,
+    "op4_secrets": secrets.op4_secrets,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_shard": sharding.op7_shard,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op3_line_dedup": lines.OP3_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
     "op10_ngram_join": jaccard.OP10_SQL,
