@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import site_queries
+
+QUERIES = dict(site_queries.QUERIES)
+ORACLES = dict(site_queries.ORACLES)
