@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import site_queries
+from . import analysis_queries, site_queries
 
-QUERIES = dict(site_queries.QUERIES)
-ORACLES = dict(site_queries.ORACLES)
+QUERIES = site_queries.QUERIES | analysis_queries.QUERIES
+ORACLES = site_queries.ORACLES | analysis_queries.ORACLES
