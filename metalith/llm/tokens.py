@@ -148,7 +148,9 @@ def read_block(coder: Coder, data: bytes, first_mark: int = 0):
 # -- files --------------------------------------------------------------------------------------
 
 #: Most pieces of text whose ids a Python worker remembers (about 200 bytes each).
-PIECES = 1_000_000
+PIECES = 1_200_000
+#: Pieces that the library encodes as one text.
+RUN = 50
 #: A space between two visible characters always begins a new piece of a byte-level tokenizer.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s|^\s|\s$|\0")
@@ -171,6 +173,10 @@ class Tokens:
         spec = json.loads(self.encoder.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        vocabulary = self.encoder.get_vocab()
+        self.size = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for token, k in vocabulary.items():
+            self.size[k] = len(token)  # the byte-level alphabet has a character for each byte
         self.known: dict[str, bytes] = {}
 
     @staticmethod
@@ -185,6 +191,23 @@ class Tokens:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.encoder.encode_batch(texts, add_special_tokens=False)]
 
+    def pieces(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces. Those that begin with the only space at their ends are encoded
+        in runs, whose ids are dealt back by their lengths in bytes."""
+        runs = [w for w in new if w[:1] == " " and not w[-1:].isspace() and not w[1:2].isspace()]
+        got = dict(zip(rest, self.whole(rest), strict=True)) if (rest := list(set(new).difference(runs))) else {}
+        if runs:
+            texts = ["".join(runs[k : k + RUN]) for k in range(0, len(runs), RUN)]
+            ids = np.array([k for x in self.encoder.encode_batch_fast(texts, add_special_tokens=False) for k in x.ids], dtype="<u4")
+            ends = np.cumsum([len(w.encode()) for w in runs])
+            at = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+            raw = ids.tobytes()
+            a = 0
+            for w, b in zip(runs, at.tolist(), strict=True):
+                got[w] = raw[4 * a : 4 * b]
+                a = b
+        return [got[w] for w in new]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cut: list[list[str] | None] = []
@@ -200,7 +223,7 @@ class Tokens:
         if len(known) > PIECES:
             known.clear()
         new = list({w for pieces in cut if pieces for w in pieces if w not in known})
-        known.update(zip(new, self.whole(new), strict=True))
+        known.update(zip(new, self.pieces(new), strict=True))
         return [b"".join(map(known.__getitem__, pieces)) if pieces is not None else self.whole([x])[0] for x, pieces in zip(texts, cut, strict=True)]
 
 
