@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -30,7 +31,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """Words of a text in order; a null text has none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, " " * len(WHITE_SPACE))
+    spaced = F.coalesce(text, F.lit(""))
+    for c in WHITE_SPACE[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     return F.array_remove(F.split(spaced, " "), "")
 
 
@@ -63,6 +66,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` with a row number that is the same whenever it is read.
+
+    Numbers follow the partitions of a scan of files, which do not change; anything but
+    filters and projections of a scan is written first, since a shuffle may deal its rows
+    differently when other columns are asked for."""
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() not in ("Project", "Filter", "LogicalRelation"):
+            df = stored(df, "numbered")
+            break
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that nothing refers to any more; it
+    does so only when the driver collects its garbage, which a quiet driver hardly does."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete an intermediate folder that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

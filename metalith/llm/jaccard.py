@@ -3,7 +3,7 @@
 1. A text's set is its distinct word shingles, hashed to 64 bits. Texts of one set are
    one class; classes, not rows, are compared.
 2. Similar classes are partitioned into groups around a leader (classes that share a
-   pair of min-hashes with it and at least half of its tokens).
+   pair of min-hashes with it and differ in half as many tokens as they have).
 3. Inside a group a member A is stored as its difference to the leader L. For members
    A, B the symmetric difference of A and B is that of their differences, and if the
    differences together are within the allowed distance then both are linked to L.
@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import freed, new_path, read, removed, stored
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -39,6 +39,8 @@ SKETCH = 1 << 18
 PAIRS = 4
 #: Up to so many ids are broadcast to pick texts from a scan (about 40 bytes each); beyond, a join shuffles.
 BROADCAST_IDS = 200_000
+#: Rows that a Python worker gathers before it hands them on.
+ROWS = 20_000
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -84,7 +86,7 @@ def shingles(text: str | None, k: int, powers: Powers) -> np.ndarray:
     if len(w) < k:
         h = w[:1] * _U(_SALTS[1])
         for j in range(1, len(w)):
-            h = _mixed(h) + w[j] * _U(_SALTS[1 + j])
+            h = _mixed(h) + w[j : j + 1] * _U(_SALTS[1 + j])
         return _mixed(h + _U(len(w)))
     h = np.zeros(len(w) - k + 1, dtype=_U)
     for j in range(k):
@@ -101,9 +103,8 @@ def signature(h: np.ndarray) -> bytes:
     return len(h).to_bytes(4, "big") + b"".join(int(_mixed(h ^ _U(s)).sum(dtype=_U)).to_bytes(8, "big") for s in _SALTS[10:12])
 
 
-def keys(h: np.ndarray) -> list[int]:
-    low = [int(_mixed(h * _U(s)).min()) for s in _SALTS[20 : 20 + 2 * PAIRS]]
-    return [((low[2 * j] * _SALTS[3] + low[2 * j + 1] * _SALTS[4] + j) & ((1 << 64) - 1)) - (1 << 63) for j in range(PAIRS)]
+def min_hashes(h: np.ndarray) -> np.ndarray:
+    return np.array([_mixed(h * _U(s)).min() for s in _SALTS[20 : 20 + 2 * PAIRS]], dtype=_U).astype(np.int64)
 
 
 def slack(n: int, percent: int) -> int:
@@ -145,18 +146,20 @@ def _described(k: int, percent: int, rarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, table = Powers(), rarity.value
         for batch in batches:
-            out = {"n": [], "sig": [], "prefix": [], "keys": []}
+            out = {"n": [], "sig": [], "prefix": [], "mins": [], "central": []}
             for x in batch.column(1):
                 h = shingles(x.as_py(), k, powers)
                 n = len(h)
                 out["n"].append(n)
                 out["sig"].append(signature(h))
                 alone = n * (100 - percent) < percent  # only equal sets can be linked
-                out["prefix"].append([] if alone else ranked(h, table)[: slack(n, percent) + least(n)].astype(np.int64))
-                out["keys"].append([] if alone else keys(h))
+                tokens = None if alone else ranked(h, table)
+                out["prefix"].append([] if alone else tokens[: slack(n, percent) + least(n)].astype(np.int64))
+                out["central"].append(0 if alone else int((tokens >> _U(56)).mean() * 1000))
+                out["mins"].append([] if alone else min_hashes(h))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out["n"], pa.int64()), pa.array(out["sig"], pa.binary()), pa.array(out["prefix"], pa.list_(pa.int64())), pa.array(out["keys"], pa.list_(pa.int64()))],
-                ["_id", "n", "sig", "prefix", "keys"],
+                [batch.column(0), pa.array(out["n"], pa.int64()), pa.array(out["sig"], pa.binary()), pa.array(out["prefix"], pa.list_(pa.int64())), pa.array(out["mins"], pa.list_(pa.int64())), pa.array(out["central"], pa.int64())],
+                ["_id", "n", "sig", "prefix", "mins", "central"],
             )
 
     return run
@@ -175,33 +178,33 @@ def _sets(k: int, rarity):
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, classes: DataFrame, k: int, rarity) -> DataFrame:
-    """``(sig, set)`` of the classes in ``wanted`` (column sig), read anew from the texts of
+    """``(cid, set)`` of the classes in ``wanted`` (column cid), read anew from the texts of
     their first documents: only these texts are hashed again, and no other set is stored."""
-    ids = classes.join(wanted.select("sig").distinct(), "sig", "left_semi").select(F.col("doc").alias("_want"), "sig")
+    ids = classes.select("cid", "sig", F.col("doc").alias("_want")).join(wanted.distinct(), "cid", "left_semi")
     ids = stored(ids, "wanted")
     picked = ids.select("_want").distinct()
     if picked.count() <= BROADCAST_IDS:
         picked = F.broadcast(picked)
     rows = texts.join(picked, texts["_id"].eqNullSafe(picked["_want"]), "left_semi").select("_text")
     found = rows.mapInArrow(_sets(k, rarity), "sig binary, set binary")
-    found = found.join(ids.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("set").alias("set"))
+    found = found.join(ids.select("sig", "cid"), "sig").groupBy("cid").agg(F.first("set").alias("set"))
     return stored(found, "sets")
 
 
 # -- inside groups ------------------------------------------------------------------------------
 
-_DELTA = pa.schema([("leader", pa.binary()), ("sig", pa.binary()), ("n", pa.int64()), ("linked", pa.bool_()), ("near", pa.bool_()), ("size", pa.int64()), ("delta", pa.list_(pa.int64()))])
+_DELTA = pa.schema([("leader", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("near", pa.bool_()), ("size", pa.int64()), ("delta", pa.list_(pa.int64()))])
 
 
 def _deltas(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             out = []
-            for leader, sig, mine, other in zip(*batch.columns, strict=True):
+            for leader, cid, mine, other in zip(*batch.columns, strict=True):
                 a, b = (np.frombuffer(x.as_buffer(), dtype=_U) for x in (mine, other))
                 d = np.setxor1d(a, b, assume_unique=True)
                 linked, near = len(d) <= distance(len(a), len(b), percent), 2 * len(d) <= len(a)
-                out.append({"leader": leader.as_py(), "sig": sig.as_py(), "n": len(a), "linked": linked, "near": near, "size": len(d), "delta": d.astype(np.int64) if near else []})
+                out.append({"leader": leader.as_py(), "cid": cid.as_py(), "n": len(a), "linked": linked, "near": near, "size": len(d), "delta": d.astype(np.int64) if near else []})
             yield pa.RecordBatch.from_pylist(out, schema=_DELTA)
 
     return run
@@ -218,7 +221,7 @@ def _floor_of(bucket: int) -> int:
     return low
 
 
-_PROBE = pa.schema([("leader", pa.binary()), ("token", pa.int64()), ("bucket", pa.int32()), ("small", pa.bool_()), ("sig", pa.binary()), ("size", pa.int64()), ("linked", pa.bool_())])
+_PROBE = pa.schema([("leader", pa.int64()), ("token", pa.int64()), ("bucket", pa.int32()), ("small", pa.bool_()), ("cid", pa.int64()), ("size", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("linked", pa.bool_())])
 
 
 def _probes(percent: int):
@@ -228,17 +231,20 @@ def _probes(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x in batch.to_pylist():
+            for x in (row for k in range(0, batch.num_rows, 256) for row in batch.slice(k, 256).to_pylist()):
                 s, alone, shared = x["size"], x["size"] - len(x["shared"]), x["shared"]
                 most = distance(x["n"], 100 * x["n"] // percent, percent)
 
                 def add(bucket, small, overlap, x=x, s=s, alone=alone, shared=shared):
-                    for token in shared[: max(0, s - max(1, overlap) + 1 - alone)]:
-                        out.append({"leader": x["leader"], "token": token, "bucket": bucket, "small": small, "sig": x["sig"], "size": s, "linked": x["linked"]})
+                    for place, token in enumerate(shared[: max(0, s - max(1, overlap) + 1 - alone)], alone):
+                        out.append({"leader": x["leader"], "token": token, "bucket": bucket, "small": small, "cid": x["cid"], "size": s, "n": x["n"], "place": place, "linked": x["linked"]})
 
                 add(_bucket(s), True, -(-(2 * s - most) // 2))
                 for q in range(_bucket(max(0, s - most)), _bucket(s) + 1):
                     add(q, False, -(-(max(_floor_of(q), s - most) + s - most) // 2))
+                if len(out) > ROWS:
+                    yield pa.RecordBatch.from_pylist(out, schema=_PROBE)
+                    out = []
             yield pa.RecordBatch.from_pylist(out, schema=_PROBE)
 
     return run
@@ -247,18 +253,23 @@ def _probes(percent: int):
 def _inside(members: DataFrame, percent: int) -> DataFrame:
     """Links between members of one group of which not both are linked to the leader."""
     m = members.where("near and size > 0")
-    tokens = m.select("leader", "sig", F.explode("delta").alias("token"))
+    tokens = m.select("leader", "cid", F.explode("delta").alias("token"))
     counts = tokens.groupBy("leader", "token").agg(F.count("*").alias("c")).where("c > 1")
-    shared = tokens.join(counts, ["leader", "token"]).groupBy("leader", "sig").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "token"))), lambda x: x["token"]).alias("shared"))
-    rows = m.select("leader", "sig", "n", "size", "linked").join(shared, ["leader", "sig"])
-    probes = rows.mapInArrow(_probes(percent), "leader binary, token long, bucket int, small boolean, sig binary, size long, linked boolean")
+    shared = tokens.join(counts, ["leader", "token"]).groupBy("leader", "cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "token"))), lambda x: x["token"]).alias("shared"))
+    rows = m.select("leader", "cid", "n", "size", "linked").join(shared, ["leader", "cid"])
+    probes = rows.mapInArrow(_probes(percent), "leader long, token long, bucket int, small boolean, cid long, size long, n long, place long, linked boolean")
     probes = stored(probes, "probes")
-    a = probes.where("small").select("leader", "token", "bucket", F.col("sig").alias("a"), F.col("size").alias("sa"), F.col("linked").alias("la"))
-    b = probes.where("not small").select("leader", "token", "bucket", F.col("sig").alias("b"), F.col("size").alias("sb"), F.col("linked").alias("lb"))
-    pairs = a.join(b, ["leader", "token", "bucket"]).where("(sa < sb or (sa = sb and a < b)) and not (la and lb)").select("leader", "a", "b").distinct()
-    d = m.select("leader", "sig", "n", "delta")
-    pairs = pairs.join(d.select("leader", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("delta").alias("da")), ["leader", "a"])
-    pairs = pairs.join(d.select("leader", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("delta").alias("db")), ["leader", "b"])
+    side = lambda x: [F.col(k).alias(k[0] + x) for k in ("size", "n", "place", "linked")]
+    a = probes.where("small").select("leader", "token", "bucket", F.col("cid").alias("a"), *side("a"))
+    b = probes.where("not small").select("leader", "token", "bucket", F.col("cid").alias("b"), *side("b"))
+    fits = ((F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))) & ~(F.col("la") & F.col("lb"))
+    # positional: at best all tokens from the match on are common to both differences
+    apart = F.col("sa") + F.col("sb") - 2 * F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
+    fits = fits & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    pairs = a.join(b, ["leader", "token", "bucket"]).where(fits).select("leader", "a", "b").distinct()
+    d = m.select("leader", "cid", "n", "delta")
+    pairs = pairs.join(d.select("leader", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("delta").alias("da")), ["leader", "a"])
+    pairs = pairs.join(d.select("leader", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("delta").alias("db")), ["leader", "b"])
     apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
     return pairs.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
@@ -285,22 +296,33 @@ def _verified(percent: int):
 
 
 def _across(cand: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of different groups that the token-group matrix leaves, sizes checked."""
-    c = cand.join(groups, "sig", "left").withColumn("grp", F.coalesce("grp", "sig"))
-    c = stored(c.select("sig", "grp", "n", "prefix"), "grouped")
-    rows = c.select("sig", "grp", "n", F.explode("prefix").alias("token"))
-    # rows of the matrix: a token and the groups whose union has it; tokens of one group alone are none
-    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = matrix.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    matrix = matrix.join(several, "token", "left_semi").select("token", F.col("grp").alias("g"), "low", "high")
-    query = rows.join(several, "token", "left_semi")
-    met = query.join(matrix, "token").where(F.col("g") < F.col("grp"))
-    met = met.where((100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high")))
-    qualified = met.groupBy("sig", "n", "g").agg(F.count("*").alias("met")).where(F.col("met") >= _reaches(percent)).select("sig", "n", "g")
-    members = c.select(F.col("grp").alias("g"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    """Pairs ``(a, b)`` of different groups that the token-group matrix leaves, sizes checked.
+
+    A query must meet ``need`` of its tokens in a group, so it may look groups up by all but
+    its need - 1 most frequent tokens: whatever it misses so could not reach the bound."""
+    c = cand.join(groups, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
+    rows = c.select("cid", "grp", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    # tokens of one group alone meet no other; the rest are the rows of the matrix
+    of_token = Window.partitionBy("token")
+    rows = rows.withColumns({"_low": F.min("grp").over(of_token), "_high": F.max("grp").over(of_token), "c": F.count("*").over(of_token)})
+    rows = rows.where("_low < _high").groupBy("cid", "grp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("met"))
+    rows = rows.withColumn("need", _reaches(percent).cast("int")).where(F.size("met") >= F.col("need"))
+    rows = stored(rows.select("cid", "grp", "n", "need", F.transform("met", lambda t: t["token"]).alias("met")), "queries")
+    freed(cand.sparkSession)
+    matrix = rows.select(F.col("grp").alias("g"), "n", F.explode("met").alias("token")).groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = stored(matrix, "matrix")
+    probe = rows.select("cid", "grp", "n", F.explode(F.slice("met", F.lit(1), F.size("met") - F.col("need") + 1)).alias("token"))
+    met = probe.join(matrix, "token").where(F.col("g") < F.col("grp"))
+    met = stored(met.where((100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))).select("cid", "g").distinct(), "looked-up")
+    # the bound: all tokens that the query and the group's union have in common
+    full = met.join(rows.select("cid", "n", "need", F.explode("met").alias("token")), "cid").join(matrix.select("token", "g"), ["token", "g"])
+    qualified = full.groupBy("cid", "n", "need", "g").agg(F.count("*").alias("bound")).where(F.col("bound") >= F.col("need")).select("cid", "n", "need", "g")
+    members = rows.select(F.col("grp").alias("g"), F.col("cid").alias("b"), F.col("n").alias("nb"))
     opened = qualified.join(members, "g").where((100 * F.col("n") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("n")))
-    opened = opened.join(c.select("sig", F.col("prefix").alias("pa")), "sig")
-    return opened.where(F.size(F.array_intersect("pa", "pb")) >= _reaches(percent)).select(F.col("sig").alias("a"), "b").distinct()
+    opened = stored(opened.select(F.col("cid").alias("a"), "b", "need"), "qualified")
+    side = lambda x: rows.select(F.col("cid").alias(x), F.col("met").alias("m" + x))
+    opened = opened.join(side("a"), "a").join(side("b"), "b")
+    return opened.where(F.size(F.array_intersect("ma", "mb")) >= F.col("need")).select("a", "b").distinct()
 
 
 # -- the join -----------------------------------------------------------------------------------
@@ -320,37 +342,53 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = np.zeros(SKETCH, dtype=np.int64)
     table[counted["slot"].to_numpy()] = counted["n"].to_numpy()
     rarity = spark.sparkContext.broadcast(np.minimum(2 * np.log2(np.maximum(table, 1)), 127).astype(np.uint8))
-    rows = texts.mapInArrow(_described(words, percent, rarity), f"_id {id_type}, n long, sig binary, prefix array<long>, keys array<long>")
-    rows = stored(rows, "described")
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("keys").alias("keys"))
-    classes = stored(classes, "classes")
-    cand = classes.where(F.size("prefix") > 0)
-
-    # groups: the smallest class that shares a key, and then that one's own
-    key = cand.select("sig", F.explode("keys").alias("key"))
-    first = key.groupBy("key").agg(F.min("sig").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
-    near = stored(key.join(first, "key").groupBy("sig").agg(F.min("leader").alias("leader")), "near")
-    again = near.select(F.col("sig").alias("leader"), F.col("leader").alias("top"))
-    led = near.join(again, "leader", "left").select("sig", F.least("leader", F.coalesce("top", "leader")).alias("leader")).where("sig <> leader")
-    led = stored(led, "led")
-    wanted = led.select("sig").union(led.select(F.col("leader").alias("sig")))
+    rows = texts.mapInArrow(_described(words, percent, rarity), f"_id {id_type}, n long, sig binary, prefix array<long>, mins array<long>, central long")
+    full = new_path(spark, "described")
+    rows.write.parquet(full)
+    described = spark.read.schema(rows.schema).parquet(full)
+    classes = described.where("n > 0").groupBy("sig").agg(F.min("_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("mins").alias("mins"), F.first("central").alias("central"))
+    # the number of a class is fixed by being written
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    rows = stored(described.select("_id", "n", "sig"), "rows")
+    removed(spark, full)
+    freed(spark)
+    cand = classes.where(F.size("prefix") > 0).select("cid", "n", "prefix", "mins", "central")
+
+    # groups: of the classes that share a key, the most central one leads, the one whose tokens
+    # are least rare and so most shared; then that one's own leader
+    mins, rank = F.col("mins"), F.struct("central", (-F.col("cid")).alias("m"))
+    key = cand.select("cid", rank.alias("r"), F.explode(F.array(*[F.xxhash64(mins[2 * j], mins[2 * j + 1], F.lit(j)) for j in range(PAIRS)])).alias("key"))
+    first = key.groupBy("key").agg(F.max("r").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
+    near = stored(key.select("cid", "key").join(first, "key").groupBy("cid").agg(F.max("leader").alias("leader")), "near")
+    again = near.select((-F.col("cid")).alias("m"), F.col("leader").alias("top"))
+    led = near.select("cid", "leader", F.col("leader.m").alias("m")).join(again, "m", "left").select("cid", (-F.greatest("leader", F.coalesce("top", "leader"))["m"]).alias("leader")).where("cid <> leader")
+    # whoever seems unlike its leader stays alone, which is always right
+    led = led.join(cand.select("cid", "mins"), "cid").join(cand.select(F.col("cid").alias("leader"), F.col("mins").alias("lm")), "leader")
+    alike = F.aggregate(F.zip_with("mins", "lm", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, v: a + v)
+    led = stored(led.where(alike >= PAIRS).select("cid", "leader"), "led")
+    freed(spark)
+    wanted = led.select("cid").union(led.select(F.col("leader").alias("cid")))
     sets = sets_of(texts, wanted, classes, words, rarity)
-    pairs = led.join(sets, "sig").join(sets.select(F.col("sig").alias("leader"), F.col("set").alias("other")), "leader").select("leader", "sig", "set", "other")
-    members = stored(pairs.mapInArrow(_deltas(percent), "leader binary, sig binary, n long, linked boolean, near boolean, size long, delta array<long>"), "members")
-    links = members.where("linked").select(F.col("leader").alias("a"), F.col("sig").alias("b")).unionByName(_inside(members, percent))
+    pairs = led.join(sets, "cid").join(sets.select(F.col("cid").alias("leader"), F.col("set").alias("other")), "leader").select("leader", "cid", "set", "other")
+    members = stored(pairs.mapInArrow(_deltas(percent), "leader long, cid long, n long, linked boolean, near boolean, size long, delta array<long>"), "members")
+    freed(spark)
+    links = members.where("linked").select(F.col("leader").alias("a"), F.col("cid").alias("b")).unionByName(_inside(members, percent))
+    links = stored(links, "links")
 
     # across groups; a leader is in its own group unless it is near another leader
-    mine = members.where("near").select("sig", F.col("leader").alias("grp"))
-    open_pairs = stored(_across(cand, mine, percent), "opened")
-    more = sets_of(texts, open_pairs.select(F.col("a").alias("sig")).union(open_pairs.select(F.col("b").alias("sig"))), classes, words, rarity)
-    checked = open_pairs.join(more.select(F.col("sig").alias("a"), F.col("set").alias("sa")), "a").join(more.select(F.col("sig").alias("b"), F.col("set").alias("sb")), "b")
-    links = links.unionByName(checked.select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a binary, b binary"))
-
-    roots = components(stored(links, "links"), "a", "b")
-    rooted = classes.select("sig", "doc").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    mine = members.where("near").select("cid", F.col("leader").alias("grp"))
+    open_pairs = stored(_across(cand.select("cid", "n", "prefix"), mine, percent), "opened")
+    freed(spark)
+    more = sets_of(texts, open_pairs.select(F.col("a").alias("cid")).union(open_pairs.select(F.col("b").alias("cid"))), classes, words, rarity)
+    checked = open_pairs.join(more.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(more.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
+    links = stored(links.unionByName(checked.select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a long, b long")), "all-links")
+    freed(spark)
+
+    roots = components(links, "a", "b")
+    rooted = classes.select("cid", "sig", "doc").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     ends = rooted.groupBy("root").agg(F.min("doc").alias("component"))
     of = stored(rooted.join(ends, "root").select("sig", "component"), "components")
-    out = rows.select("_id", "n", "sig").join(of.withColumn("n", F.lit(1)).withColumnRenamed("n", "_has"), "sig", "left")
+    out = rows.join(of, "sig", "left")
     return out.select("_id", "n", "sig", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component"))
 
 
