@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning (Kiryo et al., 2017).
 
-A linear classifier over word presence is trained with numpy from confirmed toxic
+A linear classifier over the presence of words and word beginnings is trained with numpy from confirmed toxic
 texts and unlabelled texts. Its risk estimator corrects the unlabelled loss by the
 class prior and is kept from going negative, which is what stops over-fitting:
 
@@ -24,15 +24,19 @@ from .common import read
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Most positive and unlabelled texts that are trained on (about 3 kB each).
-MAX_POSITIVE, MAX_UNLABELLED = 2_500, 7_500
+MAX_POSITIVE, MAX_UNLABELLED = 1_500, 4_000
 #: Words whose presence differs this many standard errors between the samples are features.
 MIN_Z, MIN_TEXTS = 4.0, 4
-STEPS, RATE, DECAY = 300, 0.1, 1e-4
+STEPS, RATE, DECAY = 400, 0.1, 1e-5
 THRESHOLD = 0.7
+#: Letters of a word's beginning; inflected forms of a word share it.
+HEAD = 4
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+    """Distinct lower-case words of a text and their beginnings (``^`` and HEAD letters)."""
+    words = set(WORD.findall((text or "").lower()))
+    return words | {"^" + w[:HEAD] for w in words}
 
 
 def score_of(weights: dict[str, float], bias: float, text: str | None) -> float:
