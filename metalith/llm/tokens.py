@@ -113,11 +113,11 @@ class Coder:
 def block_bytes(coder: Coder, ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, start: int) -> bytes:
     words, marks, lanes = coder.encode(ids)
     payload, raw = words.astype("<u4").tobytes(), ids.astype("<u4").tobytes()
+    states = np.concatenate([s for _, _, s in marks]).astype("<u8").tobytes()
     header = json.dumps({
         "start": int(start), "n_tokens": len(ids), "lanes": lanes, "steps": -(-len(ids) // lanes), "docs": len(doc_ids),
-        "marks": [[t, p] for t, p, _ in marks], "payload_crc": zlib.crc32(payload), "ids_crc": zlib.crc32(raw),
+        "marks": [[t, p] for t, p, _ in marks], "payload_crc": zlib.crc32(states + payload), "ids_crc": zlib.crc32(raw),
     }).encode()
-    states = np.concatenate([s for _, _, s in marks]).astype("<u8").tobytes()
     return b"".join([MAGIC, len(header).to_bytes(4, "little"), header, doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), states, payload])
 
 
@@ -133,10 +133,10 @@ def read_block(coder: Coder, data: bytes, first_mark: int = 0):
     lengths = np.frombuffer(data, "<u4", h["docs"], at)
     at += 4 * h["docs"]
     lanes = h["lanes"]
-    states = np.frombuffer(data, "<u8", lanes * len(h["marks"]), at).reshape(-1, lanes)
-    at += states.nbytes
     if zlib.crc32(data[at:]) != h["payload_crc"]:
         raise ValueError("payload checksum differs")
+    states = np.frombuffer(data, "<u8", lanes * len(h["marks"]), at).reshape(-1, lanes)
+    at += states.nbytes
     words = np.frombuffer(data, "<u4", offset=at).astype(np.uint64)
     step, position = h["marks"][first_mark]
     ids = coder.decode(words, states[first_mark].astype(np.uint64), position, step, h["steps"])[: h["n_tokens"] - step * lanes]
@@ -222,9 +222,17 @@ class Tokens:
         known = self.known
         if len(known) > PIECES:
             known.clear()
-        new = list({w for pieces in cut if pieces for w in pieces if w not in known})
+        found = [list(map(known.get, pieces)) if pieces is not None else None for pieces in cut]
+        new = {w for pieces, ids in zip(cut, found, strict=True) if ids and None in ids for w, v in zip(pieces, ids, strict=True) if v is None}
+        new = list(new)
         known.update(zip(new, self.pieces(new), strict=True))
-        return [b"".join(map(known.__getitem__, pieces)) if pieces is not None else self.whole([x])[0] for x, pieces in zip(texts, cut, strict=True)]
+        out = []
+        for x, pieces, ids in zip(texts, cut, found, strict=True):
+            if ids is None:
+                out.append(self.whole([x])[0])
+            else:
+                out.append(b"".join(ids) if None not in ids else b"".join(map(known.__getitem__, pieces)))
+        return out
 
 
 def _tokenised(path: str, end: int):
