@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, read, stored
+from .common import lower_ascii, numbered, read, stored
 
 #: Characters that separate words once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -82,11 +82,12 @@ def starts(df: DataFrame, table: DataFrame, text_col: str) -> tuple[DataFrame, b
     return df.withColumn("_c", F.concat(*parts) if parts else empty), small
 
 
-def hits(df: DataFrame, items: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def hits(df: DataFrame, items: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), row: str | None = None) -> DataFrame:
     """Per input row: ``keep`` columns, ``n_words``, ``n_hit``, ``spans`` (sorted
-    starts and lengths in words), ``item_ids`` (sorted distinct strings)."""
+    starts and lengths in words), ``item_ids`` (sorted distinct strings). ``row``: a
+    column that numbers the rows, if there is one."""
     table = stored(windows(items), "windows")
-    scan, small = starts(df.withColumn("_row", F.monotonically_increasing_id()), table, text_col)
+    scan, small = starts(df.withColumnRenamed(row, "_row") if row else numbered(df), table, text_col)
     found = table.select("key", "k", "items")
     rows = scan.select(*keep, "_row", F.size("_w").cast("long").alias("n_words"), F.explode_outer("_c").alias("_c"))
     rows = rows.select(*keep, "_row", "n_words", F.col("_c.p").alias("p"), F.col("_c.key").alias("key"))
@@ -114,14 +115,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", te
     ``documents`` drops each document with a hit; ``spans`` cuts the hit words and
     the separators after them. Null, empty and clean texts stay as they are; so do
     repeated rows, each judged for itself. An empty benchmark removes nothing."""
-    docs = docs.select(*docs.columns)
     names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()])
+    rows = numbered(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()]))
     text = names[text_col]
-    hit = stored(hits(inner, items, text).where(F.size("spans") > 0).select("_row", "spans"), "hits")
+    hit = stored(hits(rows.select(text, "_row"), items, text, row="_row").where(F.size("spans") > 0).select("_row", "spans"), "hits")
     if hit.count() <= BROADCAST_ROWS and mode == "documents":
         hit = F.broadcast(hit.select("_row"))
-    rows = inner.withColumn("_row", F.monotonically_increasing_id())
     if mode == "documents":
         out = rows.join(hit, "_row", "left_anti")
     else:
