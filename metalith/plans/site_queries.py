@@ -344,3 +344,17 @@ def multiplicity(spark, d):
     z = F.create_map(*[F.lit(v) for kv in ATOMIC_NUMBERS.items() for v in kv])
     e = (F.sum(F.coalesce(F.element_at(z, F.upper("element")), F.lit(0))) - 2).cast("long")
     return _base(spark, d)[1].groupBy("structure_id").agg(e.alias("electrons"), (F.pmod(e, F.lit(2)) + 1).cast("long").alias("multiplicity"))
+
+
+@query("cluster_csv", None)
+def cluster_csv(spark, d):
+    from metalith.operators import report
+
+    return report.cluster_csv(atoms(spark, d), S.SiteConfig())
+
+
+@query("altloc_csv", None)
+def altloc_csv(spark, d):
+    from metalith.operators import report
+
+    return report.altloc_csv(atoms(spark, d), S.SiteConfig())

@@ -229,3 +229,40 @@ def test_stream_keeps_latest(spark, tmp_path):
     q.awaitTermination()
     got = latest(spark.read.parquet(str(tmp_path / "out")), "id", ["batch", "seq"]).orderBy("id").collect()
     assert [(r["id"], r["status"]) for r in got] == [(0, "s2"), (1, "s2"), (2, "s2")]
+
+
+def test_fetch_falls_back_and_reports(spark):
+    import gzip
+
+    from metalith.sources.fetch import FetchError, fetch_entry
+
+    def get(url):
+        if url.endswith(".cif.gz"):
+            return gzip.compress(b"data_x")
+        raise FileNotFoundError(url)
+
+    assert fetch_entry("1ABC", get, "http://host") == ("cif", "data_x")
+    tries = []
+
+    def broken(url):
+        tries.append(url)
+        raise OSError("down")
+
+    with pytest.raises(FetchError):
+        fetch_entry("1ABC", broken, "http://host", wait=lambda s: None)
+    assert len(tries) == 9
+    with pytest.raises(FetchError, match="not an entry id"):
+        fetch_entry("abcd", get, "http://host")
+
+
+def test_report_columns(spark, tmp_path):
+    from metalith.operators import report
+    from metalith.schema import CLUSTER_FIELDS
+
+    df = rows(spark, [("ZN", "ZN", 0, 0, 0), ("N1", "N", 2.1, 0, 0), ("N2", "N", -2.1, 0, 0), ("FE", "FE", 0, 3, 0)])
+    out = report.cluster_csv(df, S.SiteConfig(cutoff=5.0))
+    assert tuple(out.columns) == CLUSTER_FIELDS
+    r = out.first()
+    assert (r["GEOM"], r["COORD"], r["OTHER_METALS"], r["CLUSTER_TYPE"], r["RESOLUTION_A"]) == ("LIN", "2N", "FE:1", "multi_hetero", "NA")
+    report.write_csv(out, str(tmp_path / "c"))
+    assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 1
