@@ -89,6 +89,15 @@ def smallest_eigenvalue(xx: Column, yy: Column, zz: Column, xy: Column, xz: Colu
     return F.when(p > 0, root).otherwise(q)
 
 
+def plane_normal(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column, low: Column) -> Column:
+    """Unit normal of the best plane: the longest cross product of rows of C - low * I.
+    Not unique where the smallest eigenvalue repeats."""
+    r = (xx - low, xy, xz), (xy, yy - low, yz), (xz, yz, zz - low)
+    best = F.array_max(F.array(*[F.struct(dot(c, c).alias("q"), *[v.alias(k) for k, v in zip("xyz", c, strict=True)]) for c in (cross(r[0], r[1]), cross(r[0], r[2]), cross(r[1], r[2]))]))
+    n = F.sqrt(best["q"])
+    return F.when(n > 0, F.struct(*[(best[k] / n).alias(k) for k in "xyz"]))
+
+
 def label(cn: Column, planar: Column, axial: Column, top_angle: Column) -> Column:
     """Geometry label before distortion, by coordination number."""
     return (

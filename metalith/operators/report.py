@@ -36,9 +36,8 @@ def cluster_csv(raw: DataFrame, config: S.SiteConfig, resolution: DataFrame | No
         "XYZ_PATH": F.concat(xyz, F.lit(".xyz")),
     }
     values["RESOLUTION_A"] = F.when(F.col("resolution").isNull(), "NA").otherwise(F.format_string("%.2f", "resolution"))
-    values |= {k: F.bround(F.coalesce(k, F.lit(0.0)), 4) for k in ("RMS_theta", "MAX_angle_dev", "sigma_d", "delta_d", "RMS_plane")}
+    values |= {k: F.bround(F.coalesce(k, F.lit(0.0)), 4) for k in ("RMS_theta", "MAX_angle_dev", "sigma_d", "delta_d", "RMS_plane", "h_max")}
     values |= {k: yes_no(F.col(k)) for k in ("planar", "axial", "distorted", "JT")}
-    values["h_max"] = F.lit(None).cast("double")
     return rows.select(*[values[k].alias(k) for k in CLUSTER_FIELDS])
 
 

@@ -49,6 +49,10 @@ def plane(shell: DataFrame, by: list[str] = CENTER) -> DataFrame:
     return s.select(*by, F.when(F.col("_n") <= 3, 0.0).otherwise(F.sqrt(F.greatest(low, F.lit(0.0)))).alias("RMS_plane"))
 
 
+def _mean(array: str, k: str) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, v: a + v[k]) / F.size(array)
+
+
 def geometry(shell: DataFrame, by: list[str] = CENTER) -> DataFrame:
     """All metrics and the label of each shell, distorted labels ending in ``_d``."""
     v = F.struct("line_no", *[(F.col(k) - F.col("c_" + k)).alias(k) for k in ("x", "y", "z")])
@@ -59,7 +63,12 @@ def geometry(shell: DataFrame, by: list[str] = CENTER) -> DataFrame:
     )
     low = G.smallest_eigenvalue(*[F.col("_" + k) for k in cov])
     pair = F.flatten(F.transform("_v", lambda a, i: F.transform(F.filter("_v", lambda b: b["line_no"] > a["line_no"]), lambda b: G.angle(G.of(a), G.of(b), 0.0))))
-    s = s.withColumn("RMS_plane", F.when(F.col("CN") <= 3, 0.0).otherwise(F.sqrt(F.greatest(low, F.lit(0.0))))).withColumn("_a", pair)
+    s = s.withColumn("_low", low).withColumn("RMS_plane", F.when(F.col("CN") <= 3, 0.0).otherwise(F.sqrt(F.greatest("_low", F.lit(0.0))))).withColumn("_a", pair)
+    s = s.withColumn("_n", G.plane_normal(*[F.col("_" + k) for k in cov], F.col("_low")))
+    mean = {k: _mean("_v", k) for k in ("x", "y", "z")}
+    s = s.withColumn("_m", F.struct(*[c.alias(k) for k, c in mean.items()]))
+    off = F.array_max(F.transform("_v", lambda v: F.abs(G.dot(G.minus(G.of(v), G.of(F.col("_m"))), G.of(F.col("_n"))))))
+    s = s.withColumn("h_max", F.when((F.col("CN") <= 3) | F.col("_n").isNull(), 0.0).otherwise(off))
 
     def rms(ideal: Column | float) -> Column:
         total = F.aggregate("_a", F.lit(0.0), lambda acc, a: acc + (a - ideal) * (a - ideal))
@@ -75,7 +84,7 @@ def geometry(shell: DataFrame, by: list[str] = CENTER) -> DataFrame:
     bad = picked.isNotNull() & ((rms(picked) > 20) | (F.col("sigma_d") > 0.15) | ((F.col("RMS_plane") > 0.35) & F.col("_base").isin("SQP", "TP")))
     s = s.withColumn("distorted", bad).withColumn("JT", (F.col("CN") == 6) & (F.col("delta_d") >= 0.2))
     label = F.when(F.col("distorted"), F.concat("_base", F.lit("_d"))).otherwise(F.col("_base"))
-    return s.select(*by, "CN", label.alias("label"), "sigma_d", "delta_d", "RMS_theta", "MAX_angle_dev", "RMS_plane", "planar", "axial", "distorted", "JT")
+    return s.select(*by, "CN", label.alias("label"), "sigma_d", "delta_d", "RMS_theta", "MAX_angle_dev", "RMS_plane", "h_max", "planar", "axial", "distorted", "JT")
 
 
 def coordination_summary(shell: DataFrame, by: list[str] = CENTER) -> DataFrame:

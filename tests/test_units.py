@@ -63,8 +63,9 @@ def test_plane_equals_svd(spark):
         p = rng.normal(size=(n, 3))
         p = 2.4 * p / np.linalg.norm(p, axis=1)[:, None]
         r = shell_label(spark, p.tolist())
-        want = np.linalg.svd(p - p.mean(axis=0), compute_uv=False)[-1] / math.sqrt(n)
-        assert r["RMS_plane"] == pytest.approx(want, abs=1e-9)
+        _, size, axes = np.linalg.svd(p - p.mean(axis=0))
+        assert r["RMS_plane"] == pytest.approx(size[-1] / math.sqrt(n), abs=1e-9)
+        assert r["h_max"] == pytest.approx(np.abs((p - p.mean(axis=0)) @ axes[-1]).max(), abs=1e-7)
 
 
 def test_donors_and_window_are_inclusive(spark):
