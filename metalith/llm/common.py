@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import sys
 import tempfile
 import uuid
@@ -49,7 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not top:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="metalith-")
+        local = tempfile.mkdtemp(prefix="metalith-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        top = "file://" + local
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
 
