@@ -39,7 +39,7 @@ LOW = np.uint64(1 << 31)
 BLOCK = 1 << 18
 CHECKPOINT_STEPS = 64
 END = 0
-TEXTS = 128
+TEXTS = 512
 NO_ID = -(1 << 63)
 MAGIC = b"MLB1"
 
@@ -222,17 +222,12 @@ class Tokens:
         known = self.known
         if len(known) > PIECES:
             known.clear()
-        found = [list(map(known.get, pieces)) if pieces is not None else None for pieces in cut]
-        new = {w for pieces, ids in zip(cut, found, strict=True) if ids and None in ids for w, v in zip(pieces, ids, strict=True) if v is None}
-        new = list(new)
+        # the distinct pieces of this batch are few, so each is looked up once in the large table
+        here = set().union(*filter(None, cut))
+        new = [w for w in here if w not in known]
         known.update(zip(new, self.pieces(new), strict=True))
-        out = []
-        for x, pieces, ids in zip(texts, cut, found, strict=True):
-            if ids is None:
-                out.append(self.whole([x])[0])
-            else:
-                out.append(b"".join(ids) if None not in ids else b"".join(map(known.__getitem__, pieces)))
-        return out
+        near = {w: known[w] for w in here}
+        return [b"".join(map(near.__getitem__, pieces)) if pieces is not None else self.whole([x])[0] for x, pieces in zip(texts, cut, strict=True)]
 
 
 def _tokenised(path: str, end: int):
