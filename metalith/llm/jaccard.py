@@ -39,6 +39,8 @@ SKETCH = 1 << 18
 PAIRS = 4
 #: Up to so many ids are broadcast to pick texts from a scan (about 40 bytes each); beyond, a join shuffles.
 BROADCAST_IDS = 200_000
+#: Hits by its rarer tokens that a query asks of a group before all tokens are compared.
+HITS = 4
 #: Rows that a Python worker gathers before it hands them on.
 ROWS = 20_000
 
@@ -114,7 +116,7 @@ def slack(n: int, percent: int) -> int:
 
 def least(n: int) -> int:
     """Prefix tokens in common that a set of n asks for."""
-    return 1 + n // 40
+    return 1 + n // 20
 
 
 def distance(n: int, m: int, percent: int) -> int:
@@ -279,7 +281,7 @@ def _inside(members: DataFrame, percent: int) -> DataFrame:
 
 def _reaches(percent: int) -> Column:
     """Prefix tokens that the smallest linkable partner of a query still asks for."""
-    return 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 40)
+    return 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 20)
 
 
 def _verified(percent: int):
@@ -298,8 +300,9 @@ def _verified(percent: int):
 def _across(cand: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of different groups that the token-group matrix leaves, sizes checked.
 
-    A query must meet ``need`` of its tokens in a group, so it may look groups up by all but
-    its need - 1 most frequent tokens: whatever it misses so could not reach the bound."""
+    A query must meet ``need`` of its tokens in a group. Without its need - h most frequent
+    tokens it still meets h of them, so groups are looked up by the others, and only those
+    with h hits are bounded by all tokens."""
     c = cand.join(groups, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
     rows = c.select("cid", "grp", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
     # tokens of one group alone meet no other; the rest are the rows of the matrix
@@ -311,12 +314,14 @@ def _across(cand: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     freed(cand.sparkSession)
     matrix = rows.select(F.col("grp").alias("g"), "n", F.explode("met").alias("token")).groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = stored(matrix, "matrix")
-    probe = rows.select("cid", "grp", "n", F.explode(F.slice("met", F.lit(1), F.size("met") - F.col("need") + 1)).alias("token"))
-    met = probe.join(matrix, "token").where(F.col("g") < F.col("grp"))
-    met = stored(met.where((100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))).select("cid", "g").distinct(), "looked-up")
+    hits = F.least(F.col("need"), F.lit(HITS))
+    probe = rows.select("cid", "grp", "n", hits.alias("hits"), F.explode(F.slice("met", F.lit(1), F.size("met") - F.col("need") + hits)).alias("token"))
+    fits = (F.col("g") < F.col("grp")) & (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))
+    met = probe.join(matrix, "token").where(fits).groupBy("cid", "hits", "g").agg(F.count("*").alias("k")).where(F.col("k") >= F.col("hits"))
+    met = stored(met.select("cid", "g"), "looked-up")
     # the bound: all tokens that the query and the group's union have in common
     full = met.join(rows.select("cid", "n", "need", F.explode("met").alias("token")), "cid").join(matrix.select("token", "g"), ["token", "g"])
-    qualified = full.groupBy("cid", "n", "need", "g").agg(F.count("*").alias("bound")).where(F.col("bound") >= F.col("need")).select("cid", "n", "need", "g")
+    qualified = full.groupBy("cid", "n", "need", "g").agg(F.count("*").alias("bound")).where(F.col("bound") >= F.col("need"))
     members = rows.select(F.col("grp").alias("g"), F.col("cid").alias("b"), F.col("n").alias("nb"))
     opened = qualified.join(members, "g").where((100 * F.col("n") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("n")))
     opened = stored(opened.select(F.col("cid").alias("a"), "b", "need"), "qualified")
