@@ -34,7 +34,7 @@ from .components import components
 
 WORDS, PERCENT = 3, 90
 #: Counters of the rarity sketch (one byte each goes to every task).
-SKETCH = 1 << 18
+SKETCH = 1 << 20
 #: Min-hash pairs per class that bring it to a leader.
 PAIRS = 4
 #: Up to so many ids are broadcast to pick texts from a scan (about 40 bytes each); beyond, a join shuffles.
