@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import freed, new_path, read, removed, stored
+from .common import freed, new_path, numbered, read, removed, stored
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -400,22 +400,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component, the one with its smallest id, same columns.
 
-    Texts with an empty set all stay. Of rows that repeat that id in one component, one
-    stays: the first by text."""
+    Texts with an empty set all stay. Rows are told apart by number, so ids may be null
+    or repeat: a null id is larger than any other, and of rows that repeat the smallest
+    id in one component the one with the least hash of its text stays, then the first."""
     names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()])
-    i, t = names[id_col], names[text_col]
-    found = near_copies(inner, i, t, words, percent)
-    # ids to keep: those of components, and those of rows with empty sets
-    keep = found.where((F.col("n") == 0) | F.col("_id").eqNullSafe(F.col("component"))).groupBy("_id").agg(
-        F.sum((F.col("n") == 0).cast("long")).alias("_blank"), F.sum((F.col("n") > 0).cast("long")).alias("_full")
-    )
-    keep = stored(keep.withColumnRenamed("_id", "_keep"), "keep")
-    out = inner.join(keep, inner[i].eqNullSafe(keep["_keep"]), "inner")
-    blank = F.length(F.translate(F.coalesce(F.col(t), F.lit("")), " \t\n\x0b\x0c\r", "")) == 0
-    single = out.where((blank & (F.col("_blank") > 0)) | (~blank & (F.col("_full") == 1)))
-    several = out.where(~blank & (F.col("_full") > 1)).dropDuplicates([i])
-    return single.unionByName(several).select(*[F.col(a).alias(c) for c, a in names.items()])
+    inner = numbered(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()]), "_row")
+    i, t = F.col(names[id_col]), F.col(names[text_col])
+    # no two rows have the same key, so a component is named by the one row that stays
+    key = F.struct(i.isNull().alias("absent"), i.alias("id"), F.xxhash64(t).alias("text"), F.col("_row").alias("row"))
+    found = near_copies(inner.select(key.alias("_key"), t.alias("_text")), "_key", "_text", words, percent)
+    keep = stored(found.where((F.col("n") == 0) | (F.col("_id") == F.col("component"))).select(F.col("_id.row").alias("_row")), "keep")
+    return inner.join(keep, "_row", "inner").select(*[F.col(a).alias(c) for c, a in names.items()])
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

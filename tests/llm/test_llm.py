@@ -272,6 +272,16 @@ def test_near_copy_families(spark, k, percent):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, k, percent)
 
 
+def test_one_of_each_keeps_unlike_rows_of_one_id(spark):
+    """Null and repeated ids with unlike texts: one row of each component stays, whatever its id."""
+    base = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(None, base[0]), (None, base[1]), (None, base[1] + " more"), (None, base[2]), (7, base[3]), (7, base[4]), (8, base[4] + " more"), (7, base[4] + " other"), (9, base[0]), (None, base[5]), (10, base[5]), (7, " "), (None, None)]
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(table(spark, [(i, t, "en", "s") for i, t in rows]).repartition(3)).collect())
+    fixed = {(None, base[2]): 1, (7, base[3]): 1, (9, base[0]): 1, (10, base[5]): 1, (7, " "): 1, (None, None): 1}
+    assert all(got[k] == n for k, n in fixed.items()) and sum(got.values()) == 8
+    assert got[(None, base[1])] + got[(None, base[1] + " more")] == 1 and got[(7, base[4])] + got[(7, base[4] + " other")] == 1
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipe
 
