@@ -2,8 +2,9 @@
 
 Documents of equal text form a group. Groups are gathered by text hash into a
 fixed number of bundles, so the packing problem on the driver has a bounded size
-whatever the corpus; a group too heavy for that is a bundle of its own, dealt into
-chunks by id. Bundles go, heaviest first, to the shard where the dot product of
+whatever the corpus; a group too heavy for that is dealt into chunks by id. These are
+packed as one, so that the group stays whole, unless it is large against a shard; then
+each chunk is packed for itself. Bundles go, heaviest first, to the shard where the dot product of
 their vector with the shard's residual capacity is highest. Positions in a shard
 follow from bundle offsets and ranks inside each bundle, so no task sorts a shard.
 """
@@ -21,6 +22,8 @@ SHARDS = 24
 BUNDLES = 16_384
 #: A group over 1/HEAVY of all bytes or rows is dealt into chunks of about that share.
 HEAVY = 4_096
+#: A group over 1/SPLIT of a shard's share of bytes or rows is split over shards; all others stay whole.
+SPLIT = 2
 
 
 def n_bytes(text: Column) -> Column:
@@ -78,19 +81,25 @@ def shards(docs: DataFrame, n: int = SHARDS, id_col: str = "doc_id", text_col: s
     groups = measured.groupBy("_group").agg(F.sum("_size").alias("b"), F.count("*").alias("r"))
     part = F.greatest(F.col("b") / totals["b"], F.col("r") / totals["r"]) * HEAVY
     # fewer than 2 * HEAVY groups can be this heavy, and their chunks are at most 4 * HEAVY
-    heavy = stored(groups.where((part > 1) & (F.col("r") > 1)).select("_group", F.ceil(part).cast("int").alias("_chunks")), "heavy")
+    large = part > HEAVY / (SPLIT * n)
+    heavy = stored(groups.where((part > 1) & (F.col("r") > 1)).select("_group", F.ceil(part).cast("int").alias("_chunks"), large.alias("_large")), "heavy")
 
     def bundle(df: DataFrame) -> DataFrame:
         df = df.join(F.broadcast(heavy.withColumnRenamed("_group", "_heavy")), F.col("_group") == F.col("_heavy"), "left")
         light = F.pmod(F.col("_group")["col1"], F.lit(BUNDLES))
         chunk = F.pmod(F.xxhash64("_id"), F.coalesce(F.col("_chunks"), F.lit(1)))
         key = F.when(F.col("_chunks").isNull(), light).otherwise(F.xxhash64("_group", chunk))
-        return df.withColumns({"_light": F.col("_chunks").isNull(), "_bundle": key}).drop("_heavy", "_chunks")
+        unit = F.when(F.col("_large"), key).when(F.col("_chunks").isNull(), light).otherwise(F.xxhash64("_group"))
+        return df.withColumns({"_light": F.col("_chunks").isNull(), "_bundle": key, "_unit": unit}).drop("_heavy", "_chunks", "_large")
 
-    sums = bundle(measured).groupBy("_light", "_bundle").agg(F.sum("_size").alias("b"), F.sum("_tokens").alias("t"), F.count("*").alias("r"))
+    sums = bundle(measured).groupBy("_light", "_bundle", "_unit").agg(F.sum("_size").alias("b"), F.sum("_tokens").alias("t"), F.count("*").alias("r"))
     rows = sorted(sums.collect(), key=lambda x: (x["_light"], x["_bundle"]))  # bounded, see above
     vectors = np.array([[x["b"], x["t"], x["r"]] for x in rows], dtype=np.int64)
-    where = pack(vectors, n)
+    units: dict[tuple[bool, int], int] = {}
+    unit = np.array([units.setdefault((x["_light"], x["_unit"]), len(units)) for x in rows])
+    whole = np.zeros((len(units), vectors.shape[1]), dtype=np.int64)
+    np.add.at(whole, unit, vectors)
+    where = pack(whole, n)[unit]
     offset = np.zeros(len(rows), dtype=np.int64)
     filled = [0] * n
     for k, s in enumerate(where):

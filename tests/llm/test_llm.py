@@ -180,6 +180,19 @@ def test_shards_balance_and_hold_groups(spark):
     assert all(g.sort_values().tolist() == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_shards_hold_groups_at_every_size(spark, sf):
+    """Equal texts share a shard unless they are over half of what a shard holds."""
+    d = DATA.replace("0.001", sf)
+    texts = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").toPandas().fillna({"text": "\0"})
+    got = sharding.op7_shard(spark, d).toPandas().merge(texts, on="doc_id")
+    groups = got.groupby("text").agg(b=("size", "sum"), r=("size", "size"), shards=("shard", "nunique"))
+    share = np.maximum(groups["b"] / got["size"].sum(), groups["r"] / len(got)) * 24
+    small = groups[(groups["r"] > 1) & (share <= 0.5)]
+    assert len(small) >= 8 and (small["shards"] == 1).all()
+    assert all(g.sort_values().tolist() == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
+
+
 def test_hot_group_is_split(spark):
     rows = [(i, "copy of one text", "en", "s") for i in range(3000)] + [(5000 + i, f"text number {i}", "en", "s") for i in range(1000)]
     got = sharding.shards(table(spark, rows), 8).toPandas()
