@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metalith.functions import geometry as G
@@ -137,6 +137,25 @@ def suffix_rank(suffix: Column) -> Column:
     return F.when(suffix == "h-only", 0).when(suffix == "", 1).otherwise(2)
 
 
+def places(df: DataFrame, *by: str, name: str = "place") -> DataFrame:
+    """``df`` with the place of every row in ascending order of ``by``, nulls last.
+
+    Rows go to ranges of the order, found from a sample by hash; a place is the rank in the
+    range after the counts of the ranges before, so no task orders all rows. Equal ``by`` are
+    in one range and placed in any order, so ``by`` should end in an id."""
+    order = [c for k in by for c in (F.col(k).isNull(), F.col(k))]
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    bins, each = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 20
+    one_in = max(1, df.count() // (bins * each))
+    sample = df.where(F.pmod(F.xxhash64(*by), F.lit(one_in)) == 0).agg(F.sort_array(F.collect_list(key)).alias("_keys"))
+    bounds = sample.select(F.filter("_keys", lambda _, i: i % each == each - 1).alias("_bounds"))
+    ranged = df.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_rank", rank).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_rank")).drop("_range", "_rank", "_before")
+
+
 @query("group_order", "SELECT c_custkey, CAST(CASE c_custkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 5 END AS INTEGER) AS rank FROM customer")
 def group_order(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")
@@ -193,6 +212,12 @@ def volume_order(spark, d):
     return top.select("c_custkey", F.row_number().over(Window.orderBy("c_acctbal", "c_name", "c_custkey")).cast("long").alias("place"))
 
 
+@query("volume_places", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_name, c_custkey) AS place FROM customer")
+def volume_places(spark, d):
+    """The place of every row; ``volume_order`` has the first 50 only."""
+    return places(spark.read.parquet(f"{d}/customer.parquet"), "c_acctbal", "c_name", "c_custkey").select("c_custkey", "place")
+
+
 @query("pair_match", "SELECT c.c_custkey, min(s.s_suppkey) AS s_suppkey FROM customer c JOIN supplier s ON s.s_nationkey = c.c_nationkey GROUP BY c.c_custkey")
 def pair_match(spark, d):
     """Each model with the first experiment of its key."""

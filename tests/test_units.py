@@ -267,3 +267,23 @@ def test_report_columns(spark, tmp_path):
     assert (r["GEOM"], r["COORD"], r["OTHER_METALS"], r["CLUSTER_TYPE"], r["RESOLUTION_A"]) == ("LIN", "2N", "FE:1", "multi_hetero", "NA")
     report.write_csv(out, str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 1
+
+
+def test_places_number_every_row(spark):
+    from metalith.plans.graph_queries import places
+
+    rng = random.Random(3)
+    data = [(i, rng.choice([None, 0.0, -1.5, float(rng.randint(0, 40))]), rng.choice([None, "a", "b"])) for i in range(3000)]
+    df = spark.createDataFrame(data, "i long, v double, s string").repartition(7)
+    order = sorted(data, key=lambda r: (r[1] is None, r[1] or 0.0, r[2] is None, r[2] or "", r[0]))
+    assert {r["i"]: r["place"] for r in places(df, "v", "s", "i").collect()} == {r[0]: k for k, r in enumerate(order, 1)}
+    assert places(df.limit(0), "v", "s", "i").count() == 0
+
+
+def test_volume_places_have_all_customers(spark):
+    from metalith.plans import registry
+
+    from .conftest import DATA
+
+    n = spark.read.parquet(f"{DATA}/customer.parquet").count()
+    assert n > 50 and sorted(r["place"] for r in registry.QUERIES["volume_places"](spark, DATA).collect()) == list(range(1, n + 1))
