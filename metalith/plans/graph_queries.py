@@ -133,6 +133,11 @@ def angle_token(token: Column) -> Column:
     return F.when(token.startswith("neg"), -F.substring(token, 4, 10).try_cast("double")).otherwise(token.try_cast("double"))
 
 
+def markdown_cell(value: Column) -> Column:
+    """A value with its pipes escaped, whole."""
+    return F.replace(value, F.lit("|"), F.lit("\\|"))
+
+
 def suffix_rank(suffix: Column) -> Column:
     return F.when(suffix == "h-only", 0).when(suffix == "", 1).otherwise(2)
 
@@ -244,3 +249,9 @@ def json_metadata(spark, d):
 @query("markdown_escape", r"SELECT doc_id, replace(substr(text, 1, 200), '|', '\|') AS cell FROM documents")
 def markdown_escape(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.replace(F.substring("text", 1, 200), F.lit("|"), F.lit("\\|")).alias("cell"))
+
+
+@query("markdown_cells", r"SELECT doc_id, replace(text, '|', '\|') AS cell FROM documents")
+def markdown_cells(spark, d):
+    """Whole texts; ``markdown_escape`` has their first 200 characters only."""
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", markdown_cell(F.col("text")).alias("cell"))
