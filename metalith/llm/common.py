@@ -14,6 +14,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows that goes to a Python worker; texts may be long.
+BATCH_BYTES = 32 << 20
+
 # Python workers get this package's functions with their tasks and need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
@@ -23,9 +26,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    batched(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def batched(spark: SparkSession) -> None:
+    """Bound the batches of Python workers by bytes, unless the session has its own bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -70,6 +89,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The intermediate tables of one call, in a folder of their own in the shared folder.
+
+    Each is written, which cuts the lineage and survives lost executors, and dropped
+    after its last reader."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.top = spark, new_path(spark, name)
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.top}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more, and the shuffles that wrote them."""
+        for name in names:
+            removed(self.spark, f"{self.top}/{name}")
+        freed(self.spark)
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """``df`` with a row number that is the same whenever it is read.
 

@@ -25,6 +25,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         roots = spark.read.parquet(path)
         if not roots.where("moved").limit(1).count():
+            removed(spark, at)
             return roots.select("node", "root")
         near = edges.join(roots.select(F.col("node").alias("y"), "root"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("m"))
         step = roots.select("node", F.col("root").alias("old")).join(near, "node").select("node", "old", F.least("old", "m").alias("r"))

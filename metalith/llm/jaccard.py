@@ -10,9 +10,10 @@
    All other links need common difference tokens, so a prefix filter on the
    differences finds them, rare tokens first, without visiting all pairs.
 4. Across groups the token-group matrix holds, per group, the union of its members'
-   prefix tokens. The tokens that a query has in common with a group's union bound its
-   overlap with every member; only groups that reach the bound are opened, and their
-   members verified with whole sets.
+   prefix tokens, by which queries look groups up. The tokens that a query has in common
+   with the union of a group's whole sets bound its overlap with every member; only
+   groups that reach the bound are opened, and their members verified with whole sets.
+   Groups that the links so far join into one component count as one.
 5. Components of the links give the smallest document id.
 
 Prefixes are ordered by a rarity class from a fixed-size count sketch over all texts;
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import freed, new_path, numbered, read, removed, stored
+from .common import Scratch, batched, freed, numbered, read, stored
 from .components import components
 
 WORDS, PERCENT = 3, 90
 #: Counters of the rarity sketch (one byte each goes to every task).
-SKETCH = 1 << 20
+SKETCH, PARTS = 1 << 20, 64
 #: Min-hash pairs per class that bring it to a leader.
 PAIRS = 4
 #: Up to so many ids are broadcast to pick texts from a scan (about 40 bytes each); beyond, a join shuffles.
@@ -128,26 +129,55 @@ def distance(n: int, m: int, percent: int) -> int:
 
 
 def _sketch(k: int):
+    """Counters of one task, cut into PARTS rows: small ones, however many tasks there are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, powers = np.zeros(SKETCH, dtype=np.int64), Powers()
+        count, powers, held, n = np.zeros(SKETCH, dtype=np.int64), Powers(), [], 0
         for batch in batches:
             for x in batch.column(0):
-                h = shingles(x.as_py(), k, powers)
-                if len(h):
-                    count += np.bincount((h & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(h) > 4096 else 0
-                    if len(h) <= 4096:
-                        np.add.at(count, (h & _U(SKETCH - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(count)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["slot", "n"])
+                held.append((shingles(x.as_py(), k, powers) & _U(SKETCH - 1)).astype(np.int64))
+                n += len(held[-1])
+                if n > SKETCH:
+                    count, held, n = count + np.bincount(np.concatenate(held), minlength=SKETCH), [], 0
+        if held:
+            count += np.bincount(np.concatenate(held), minlength=SKETCH)
+        if count.any():
+            parts = count.reshape(PARTS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in parts], pa.binary())], ["part", "counts"])
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = np.frombuffer(counts.as_buffer(), dtype="<i8")
+            sums[part] = sums[part] + x if part in sums else x
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
+
+
+def rarities(texts: DataFrame, k: int) -> np.ndarray:
+    """Rarity class of each slot of the sketch over the shingles of all texts: a byte each."""
+    parts = texts.select("_text").mapInArrow(_sketch(k), "part int, counts binary").repartition(PARTS, "part")
+    table = np.zeros((PARTS, SKETCH // PARTS), dtype=np.int64)
+    for r in parts.mapInArrow(_summed, "part int, counts binary").collect():  # PARTS rows, 8 bytes a counter
+        table[r["part"]] = np.frombuffer(r["counts"], dtype="<i8")
+    return np.minimum(2 * np.log2(np.maximum(table.reshape(-1), 1)), 127).astype(np.uint8)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Short batches, so that what a worker makes of one stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _described(k: int, percent: int, rarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, table = Powers(), rarity.value
-        for batch in batches:
+        for batch in _slices(batches):
             out = {"n": [], "sig": [], "prefix": [], "mins": [], "central": []}
             for x in batch.column(1):
                 h = shingles(x.as_py(), k, powers)
@@ -170,7 +200,7 @@ def _described(k: int, percent: int, rarity):
 def _sets(k: int, rarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, table = Powers(), rarity.value
-        for batch in batches:
+        for batch in _slices(batches):
             hs = [shingles(x.as_py(), k, powers) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([signature(h) for h in hs], pa.binary()), pa.array([ranked(h, table).tobytes() for h in hs], pa.binary())], ["sig", "set"]
@@ -179,18 +209,20 @@ def _sets(k: int, rarity):
     return run
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame, classes: DataFrame, k: int, rarity) -> DataFrame:
+def sets_of(work: Scratch, texts: DataFrame, wanted: DataFrame, classes: DataFrame, k: int, rarity, name: str) -> DataFrame:
     """``(cid, set)`` of the classes in ``wanted`` (column cid), read anew from the texts of
     their first documents: only these texts are hashed again, and no other set is stored."""
     ids = classes.select("cid", "sig", F.col("doc").alias("_want")).join(wanted.distinct(), "cid", "left_semi")
-    ids = stored(ids, "wanted")
+    ids = work.put(ids, name + "-wanted")
     picked = ids.select("_want").distinct()
     if picked.count() <= BROADCAST_IDS:
         picked = F.broadcast(picked)
     rows = texts.join(picked, texts["_id"].eqNullSafe(picked["_want"]), "left_semi").select("_text")
     found = rows.mapInArrow(_sets(k, rarity), "sig binary, set binary")
     found = found.join(ids.select("sig", "cid"), "sig").groupBy("cid").agg(F.first("set").alias("set"))
-    return stored(found, "sets")
+    found = work.put(found, name)
+    work.drop(name + "-wanted")
+    return found
 
 
 # -- inside groups ------------------------------------------------------------------------------
@@ -200,7 +232,7 @@ _DELTA = pa.schema([("leader", pa.int64()), ("cid", pa.int64()), ("n", pa.int64(
 
 def _deltas(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+        for batch in _slices(batches):
             out = []
             for leader, cid, mine, other in zip(*batch.columns, strict=True):
                 a, b = (np.frombuffer(x.as_buffer(), dtype=_U) for x in (mine, other))
@@ -233,7 +265,7 @@ def _probes(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x in (row for k in range(0, batch.num_rows, 256) for row in batch.slice(k, 256).to_pylist()):
+            for x in (row for part in _slices([batch]) for row in part.to_pylist()):
                 s, alone, shared = x["size"], x["size"] - len(x["shared"]), x["shared"]
                 most = distance(x["n"], 100 * x["n"] // percent, percent)
 
@@ -252,15 +284,17 @@ def _probes(percent: int):
     return run
 
 
-def _inside(members: DataFrame, percent: int) -> DataFrame:
+def _inside(work: Scratch, members: DataFrame, percent: int) -> DataFrame:
     """Links between members of one group of which not both are linked to the leader."""
-    m = members.where("near and size > 0")
-    tokens = m.select("leader", "cid", F.explode("delta").alias("token"))
-    counts = tokens.groupBy("leader", "token").agg(F.count("*").alias("c")).where("c > 1")
+    loose = members.where("near and not linked").select("leader").distinct()
+    m = members.where("near and size > 0").join(loose, "leader", "left_semi")
+    tokens = m.select("leader", "cid", "linked", F.explode("delta").alias("token"))
+    # a token that no loose member has is as good as one that no other member has
+    counts = tokens.groupBy("leader", "token").agg(F.count("*").alias("c"), F.sum((~F.col("linked")).cast("int")).alias("k")).where("c > 1 and k > 0")
     shared = tokens.join(counts, ["leader", "token"]).groupBy("leader", "cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "token"))), lambda x: x["token"]).alias("shared"))
     rows = m.select("leader", "cid", "n", "size", "linked").join(shared, ["leader", "cid"])
     probes = rows.mapInArrow(_probes(percent), "leader long, token long, bucket int, small boolean, cid long, size long, n long, place long, linked boolean")
-    probes = stored(probes, "probes")
+    probes = work.put(probes, "probes")
     side = lambda x: [F.col(k).alias(k[0] + x) for k in ("size", "n", "place", "linked")]
     a = probes.where("small").select("leader", "token", "bucket", F.col("cid").alias("a"), *side("a"))
     b = probes.where("not small").select("leader", "token", "bucket", F.col("cid").alias("b"), *side("b"))
@@ -297,43 +331,108 @@ def _verified(percent: int):
     return run
 
 
-def _across(cand: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of different groups that the token-group matrix leaves, sizes checked.
+def _grouped(cand: DataFrame, leaders: DataFrame, roots: DataFrame) -> DataFrame:
+    """``cid, grp, size, comp``: group, its number of classes and the component so far.
+
+    A leader's group whose members are all linked already is merged with all others of
+    its component (numbered below 0): the answer is components, so nothing inside one
+    is compared any more."""
+    c = cand.select("cid").join(leaders, "cid", "left").join(roots.select(F.col("node").alias("cid"), F.col("root").alias("comp")), "cid", "left")
+    c = c.select("cid", F.coalesce("leader", "cid").alias("led"), F.coalesce("comp", "cid").alias("comp"))
+    one = c.groupBy("led").agg((F.min("comp") == F.max("comp")).alias("one"))
+    c = c.join(one, "led").select("cid", "comp", F.when(F.col("one"), -1 - F.col("comp")).otherwise(F.col("led")).alias("grp"))
+    return c.join(c.groupBy("grp").agg(F.count("*").alias("size")), "grp")
+
+
+def _looked_up(work: Scratch, cand: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(queries, looked-up)``: classes with the tokens that they share with other groups,
+    and the groups that each must be compared with (cid, g).
 
     A query must meet ``need`` of its tokens in a group. Without its need - h most frequent
-    tokens it still meets h of them, so groups are looked up by the others, and only those
-    with h hits are bounded by all tokens."""
-    c = cand.join(groups, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
-    rows = c.select("cid", "grp", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    tokens it still meets h of them, so groups are looked up by the others. The class of
+    the smaller group asks, so a class far from a large family asks it once, not each of
+    its members. Pairs inside a component add nothing to it and are left out; so are those
+    inside a leader's group, which are settled."""
+    rows = cand.select("cid", "grp", "size", "comp", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
     # tokens of one group alone meet no other; the rest are the rows of the matrix
     of_token = Window.partitionBy("token")
     rows = rows.withColumns({"_low": F.min("grp").over(of_token), "_high": F.max("grp").over(of_token), "c": F.count("*").over(of_token)})
-    rows = rows.where("_low < _high").groupBy("cid", "grp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("met"))
+    rows = rows.where("_low < _high").groupBy("cid", "grp", "size", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("met"))
     rows = rows.withColumn("need", _reaches(percent).cast("int")).where(F.size("met") >= F.col("need"))
-    rows = stored(rows.select("cid", "grp", "n", "need", F.transform("met", lambda t: t["token"]).alias("met")), "queries")
-    freed(cand.sparkSession)
-    matrix = rows.select(F.col("grp").alias("g"), "n", F.explode("met").alias("token")).groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = stored(matrix, "matrix")
+    rows = work.put(rows.select("cid", "grp", "size", "comp", "n", "need", F.transform("met", lambda t: t["token"]).alias("met")), "queries")
+    freed(work.spark)
+    matrix = rows.select(F.col("grp").alias("g"), F.col("size").alias("gs"), "n", F.explode("met").alias("token")).groupBy("token", "g", "gs").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     hits = F.least(F.col("need"), F.lit(HITS))
-    probe = rows.select("cid", "grp", "n", hits.alias("hits"), F.explode(F.slice("met", F.lit(1), F.size("met") - F.col("need") + hits)).alias("token"))
-    fits = (F.col("g") < F.col("grp")) & (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))
-    met = probe.join(matrix, "token").where(fits).groupBy("cid", "hits", "g").agg(F.count("*").alias("k")).where(F.col("k") >= F.col("hits"))
-    met = stored(met.select("cid", "g"), "looked-up")
-    # the bound: all tokens that the query and the group's union have in common
-    full = met.join(rows.select("cid", "n", "need", F.explode("met").alias("token")), "cid").join(matrix.select("token", "g"), ["token", "g"])
-    qualified = full.groupBy("cid", "n", "need", "g").agg(F.count("*").alias("bound")).where(F.col("bound") >= F.col("need"))
-    members = rows.select(F.col("grp").alias("g"), F.col("cid").alias("b"), F.col("n").alias("nb"))
-    opened = qualified.join(members, "g").where((100 * F.col("n") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("n")))
-    opened = stored(opened.select(F.col("cid").alias("a"), "b", "need"), "qualified")
+    probe = rows.select("cid", "grp", "size", "comp", "n", hits.alias("hits"), F.explode(F.slice("met", F.lit(1), F.size("met") - F.col("need") + hits)).alias("token"))
+    asks = (F.col("size") < F.col("gs")) | ((F.col("size") == F.col("gs")) & (F.col("grp") < F.col("g")))
+    fits = asks & (F.col("g") != -1 - F.col("comp")) & (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))
+    met = probe.join(matrix, "token").where(fits).groupBy("cid", "hits", "g", "gs").agg(F.count("*").alias("k")).where(F.col("k") >= F.col("hits"))
+    return rows, work.put(met.select("cid", "g", "gs"), "looked-up")
+
+
+def _tokens_of(sets: DataFrame, key: str) -> DataFrame:
+    """``key, token``: whole sets as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 64):
+            size = np.array([len(x.as_buffer()) // 8 for x in batch.column(1)], dtype=np.int64)
+            tokens = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]) if len(size) else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(tokens)], [key, "token"])
+
+    return sets.select(key, "set").mapInArrow(run, f"{key} long, token long")
+
+
+def _qualified(work: Scratch, asked: DataFrame, rows: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the groups of several classes that queries look up, those whose token union has
+    as many of the query's tokens in common as its smallest linkable member asks for."""
+    union = groups.join(asked.select(F.col("g").alias("grp")).distinct(), "grp", "left_semi").join(sets, "cid").select("grp", "set")
+    union = _tokens_of(union, "grp").distinct()
+    low = rows.groupBy(F.col("grp").alias("g")).agg(F.min("n").alias("low"))
+    queries = asked.join(sets, "cid").select(F.struct("cid", "g").alias("k"), "set")
+    number = work.put(queries.withColumn("q", F.monotonically_increasing_id()), "asked")
+    met = _tokens_of(number, "q").join(number.select("q", "k.g"), "q").join(union.withColumnRenamed("grp", "g"), ["g", "token"])
+    bound = met.groupBy("q").agg(F.count("*").alias("bound"))
+    found = number.select("q", "k.cid", "k.g").join(bound, "q").join(rows.select("cid", "n"), "cid").join(low, "g")
+    ask = F.greatest(F.ceil(percent * F.col("n") / 100), F.ceil(percent * (F.col("n") + F.col("low")) / (100 + percent)))
+    found = work.put(found.where(F.col("bound") >= ask).select("cid", "g"), "qualified")
+    work.drop("asked")
+    return found
+
+
+def _opened(work: Scratch, rows: DataFrame, qualified: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a query and a member of a group that qualifies: not of one
+    component yet, of sizes that can be linked, with enough prefix tokens in common."""
+    members = rows.select(F.col("grp").alias("g"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    apart = (F.col("comp") != F.col("cb")) & (100 * F.col("n") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("n"))
+    pairs = qualified.join(rows.select("cid", "n", "comp", "need"), "cid").join(members, "g").where(apart).select(F.col("cid").alias("a"), "b", "need")
     side = lambda x: rows.select(F.col("cid").alias(x), F.col("met").alias("m" + x))
-    opened = opened.join(side("a"), "a").join(side("b"), "b")
-    return opened.where(F.size(F.array_intersect("ma", "mb")) >= F.col("need")).select("a", "b").distinct()
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    return work.put(pairs.where(F.size(F.array_intersect("ma", "mb")) >= F.col("need")).select("a", "b"), "opened")
 
 
 # -- the join -----------------------------------------------------------------------------------
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def _leaders(work: Scratch, cand: DataFrame) -> DataFrame:
+    """``(cid, leader)``: of the classes that share a key with a class and half of its
+    min-hashes, the most central one leads it, the one whose tokens are least rare and so
+    most shared; or that one's own leader, if alike too. Other classes stay alone, which
+    is always right."""
+    mins, rank = F.col("mins"), F.struct("central", (-F.col("cid")).alias("m"))
+    alike = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, v: n + v) >= PAIRS
+    key = cand.select("cid", "mins", rank.alias("r"), F.explode(F.array(*[F.xxhash64(mins[2 * j], mins[2 * j + 1], F.lit(j)) for j in range(PAIRS)])).alias("key"))
+    first = key.groupBy("key").agg(F.max(F.struct("r", "mins")).alias("top"), F.count("*").alias("c")).where("c > 1").drop("c")
+    tries = key.join(first, "key").where((F.col("top.r") != F.col("r")) & alike("mins", "top.mins"))
+    near = work.put(tries.groupBy("cid").agg(F.first("mins").alias("mins"), F.max("top").alias("top")), "near")
+    again = near.select((-F.col("cid")).alias("m"), F.col("top").alias("up"))
+    led = near.withColumn("m", F.col("top.r.m")).join(again, "m", "left")
+    leader = F.when(F.col("up").isNotNull() & alike("mins", "up.mins"), F.col("up")).otherwise(F.col("top"))
+    led = work.put(led.select("cid", (-leader["r"]["m"]).alias("leader")), "led")
+    work.drop("near")
+    return led
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, work: Scratch | None = None) -> DataFrame:
     """``_id, n, sig, component``: per input row the size of its set, its class, and the
     smallest id it reaches by links (100 * intersection >= percent * union).
 
@@ -341,58 +440,54 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id is larger than any other; repeated rows are equal sets and so one component; an
     empty table gives an empty result. Links are exact up to hash collisions of 56 bits."""
     spark = docs.sparkSession
+    batched(spark)
+    work = work or Scratch(spark, "near-copies")
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     id_type = dict(texts.dtypes)["_id"]
-    counted = texts.select("_text").mapInArrow(_sketch(words), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(SKETCH, dtype=np.int64)
-    table[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    rarity = spark.sparkContext.broadcast(np.minimum(2 * np.log2(np.maximum(table, 1)), 127).astype(np.uint8))
+    rarity = spark.sparkContext.broadcast(rarities(texts, words))
     rows = texts.mapInArrow(_described(words, percent, rarity), f"_id {id_type}, n long, sig binary, prefix array<long>, mins array<long>, central long")
-    full = new_path(spark, "described")
-    rows.write.parquet(full)
-    described = spark.read.schema(rows.schema).parquet(full)
+    described = work.put(rows, "described")
     classes = described.where("n > 0").groupBy("sig").agg(F.min("_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("mins").alias("mins"), F.first("central").alias("central"))
     # the number of a class is fixed by being written
-    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    rows = stored(described.select("_id", "n", "sig"), "rows")
-    removed(spark, full)
-    freed(spark)
+    classes = work.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    rows = work.put(described.select("_id", "n", "sig"), "rows")
+    work.drop("described")
     cand = classes.where(F.size("prefix") > 0).select("cid", "n", "prefix", "mins", "central")
 
-    # groups: of the classes that share a key, the most central one leads, the one whose tokens
-    # are least rare and so most shared; then that one's own leader
-    mins, rank = F.col("mins"), F.struct("central", (-F.col("cid")).alias("m"))
-    key = cand.select("cid", rank.alias("r"), F.explode(F.array(*[F.xxhash64(mins[2 * j], mins[2 * j + 1], F.lit(j)) for j in range(PAIRS)])).alias("key"))
-    first = key.groupBy("key").agg(F.max("r").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
-    near = stored(key.select("cid", "key").join(first, "key").groupBy("cid").agg(F.max("leader").alias("leader")), "near")
-    again = near.select((-F.col("cid")).alias("m"), F.col("leader").alias("top"))
-    led = near.select("cid", "leader", F.col("leader.m").alias("m")).join(again, "m", "left").select("cid", (-F.greatest("leader", F.coalesce("top", "leader"))["m"]).alias("leader")).where("cid <> leader")
-    # whoever seems unlike its leader stays alone, which is always right
-    led = led.join(cand.select("cid", "mins"), "cid").join(cand.select(F.col("cid").alias("leader"), F.col("mins").alias("lm")), "leader")
-    alike = F.aggregate(F.zip_with("mins", "lm", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, v: a + v)
-    led = stored(led.where(alike >= PAIRS).select("cid", "leader"), "led")
-    freed(spark)
-    wanted = led.select("cid").union(led.select(F.col("leader").alias("cid")))
-    sets = sets_of(texts, wanted, classes, words, rarity)
-    pairs = led.join(sets, "cid").join(sets.select(F.col("cid").alias("leader"), F.col("set").alias("other")), "leader").select("leader", "cid", "set", "other")
-    members = stored(pairs.mapInArrow(_deltas(percent), "leader long, cid long, n long, linked boolean, near boolean, size long, delta array<long>"), "members")
-    freed(spark)
-    links = members.where("linked").select(F.col("leader").alias("a"), F.col("cid").alias("b")).unionByName(_inside(members, percent))
-    links = stored(links, "links")
+    leaders = _leaders(work, cand)
+    wanted = leaders.select("cid").union(leaders.select(F.col("leader").alias("cid")))
+    sets = sets_of(work, texts, wanted, classes, words, rarity, "sets")
+    pairs = leaders.join(sets, "cid").join(sets.select(F.col("cid").alias("leader"), F.col("set").alias("other")), "leader").select("leader", "cid", "set", "other")
+    members = work.put(pairs.mapInArrow(_deltas(percent), "leader long, cid long, n long, linked boolean, near boolean, size long, delta array<long>"), "members")
+    work.drop("led")
+    links = members.where("linked").select(F.col("leader").alias("a"), F.col("cid").alias("b")).unionByName(_inside(work, members, percent))
+    inner = components(links, "a", "b")
+    work.drop("probes")
 
     # across groups; a leader is in its own group unless it is near another leader
-    mine = members.where("near").select("cid", F.col("leader").alias("grp"))
-    open_pairs = stored(_across(cand.select("cid", "n", "prefix"), mine, percent), "opened")
-    freed(spark)
-    more = sets_of(texts, open_pairs.select(F.col("a").alias("cid")).union(open_pairs.select(F.col("b").alias("cid"))), classes, words, rarity)
-    checked = open_pairs.join(more.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(more.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
-    links = stored(links.unionByName(checked.select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a long, b long")), "all-links")
-    freed(spark)
-
-    roots = components(links, "a", "b")
-    rooted = classes.select("cid", "sig", "doc").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    groups = work.put(_grouped(cand, members.where("near").select("cid", "leader"), inner), "groups")
+    work.drop("members")
+    rows_, met = _looked_up(work, cand.select("cid", "n", "prefix").join(groups, "cid"), percent)
+    alone = met.where("gs = 1").select("cid", F.col("g").alias("grp")).join(groups.select("grp", F.col("cid").alias("other")), "grp")
+    wanted = met.select("cid").union(alone.select(F.col("other").alias("cid"))).distinct().join(sets.select("cid"), "cid", "left_anti")
+    sets = sets.unionByName(sets_of(work, texts, wanted, classes, words, rarity, "more-sets"))
+    qualified = _qualified(work, met.where("gs > 1").select("cid", "g"), rows_, groups, sets, percent)
+    pairs = _opened(work, rows_, qualified.unionByName(met.where("gs = 1").select("cid", "g")), percent)
+    work.drop("qualified", "looked-up", "queries", "groups")
+    checked = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
+    links = checked.select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a long, b long")
+    # of each component so far only its root goes on
+    root = lambda x: inner.select(F.col("node").alias(x), F.col("root").alias("r" + x))
+    links = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    outer = components(links, "a", "b")
+    work.drop("opened", "more-sets", "sets")
+
+    rooted = classes.select("cid", "sig", "doc").join(inner.select(F.col("node").alias("cid"), F.col("root").alias("r1")), "cid", "left")
+    rooted = rooted.withColumn("r1", F.coalesce("r1", "cid")).join(outer.select(F.col("node").alias("r1"), F.col("root").alias("r2")), "r1", "left")
+    rooted = rooted.select("sig", "doc", F.coalesce("r2", "r1").alias("root"))
     ends = rooted.groupBy("root").agg(F.min("doc").alias("component"))
-    of = stored(rooted.join(ends, "root").select("sig", "component"), "components")
+    of = work.put(rooted.join(ends, "root").select("sig", "component"), "components")
+    work.drop("classes")
     out = rows.join(of, "sig", "left")
     return out.select("_id", "n", "sig", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component"))
 
@@ -408,8 +503,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     i, t = F.col(names[id_col]), F.col(names[text_col])
     # no two rows have the same key, so a component is named by the one row that stays
     key = F.struct(i.isNull().alias("absent"), i.alias("id"), F.xxhash64(t).alias("text"), F.col("_row").alias("row"))
-    found = near_copies(inner.select(key.alias("_key"), t.alias("_text")), "_key", "_text", words, percent)
+    work = Scratch(docs.sparkSession, "one-of-each")
+    found = near_copies(inner.select(key.alias("_key"), t.alias("_text")), "_key", "_text", words, percent, work)
     keep = stored(found.where((F.col("n") == 0) | (F.col("_id") == F.col("component"))).select(F.col("_id.row").alias("_row")), "keep")
+    work.drop("rows", "components")
     return inner.join(keep, "_row", "inner").select(*[F.col(a).alias(c) for c, a in names.items()])
 
 
