@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import sys
 import types
 import zlib
@@ -27,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, read, removed
+from .common import batched, new_path, read, removed
 
 SCALE = 18
 LANES = 2048
@@ -39,7 +39,8 @@ LOW = np.uint64(1 << 31)
 BLOCK = 1 << 18
 CHECKPOINT_STEPS = 64
 END = 0
-TEXTS = 512
+#: Texts, and about how many bytes of them, that are tokenised at once.
+TEXTS, TEXT_BYTES = 16384, 24 << 20
 NO_ID = -(1 << 63)
 MAGIC = b"MLB1"
 
@@ -147,22 +148,26 @@ def read_block(coder: Coder, data: bytes, first_mark: int = 0):
 
 # -- files --------------------------------------------------------------------------------------
 
-#: Most pieces of text whose ids a Python worker remembers (about 200 bytes each).
-PIECES = 1_200_000
 #: Pieces that the library encodes as one text.
 RUN = 50
+_WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Texts in which some space is not between two visible characters.
+_ODD = rf"{_WHITE}{_WHITE}|^{_WHITE}|{_WHITE}$"
+#: Pieces that begin with a space and hold no other white space at their ends.
+_PLAIN = rf"(?s)^ [^{_WHITE[1:]}(.*[^{_WHITE[1:]})?$"
 #: A space between two visible characters always begins a new piece of a byte-level tokenizer.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s$|\0")
+_CUT = rf"([^{_WHITE[1:]}) ([^{_WHITE[1:]})"
 
 
 class Tokens:
     """Ids of whole texts by the tokenizers library.
 
     A byte-level tokenizer looks at each word with the space before it on its own, so a
-    text is cut at single spaces, each distinct piece is encoded once by the library and
-    remembered, and a text's ids are its pieces' ids in a row. Texts that hold one of
-    the tokenizer's added tokens are encoded whole, as are all texts of other tokenizers."""
+    text is cut at single spaces, each distinct piece of a batch of texts is encoded once by
+    the library, and a text's ids are its pieces' ids in a row. Pieces are told apart by
+    Arrow and ids gathered by numpy. Texts that hold one of
+    the tokenizer's added tokens or a NUL, which marks the cuts, are encoded whole, as are
+    all texts of other tokenizers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -177,7 +182,6 @@ class Tokens:
         self.size = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, k in vocabulary.items():
             self.size[k] = len(token)  # the byte-level alphabet has a character for each byte
-        self.known: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str) -> Tokens:
@@ -191,43 +195,63 @@ class Tokens:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.encoder.encode_batch(texts, add_special_tokens=False)]
 
-    def pieces(self, new: list[str]) -> list[bytes]:
-        """Ids of pieces. Those that begin with the only space at their ends are encoded
-        in runs, whose ids are dealt back by their lengths in bytes."""
-        runs = [w for w in new if w[:1] == " " and not w[-1:].isspace() and not w[1:2].isspace()]
-        got = dict(zip(rest, self.whole(rest), strict=True)) if (rest := list(set(new).difference(runs))) else {}
-        if runs:
-            texts = ["".join(runs[k : k + RUN]) for k in range(0, len(runs), RUN)]
-            ids = np.array([k for x in self.encoder.encode_batch_fast(texts, add_special_tokens=False) for k in x.ids], dtype="<u4")
-            ends = np.cumsum([len(w.encode()) for w in runs])
-            at = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
-            raw = ids.tobytes()
-            a = 0
-            for w, b in zip(runs, at.tolist(), strict=True):
-                got[w] = raw[4 * a : 4 * b]
-                a = b
-        return [got[w] for w in new]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut: list[list[str] | None] = []
-        for x in texts:
-            if not self.by_piece or any(t in x for t in self.added):
-                cut.append(None)
-            elif _ODD.search(x):
-                first, *rest = _CUT.split(x)
-                cut.append([first, *(" " + w for w in rest)])
-            else:
-                cut.append(x.replace(" ", "\0 ").split("\0"))
-        known = self.known
-        if len(known) > PIECES:
-            known.clear()
-        # the distinct pieces of this batch are few, so each is looked up once in the large table
-        here = set().union(*filter(None, cut))
-        new = [w for w in here if w not in known]
-        known.update(zip(new, self.pieces(new), strict=True))
-        near = {w: known[w] for w in here}
-        return [b"".join(map(near.__getitem__, pieces)) if pieces is not None else self.whole([x])[0] for x, pieces in zip(texts, cut, strict=True)]
+    def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that begin with the only space at their ends, and where each piece's
+        end. They are encoded in runs, whose ids are dealt back by their lengths in bytes."""
+        n = len(runs)
+        heads = np.append(np.arange(0, n, RUN, dtype=np.int32), np.int32(n))
+        texts = pc.binary_join(pa.ListArray.from_arrays(heads, runs), pa.scalar("", runs.type)).to_pylist()
+        ids = np.fromiter((k for x in self.encoder.encode_batch_fast(texts, add_special_tokens=False) for k in x.ids), dtype=np.uint32)
+        ends = np.cumsum(pc.binary_length(runs).to_numpy())
+        return ids, np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+
+    def pieces(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, first, size)``: ids of distinct pieces, where each piece's begin and how many they are."""
+        plain = pc.match_substring_regex(new, _PLAIN)
+        runs, rest = new.filter(plain), new.filter(pc.invert(plain)).to_pylist()
+        ids, ends = self._runs(runs) if len(runs) else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+        more = [np.frombuffer(x, dtype="<u4") for x in self.whole(rest)]
+        ends = np.concatenate([ends, len(ids) + np.cumsum([len(x) for x in more], dtype=np.int64)])
+        mask = plain.to_numpy(zero_copy_only=False)
+        place = np.where(mask, np.cumsum(mask) - 1, len(runs) + np.cumsum(~mask) - 1)
+        size = np.diff(ends, prepend=0)
+        return np.concatenate([ids, *more]), (ends - size)[place].astype(np.int32), size[place].astype(np.int32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, sizes)``: ids of all texts in a row, and how many each text has."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, _ODD)
+        apart = pc.match_substring(texts, "\0") if self.by_piece else pa.array([True] * len(texts), pa.bool_())
+        for t in self.added if self.by_piece else ():
+            apart = pc.or_(apart, pc.match_substring(texts, t))
+        cut = pc.if_else(odd, pc.replace_substring_regex(pc.if_else(odd, texts, ""), _CUT, "\\1\0 \\2"), pc.replace_substring(texts, " ", "\0 "))
+        lists = pc.split_pattern(pc.if_else(apart, "", cut), "\0")
+        pieces = lists.flatten().dictionary_encode()
+        ids, first, size = self.pieces(pieces.dictionary)
+        piece = pieces.indices.to_numpy()
+        first, size = first[piece], size[piece]
+        total = np.concatenate([np.zeros(1, dtype=np.int32), np.cumsum(size, dtype=np.int32)])
+        ids = ids[np.repeat(first - total[:-1], size) + np.arange(total[-1], dtype=np.int32)]
+        offsets = lists.offsets.to_numpy()
+        ends = total[offsets - offsets[0]]
+        sizes = np.diff(ends).astype(np.int64)
+        if whole := np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist():
+            parts = np.split(ids, ends[1:-1])
+            for i, x in zip(whole, self.whole([texts[i].as_py() for i in whole]), strict=True):
+                parts[i] = np.frombuffer(x, dtype="<u4")
+                sizes[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, sizes
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of a batch, TEXTS and about TEXT_BYTES at a time."""
+    size = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = min(a + TEXTS, int(np.searchsorted(size, (size[a - 1] if a else 0) + TEXT_BYTES)) + 1, batch.num_rows)
+        yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
+        a = b
 
 
 def _tokenised(path: str, end: int):
@@ -237,7 +261,6 @@ def _tokenised(path: str, end: int):
         part, number, before, held = TaskContext.get().partitionId(), 0, 0, 0
         docs, lengths, chunks = [], [], []
         counts = np.zeros(0, dtype=np.int64)
-        last = np.array([end], dtype="<u4").tobytes()
 
         def row(counts=None):
             ids = np.concatenate(chunks) if chunks else np.zeros(0, dtype=np.uint32)
@@ -251,15 +274,19 @@ def _tokenised(path: str, end: int):
         encode = None
         for batch in batches:
             encode = encode or Tokens.of(path)
-            names, texts = batch.column(0), batch.column(1)
-            for k in range(0, batch.num_rows, TEXTS):
-                got = encode.encode([x or "" for x in texts.slice(k, TEXTS).to_pylist()])
-                for name, x in zip(names.slice(k, TEXTS).to_pylist(), got, strict=True):
-                    ids = np.frombuffer(x + last, dtype="<u4")
-                    docs.append(NO_ID if name is None else name)
-                    lengths.append(len(ids))
-                    chunks.append(ids)
-                    held += len(ids)
+            for names, texts in _slices(batch):
+                ids, sizes = encode.encode(texts)
+                ends = np.cumsum(sizes)
+                ids, sizes, ends = np.insert(ids, ends, end), sizes + 1, ends + np.arange(1, len(ends) + 1)
+                names, a = [NO_ID if x is None else x for x in names.to_pylist()], 0
+                while a < len(names):  # as many documents as the open block takes
+                    before_a = int(ends[a] - sizes[a])
+                    b = min(len(names), int(np.searchsorted(ends, before_a + BLOCK - held)) + 1)
+                    docs += names[a:b]
+                    lengths += sizes[a:b].tolist()
+                    chunks.append(ids[before_a : ends[b - 1]])
+                    held += len(chunks[-1])
+                    a = b
                     if held >= BLOCK:
                         counts = _added(counts, chunks)
                         yield row()
@@ -292,11 +319,18 @@ _CHUNK_DDL = "part int, number int, before long, n long, docs array<long>, lengt
 
 def write(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> str:
     """Tokenise ``docs`` and write them to folder ``out`` in ascending order of id (nulls
-    first, equal ids by text hash). Null and empty texts have the end id alone; an
-    empty table gives an empty file set."""
+    first, equal ids by text hash). Null and empty texts have the end id alone; repeated
+    rows are written each; an empty table gives an empty file set. Ids are whole numbers
+    above -2^63 (which stands for null in the files); other types are refused. Other
+    columns are not read."""
     spark = docs.sparkSession
+    batched(spark)
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids must be whole numbers: {id_col}")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    rows = rows.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text"))
+    # many documents of one id are dealt by their texts, and by row where these are equal too
+    rows = rows.withColumns({"_hash": F.xxhash64("_text"), "_row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("_id", "_hash", "_row").sortWithinPartitions("_id", "_hash").drop("_hash", "_row")
     chunks_path = new_path(spark, "tokens")
     rows.mapInArrow(_tokenised(tokenizer_path, end), _CHUNK_DDL).write.option("compression", "zstd").parquet(chunks_path)
     chunks = spark.read.schema(_CHUNK_DDL).parquet(chunks_path)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,8 +233,10 @@ def test_pieces_equal_whole_texts():
     import public_tokenizers
 
     t = tokens.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["a  b", " x", "y ", "", "a\n b", "a \nb", "<|endoftext|> q", "tab\tx  y", "²½ x", "don't  we'll", "a\0 b c", "\x1c x", "a　b c", "   ", "\n\n a\n\nb  c d", "plain words here"]
-    assert t.by_piece and t.encode(texts) == t.whole(texts)
+    texts = ["a  b", " x", "y ", "", "a\n b", "a \nb", "<|endoftext|> q", "tab\tx  y", "²½ x", "don't  we'll", "a\0 b c", "\x1c x", "a　b c", "   ", "\n\n a\n\nb  c d", "plain words here", None, "a b c d e  f g h i", "\x85 a b", "x\u2003y z"]
+    ids, sizes = t.encode(pa.array(texts))
+    assert t.by_piece and [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] == t.whole([x or "" for x in texts])
+    assert t.encode(pa.array([], pa.string()))[1].tolist() == []
 
 
 def test_mix_meets_targets(spark):
