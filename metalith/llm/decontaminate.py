@@ -1,14 +1,16 @@
 """Benchmark decontamination against a broadcast set of test n-grams.
 
-The test items' word windows form a hash table of checked size that every task
-holds. A document is scanned in one projection: a byte map over hashes of the
-first words of all windows leaves few start positions, only these become window
-strings, and an equi-join with the broadcast table verifies them exactly.
-Texts are never shuffled by the scan; only hits and narrow rows are.
+A document is scanned in one projection: a byte map over hashes of the first and of the
+last words of all windows leaves few start positions, only these become window strings,
+and an equi-join with the windows verifies them exactly. The map has a fixed size
+bound and is used however many windows there are. The windows themselves are a hash
+table that every task holds while they are few enough, else only what the map
+left is shuffled to them. Texts are never shuffled by the scan.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,10 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a text as it is, before lower-casing.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Words of a window that the byte map looks at.
+#: Words at either end of a window that the byte map looks at.
 HEAD = 3
+#: The byte map has at most 2^MOST_SLOTS bytes.
+MOST_SLOTS = 24
 #: Up to so many windows are broadcast (about 100 bytes each); beyond, the join shuffles.
 BROADCAST_WINDOWS = 200_000
 #: Up to so many ids of hit rows are broadcast (8 bytes each).
@@ -31,13 +35,31 @@ def norm_words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def _head(w: Column, i: Column | int, k: int, slots: int) -> Column:
-    """Slot of a window's first words in the byte map."""
-    return F.pmod(F.xxhash64(*[w[i + j] for j in range(min(HEAD, k))], F.lit(k)), F.lit(slots)).cast("int") + 1
+def _slot(w: Column, i: Column | int, k: int, slots: int, end: bool) -> Column:
+    """Slot (from 1) of a window's first or last words in a byte map."""
+    n = min(HEAD, k)
+    at = k - n if end else 0
+    return F.pmod(F.xxhash64(*[w[i + at + j] for j in range(n)], F.lit(k + 100 * end)), F.lit(slots)).cast("int") + 1
 
 
 def _marked(seen: Column, w: Column, k: int, slots: int):
-    return lambda i: F.substring(seen, _head(w, i, k, slots), F.lit(1)) == F.lit(b"\x01")
+    one = lambda i, end: F.substring(seen, _slot(w, i, k, slots, end), F.lit(1)) == F.lit(b"\x01")
+    return lambda i: one(i, False) & one(i, True)
+
+
+def _byte_map(table: DataFrame, ks: list[int], slots: int) -> bytes:
+    """A byte for each slot, 1 for those that the windows' first or last words take. The
+    driver gets one bitmap of 4 kB for each 32,768 slots."""
+    at = None
+    for k in ks:
+        one = table.where(F.col("k") == k)
+        one = one.select(F.explode(F.array(*[_slot(F.col("w"), 0, k, slots, end).cast("long") for end in (False, True)])).alias("s"))
+        at = one if at is None else at.unionByName(one)
+    maps = at.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    seen = np.zeros(-(-slots // 32_768) * 32_768, dtype=np.uint8)
+    for r in maps.collect():
+        seen[(r["b"] - 1) * 32_768 : r["b"] * 32_768] = np.unpackbits(np.frombuffer(r["m"], dtype=np.uint8), bitorder="little")
+    return seen[:slots].tobytes()
 
 
 def _window(w: Column, k: int):
@@ -66,18 +88,11 @@ def starts(df: DataFrame, table: DataFrame, text_col: str) -> tuple[DataFrame, b
     ks = sorted(r.k for r in table.select("k").distinct().collect())  # WINDOW values at most
     df = df.withColumn("_w", norm_words(F.col(text_col)))
     w, parts = F.col("_w"), []
-    slots = 1 << max(16, min(22, (16 * n).bit_length()))
-    if small and n:
-        seen = bytearray(slots)
-        for k in ks:
-            for r in table.where(F.col("k") == k).select(_head(F.col("w"), 0, k, slots).alias("s")).distinct().collect():
-                seen[r.s - 1] = 1
-        seen = F.lit(bytes(seen))
+    slots = 1 << max(16, min(MOST_SLOTS, (16 * n).bit_length()))
+    seen = F.lit(_byte_map(table, ks, slots)) if ks else None
     for k in ks:
         places = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
-        if small:
-            places = F.filter(places, _marked(seen, w, k, slots))
-        parts.append(F.transform(places, _window(w, k)))
+        parts.append(F.transform(F.filter(places, _marked(seen, w, k, slots)), _window(w, k)))
     empty = F.array().cast("array<struct<p:int,key:string>>")
     return df.withColumn("_c", F.concat(*parts) if parts else empty), small
 
@@ -85,12 +100,19 @@ def starts(df: DataFrame, table: DataFrame, text_col: str) -> tuple[DataFrame, b
 def hits(df: DataFrame, items: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), row: str | None = None) -> DataFrame:
     """Per input row: ``keep`` columns, ``n_words``, ``n_hit``, ``spans`` (sorted
     starts and lengths in words), ``item_ids`` (sorted distinct strings). ``row``: a
-    column that numbers the rows, if there is one."""
+    column that numbers the rows, if there is one.
+
+    Null and empty texts have no words and no hits; null and empty items have no window,
+    and items of null id hit but are not listed; repeated rows have their hits each; an
+    empty table gives an empty result. Other columns than ``keep`` are not read."""
+    df = df.select(*keep, text_col, *([row] if row else []))
     table = stored(windows(items), "windows")
     scan, small = starts(df.withColumnRenamed(row, "_row") if row else numbered(df), table, text_col)
     found = table.select("key", "k", "items")
     rows = scan.select(*keep, "_row", F.size("_w").cast("long").alias("n_words"), F.explode_outer("_c").alias("_c"))
     rows = rows.select(*keep, "_row", "n_words", F.col("_c.p").alias("p"), F.col("_c.key").alias("key"))
+    if not small:  # rows without a possible window meet nothing, and not each other in one task
+        rows = rows.withColumn("key", F.coalesce("key", F.concat(F.lit("\0"), F.col("_row").cast("string"))))
     rows = rows.join(F.broadcast(found) if small else found, "key", "left")
     span = F.when(F.col("k").isNotNull(), F.struct("p", "k"))
     per = rows.groupBy("_row", "n_words", *keep).agg(

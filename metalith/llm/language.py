@@ -12,7 +12,6 @@ in such batches.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import batched, free, read
 from .toxicity import fold
 
 SIZES = (2, 3, 4)
@@ -30,7 +29,13 @@ PER_LANGUAGE, LANDMARKS = 400, 160
 RIDGE = 1e-3
 BATCH = 64
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter (signs, numbers and fractions are not)."""
+    return any(map(str.isalpha, text))
+
 
 _SPACE = np.arange(256, dtype=np.uint8)
 _SPACE[[c for c in range(128) if not chr(c).isalpha()]] = 32
@@ -65,7 +70,7 @@ class Model:
         return presence @ self.weights / norm[:, None] + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        known = [i for i, x in enumerate(texts) if x is not None and LETTER.search(x) and self.langs]
+        known = [i for i, x in enumerate(texts) if x is not None and self.langs and has_letter(x)]
         langs, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
         for k in range(0, len(known), BATCH):
             part = known[k : k + BATCH]
@@ -126,9 +131,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([r["_text"] for r in got], [r["_lang"] for r in got])
 
 
-def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_lang_pred`` and ``_score``. Null texts and texts without a
-    letter are ``und`` with score 0; ties go to the first language in order."""
+def identified(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "_lang_pred", score_name: str = "_score") -> DataFrame:
+    """``docs`` with ``lang_name`` and ``score_name`` (input columns of these names are
+    replaced, all others stay). Null texts and texts without a letter are ``und`` with
+    score 0; ties go to the first language in order; repeated rows are judged each; an
+    empty table gives an empty result."""
+    batched(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.vocabulary, model.weights, model.bias))
 
     @F.pandas_udf("lang string, score double")
@@ -138,8 +146,9 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             langs, score = model.predict([None if x is None else x for x in texts])
             yield pd.DataFrame({"lang": langs, "score": score})
 
-    out = docs.withColumn("_p", predict(F.col(f"`{text_col}`")))
-    return out.withColumns({"_lang_pred": F.col("_p.lang"), "_score": F.col("_p.score")}).drop("_p")
+    held_name = free(docs, "_predicted")
+    out = docs.withColumn(held_name, predict(F.col(f"`{text_col}`")))
+    return out.withColumns({lang_name: F.col(held_name)["lang"], score_name: F.col(held_name)["score"]}).drop(held_name)
 
 
 def held_out(id_: Column) -> Column:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, let, words
+from .common import WHITE_SPACE, free, let, words
 
 SYMBOLS = "[#*$%&|<>]"
 #: Frequent function words of the four languages of the corpus.
@@ -80,23 +80,25 @@ def _repeat_words(w: Column) -> Column:
     return F.when(n < 4, F.lit(0)).otherwise(let(let(F.sort_array(windows), starts), covered))
 
 
-def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds a struct ``_q`` of all measures. Null and empty texts measure 0."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumn("_w", words(text))
+def measures(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """Adds a struct ``name`` of all measures. Null and empty texts measure 0."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    held = free(df, "_words")
+    df = df.withColumn(held, words(text))
+    own_lines = free(df, "_lines")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, WHITE_SPACE, "")) > 0)
     upper = F.length(text) - F.length(F.regexp_replace(text, "[A-Z]", ""))
     lower = F.length(text) - F.length(F.regexp_replace(text, "[a-z]", ""))
-    df = df.withColumns({"_l": lines})
-    w, n = F.col("_w"), F.size("_w")
+    df = df.withColumn(own_lines, lines)
+    w, n = F.col(held), F.size(held)
     word_chars = F.length(F.translate(text, WHITE_SPACE, ""))
     n_symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    n_lines = F.size("_l")
-    n_dup = n_lines - F.size(F.array_distinct("_l"))
+    n_lines = F.size(own_lines)
+    n_dup = n_lines - F.size(F.array_distinct(own_lines))
     stop = F.size(F.filter(w, lambda x: x.isin(*sorted(set(STOP_WORDS)))))
     some = F.greatest(n, F.lit(1))
     df = df.withColumn(
-        "_q",
+        name,
         F.struct(
             n.cast("long").alias("n_words"),
             word_chars.cast("long").alias("word_chars"),
@@ -112,7 +114,7 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
             (n_dup / F.greatest(n_lines, F.lit(1))).alias("dup_line_ratio"),
         ),
     )
-    return df.drop("_w", "_l")
+    return df.drop(held, own_lines)
 
 
 def compile_rules(rules: tuple[Rule, ...], q: Column) -> Column:
@@ -131,14 +133,15 @@ def quality(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
 
     Null text counts as empty: no words, hence ``base_failed``. Repeated rows
     each keep their row; an empty table gives an empty result. Input columns
-    whose names clash with the added ones are replaced."""
-    q = F.col("_q")
+    named like an added one are replaced; all others stay, whatever their names."""
+    held = free(df, "_measures")
+    q = F.col(held)
     base = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
-    out = measures(df, text_col)
+    out = measures(df, text_col, held)
     added = {k: q[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
     added |= {"base_failed": base, "kept": ~base & compile_rules(rules, q)}
     added |= {k: q[k] for k in ("stop_words", "shout_ratio")}
-    return out.withColumns(added).drop("_q")
+    return out.withColumns(added).drop(held)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
