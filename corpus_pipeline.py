@@ -12,36 +12,39 @@ from pyspark.sql import functions as F
 
 from metalith.llm import decontaminate, jaccard, mixing, sharding
 from metalith.llm import toxicity as tox
-from metalith.llm.common import read, stored
+from metalith.llm.common import free, read, stored
 
 ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold stay."""
-    model = tox.model_of(spark, sf_dir)
-    return tox.scored(docs, model, name="_toxicity").where(F.col("_toxicity") < tox.THRESHOLD).drop("_toxicity")
+    """Documents scored below the threshold stay, the null and empty ones and each of
+    repeated rows too; an empty table stays empty."""
+    model, score = tox.model_of(spark, sf_dir), free(docs, "_toxicity")
+    return tox.scored(docs, model, name=score).where(F.col(score) < tox.THRESHOLD).drop(score)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, similarity 0.8."""
+    """One document of each group of near copies stays: five words, similarity 0.8. Null,
+    empty and blank texts all stay; of repeated rows one."""
     return jaccard.one_of_each(docs, words=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go; null and empty texts hold none."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), "documents")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Null sources are one source; null and
+    empty texts have no words; rows of one id and size are taken alike."""
     return mixing.mixed(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their size, shard and slot."""
-    out = sharding.shards(docs)
-    return out.select(*docs.columns, F.col("_size").alias("size"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    """Documents with their size, shard and slot, which replace columns of these names;
+    null texts are one group, repeated rows are placed each."""
+    return sharding.shards(docs, added=("size", None, "shard", "slot"))
 
 
 STAGES = [
