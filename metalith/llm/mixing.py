@@ -131,12 +131,14 @@ def with_plan(rows: DataFrame, plan: DataFrame, source: str) -> DataFrame:
     return rows.join(plan, rows[source].cast("string").eqNullSafe(plan["_plan_source"]), "inner").drop("_plan_source")
 
 
-def copies(id_: Column, u: Column, size: Column, ceiling: float = CEILING) -> Column:
-    """Copies of a row that has its source's plan beside it."""
-    r, cut = rank(u, size), F.col("_cut")
-    at = (r < F.coalesce(cut["_r"], F.lit(-1.0))) | ((r == cut["_r"]) & (id_.eqNullSafe(cut["_id"]) | (id_ < cut["_id"]) | id_.isNull()))
+def with_copies(rows: DataFrame, id_: str, ceiling: float = CEILING) -> DataFrame:
+    """``rows (_u, size, ...)`` with their sources' plan beside them, and their ``copies``."""
+    # columns of their own, so that no rank is computed twice
+    rows = rows.withColumn("_r", rank(F.col("_u"), F.col("size")))
+    i, r, cut = F.col(id_), F.col("_r"), F.col("_cut")
+    at = (r < F.coalesce(cut["_r"], F.lit(-1.0))) | ((r == cut["_r"]) & (i.eqNullSafe(cut["_id"]) | (i < cut["_id"]) | i.isNull()))
     taken = F.coalesce(r < F.col("_floor"), F.lit(False)) | F.coalesce(at, F.lit(False))
-    return F.least(F.col("whole") + taken.cast("long"), F.lit(int(ceiling)))
+    return rows.withColumn("copies", F.least(F.col("whole") + taken.cast("long"), F.lit(int(ceiling))))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -147,7 +149,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     one id and size are decided alike, as are rows of null id with equal texts. Ties in
     rank go by id, nulls first. An empty table gives an empty result. Reruns agree."""
     rows, plan, _ = decisions(docs, id_col, text_col, source_col, weights, share, ceiling, seed)
-    out = with_plan(rows, plan, "_source").withColumn("copies", copies(F.col("_id"), F.col("_u"), F.col("size"), ceiling))
+    out = with_copies(with_plan(rows, plan, "_source"), "_id", ceiling)
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
     return out.select("_id", "_source", "size", "source_size", "target", "copies", "taken")
 
@@ -161,8 +163,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     i, t, s = names[id_col], names[text_col], names[source_col]
     _, plan, work = decisions(inner, i, t, s, weights, share, ceiling, seed)
     work.drop("sizes")
-    out = with_plan(inner, plan, s).withColumn("_k", copies(F.col(i), uniform(F.col(i), F.col(t), seed), n_words(F.col(t)), ceiling).cast("int"))
-    out = out.where("_k > 0").withColumn("_k", F.explode(F.array_repeat(F.lit(1), F.col("_k"))))
+    sized = inner.withColumns({"size": n_words(F.col(t)), "_u": uniform(F.col(i), F.col(t), seed)})
+    out = with_copies(with_plan(sized, plan, s), i, ceiling).where("copies > 0")
+    out = out.withColumn("_k", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*[F.col(a).alias(c) for c, a in names.items()])
 
 
