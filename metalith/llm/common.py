@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a batch of rows that goes to a Python worker; texts may be long.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 
 # Python workers get this package's functions with their tasks and need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])

@@ -39,8 +39,8 @@ LOW = np.uint64(1 << 31)
 BLOCK = 1 << 18
 CHECKPOINT_STEPS = 64
 END = 0
-#: Texts, and about how many bytes of them, that are tokenised at once.
-TEXTS, TEXT_BYTES = 16384, 24 << 20
+#: About how many bytes of texts are tokenised at once.
+TEXT_BYTES = 24 << 20
 NO_ID = -(1 << 63)
 MAGIC = b"MLB1"
 
@@ -244,14 +244,17 @@ class Tokens:
         return ids, sizes
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Ids and texts of a batch, TEXTS and about TEXT_BYTES at a time."""
-    size = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64))
-    a = 0
-    while a < batch.num_rows:
-        b = min(a + TEXTS, int(np.searchsorted(size, (size[a - 1] if a else 0) + TEXT_BYTES)) + 1, batch.num_rows)
-        yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
-        a = b
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of as many batches as TEXT_BYTES take."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= TEXT_BYTES:
+            yield pa.concat_arrays([x.column(0) for x in held]).to_pylist(), pa.concat_arrays([x.column(1) for x in held])
+            held, size = [], 0
+    if held:
+        yield pa.concat_arrays([x.column(0) for x in held]).to_pylist(), pa.concat_arrays([x.column(1) for x in held])
 
 
 def _tokenised(path: str, end: int):
@@ -271,26 +274,25 @@ def _tokenised(path: str, end: int):
                 schema=_CHUNK,
             )
 
-        encode = None
-        for batch in batches:
-            encode = encode or Tokens.of(path)
-            for names, texts in _slices(batch):
-                ids, sizes = encode.encode(texts)
-                ends = np.cumsum(sizes)
-                ids, sizes, ends = np.insert(ids, ends, end), sizes + 1, ends + np.arange(1, len(ends) + 1)
-                names, a = [NO_ID if x is None else x for x in names.to_pylist()], 0
-                while a < len(names):  # as many documents as the open block takes
-                    before_a = int(ends[a] - sizes[a])
-                    b = min(len(names), int(np.searchsorted(ends, before_a + BLOCK - held)) + 1)
-                    docs += names[a:b]
-                    lengths += sizes[a:b].tolist()
-                    chunks.append(ids[before_a : ends[b - 1]])
-                    held += len(chunks[-1])
-                    a = b
-                    if held >= BLOCK:
-                        counts = _added(counts, chunks)
-                        yield row()
-                        number, before, held, docs, lengths, chunks = number + 1, before + held, 0, [], [], []
+        encode = Tokens.of(path)
+        for names, texts in _gathered(batches):
+            ids, sizes = encode.encode(texts)
+            del texts
+            ends = np.cumsum(sizes)
+            ids, sizes, ends = np.insert(ids, ends, end), sizes + 1, ends + np.arange(1, len(ends) + 1)
+            names, a = [NO_ID if x is None else x for x in names], 0
+            while a < len(names):  # as many documents as the open block takes
+                before_a = int(ends[a] - sizes[a])
+                b = min(len(names), int(np.searchsorted(ends, before_a + BLOCK - held)) + 1)
+                docs += names[a:b]
+                lengths += sizes[a:b].tolist()
+                chunks.append(ids[before_a : ends[b - 1]])
+                held += len(chunks[-1])
+                a = b
+                if held >= BLOCK:
+                    counts = _added(counts, chunks)
+                    yield row()
+                    number, before, held, docs, lengths, chunks = number + 1, before + held, 0, [], [], []
         if chunks or len(counts):
             counts = _added(counts, chunks)
             yield row(counts)
