@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, numbered, read, stored
+from .common import let, lower_ascii, numbered, read, stored
 
 #: Characters that separate words once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,13 +88,19 @@ def starts(df: DataFrame, table: DataFrame, text_col: str) -> tuple[DataFrame, b
     ks = sorted(r.k for r in table.select("k").distinct().collect())  # WINDOW values at most
     df = df.withColumn("_w", norm_words(F.col(text_col)))
     w, parts = F.col("_w"), []
-    slots = 1 << max(16, min(MOST_SLOTS, (16 * n).bit_length()))
-    seen = F.lit(_byte_map(table, ks, slots)) if ks else None
-    for k in ks:
-        places = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(F.filter(places, _marked(seen, w, k, slots)), _window(w, k)))
+    slots = 1 << max(16, min(MOST_SLOTS, (8 * n).bit_length()))
     empty = F.array().cast("array<struct<p:int,key:string>>")
-    return df.withColumn("_c", F.concat(*parts) if parts else empty), small
+    if not ks:
+        return df.withColumn("_c", empty), small
+
+    def scan(seen: Column) -> Column:
+        for k in ks:
+            places = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
+            parts.append(F.transform(F.filter(places, _marked(seen, w, k, slots)), _window(w, k)))
+        return F.concat(*parts)
+
+    # by let the map is in the plan, and in what Spark prints of it, only once
+    return df.withColumn("_c", let(F.lit(_byte_map(table, ks, slots)), scan)), small
 
 
 def hits(df: DataFrame, items: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), row: str | None = None) -> DataFrame:
