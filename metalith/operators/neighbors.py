@@ -44,10 +44,17 @@ def within(centers: DataFrame, atoms: DataFrame, radius: float | Column, how: st
     return out.drop("_cell") if cell else out
 
 
+def _pairs(atoms: DataFrame, radius: float, extra: Column | None = None) -> DataFrame:
+    """Pairs a < b (columns a_, b_) within the radius, found by cells of that width."""
+    before = F.col("c_line_no") < F.col("line_no")
+    found = within(atoms, atoms, radius, cell=radius, extra=before if extra is None else before & extra)
+    rest = [c for c in atoms.columns if c not in STRUCTURE]
+    return found.select(*STRUCTURE, *[F.col("c_" + c).alias("a_" + c) for c in rest], *[F.col(c).alias("b_" + c) for c in rest])
+
+
 def metal_pairs(metals: DataFrame, cutoff: float) -> DataFrame:
     """Pairs a < b of metals of one structure within the cutoff."""
-    a, b = prefixed(metals, "a_"), prefixed(metals, "b_")
-    return a.join(b, STRUCTURE).where((F.col("a_line_no") < F.col("b_line_no")) & (G.d2(G.at("a_"), G.at("b_")) <= cutoff * cutoff))
+    return _pairs(metals, cutoff)
 
 
 def union_selection(atoms: DataFrame, centers: DataFrame, radius: float) -> DataFrame:
@@ -101,11 +108,13 @@ def backbone_filtered(atoms: DataFrame, target: str, cutoff: float = 3.0) -> Dat
     return plain.unionByName(kept)
 
 
-def bonds(atoms: DataFrame, radii: dict[str, float], slack: float = 0.45, least: float = 0.6, skip: tuple[str, ...] = ("H", "ZN"), default: float = 0.77) -> DataFrame:
-    """Pairs a < b with least <= d <= r_a + r_b + slack."""
+def bonds(atoms: DataFrame, radii: dict[str, float], slack: float = 0.45, least: float = 0.6, skip: tuple[str, ...] = ("H", "ZN")) -> DataFrame:
+    """Pairs a < b with least <= d <= r_a + r_b + slack; elements without a radius have no bonds.
+
+    Pairs come from grid cells as wide as the longest bond, not from all pairs of a structure."""
     table = F.create_map(*[F.lit(v) for kv in radii.items() for v in kv])
-    n = atoms.where(~F.upper("element").isin(*skip)).withColumn("radius", F.coalesce(F.element_at(table, F.upper("element")), F.lit(default)))
+    n = atoms.where(~F.upper("element").isin(*skip)).withColumn("radius", F.try_element_at(table, F.upper("element"))).where("radius is not null")
     n = n.select(*STRUCTURE, "line_no", "element", "x", "y", "z", "radius")
-    a, b = prefixed(n, "a_"), prefixed(n, "b_")
     d = G.distance(G.at("a_"), G.at("b_"))
-    return a.join(b, STRUCTURE).where((F.col("a_line_no") < F.col("b_line_no")) & (d >= least) & (d <= F.col("a_radius") + F.col("b_radius") + slack)).withColumn("d", d)
+    found = _pairs(n, 2 * max(radii.values()) + slack + 1e-6)
+    return found.where((d >= least) & (d <= F.col("a_radius") + F.col("b_radius") + slack)).withColumn("d", d)

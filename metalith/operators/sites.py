@@ -122,8 +122,10 @@ class MustHave:
         return out
 
     def __str__(self) -> str:
-        parts = [f"{e}>={k}" for e, k in sorted(self.min_counts)] + sorted(self.elements)
-        return ("ALL:" if self.mode == "all" and not self.min_counts else "") + ",".join(parts) if parts else "none"
+        parts = [f"{e}>={k}" for e, k in sorted(self.min_counts)]
+        if self.elements:
+            parts.append(("ALL:" if self.mode == "all" and not self.min_counts else "") + ",".join(sorted(self.elements)))
+        return " ".join(parts) if parts else "none"
 
 
 def parse_must_have(text: str | None) -> MustHave:
@@ -170,15 +172,41 @@ def ligand_diagnostics(shell: DataFrame, req: LigandRequirement, by: list[str] =
     return out.withColumns({"missing": missing, "naming_mismatch": missing & (F.col("count_any_resname") == req.count)})
 
 
-def verdicts(centers: DataFrame, shell: DataFrame, must_have: MustHave | None = None, ligands: tuple[LigandRequirement, ...] = (), coord: tuple[str, ...] = ()) -> DataFrame:
+def cluster_selection(labelled: DataFrame, atoms: DataFrame, radius: float) -> DataFrame:
+    """``structure, root`` and the atoms of the residues that have an atom within ``radius``
+    of any metal of the cluster."""
+    key = [*STRUCTURE, "_r", "chain", "resseq"]
+    near = N.within(labelled.select(*STRUCTURE, "root", "x", "y", "z"), atoms, radius)
+    near = near.select(*STRUCTURE, F.col("c_root").alias("root"), F.upper("resname").alias("_r"), "chain", "resseq").distinct()
+    return atoms.withColumn("_r", F.upper("resname")).join(near, key).drop("_r")
+
+
+def around(centers: DataFrame, selection: DataFrame) -> DataFrame:
+    """Centre keys and the atoms of their cluster's selection but the centre (by serial)."""
+    c = centers.select(*STRUCTURE, "root", F.col("line_no").alias("c_line_no"), F.col("serial").alias("c_serial"))
+    return c.join(selection, [*STRUCTURE, "root"]).where("serial <> c_serial").drop("c_serial")
+
+
+def verdicts(centers: DataFrame, shell: DataFrame, must_have: MustHave | None = None, ligands: tuple[LigandRequirement, ...] = (), coord: tuple[str, ...] = (), selection: DataFrame | None = None) -> DataFrame:
     """Per centre the first reason to reject it, in order must_have, ligand_requirements,
-    coord_string; null if it is kept. Centres without a shell count as empty shells."""
-    ok_must = (must_have or MustHave()).condition(F.col("element"))
+    coord_string; null if it is kept. Centres without a shell count as empty shells.
+
+    Must-have elements may be anywhere in ``selection`` (as ``around`` has it); only ligand
+    requirements and coordination strings look at the shell."""
+    must_have = must_have or MustHave()
+    asked = bool(must_have.elements or must_have.min_counts)
+    if asked and selection is None:
+        raise ValueError("must-have elements need the selection around each centre")
     ok_ligand = F.lit(True)
     for r in ligands:
         ok_ligand = ok_ligand & r.condition()
     keys = centers.select(*STRUCTURE, F.col("line_no").alias("c_line_no"))
-    tests = keys.join(shell, CENTER, "left").groupBy(*CENTER).agg(ok_must.alias("_m"), ok_ligand.alias("_l"))
+    tests = keys.join(shell, CENTER, "left").groupBy(*CENTER).agg(ok_ligand.alias("_l"))
+    if asked:
+        has = keys.join(selection.select(*CENTER, "element"), CENTER, "left").groupBy(*CENTER).agg(must_have.condition(F.col("element")).alias("_m"))
+        tests = tests.join(has, CENTER)
+    else:
+        tests = tests.withColumn("_m", F.lit(True))
     tests = tests.join(coord_string(shell), CENTER, "left")
     ok_coord = F.coalesce("coord_string", F.lit("")).isin(*coord) if coord else F.lit(True)
     reason = F.when(~F.col("_m"), "must_have").when(~F.col("_l"), "ligand_requirements").when(~ok_coord, "coord_string")
@@ -248,15 +276,21 @@ class SiteConfig:
 
 
 def sites(raw: DataFrame, config: SiteConfig = SiteConfig()) -> DataFrame:
-    """One row per kept target atom: cluster, shell, geometry, siblings."""
+    """One row per kept target atom: cluster, shell, geometry, siblings. A centre without a
+    shell has CN 0 and label ``UNK``, and counts as planar."""
     atoms = A.collapse_altloc(raw)
     labelled = C.components(A.metals(atoms, config.excluded), config.cutoff)
     table = C.cluster_table(labelled, config.target).select(*STRUCTURE, "root", "cluster_number", "cluster_type")
     centers = C.targets(labelled, config.target).join(table, [*STRUCTURE, "root"])
-    shell = N.coordination(centers.select(*STRUCTURE, "line_no", "serial", "x", "y", "z"), A.water_toggle(atoms, config.include_waters), config.low, config.high)
-    verdict = verdicts(centers, shell, config.must_have, config.ligands, config.coord).where("reason is null")
+    wet = A.water_toggle(atoms, config.include_waters)
+    shell = N.coordination(centers.select(*STRUCTURE, "line_no", "serial", "x", "y", "z"), wet, config.low, config.high)
+    selection = around(centers, cluster_selection(labelled, wet, config.radius))
+    verdict = verdicts(centers, shell, config.must_have, config.ligands, config.coord, selection).where("reason is null")
     out = centers.select(*STRUCTURE, F.col("line_no").alias("c_line_no"), "serial", "chain", "resseq", "resname", "cluster_number", "cluster_type", "siblings")
-    return out.join(verdict.drop("reason"), CENTER).join(geometry(shell), CENTER, "left")
+    out = out.join(verdict.drop("reason"), CENTER).join(geometry(shell), CENTER, "left")
+    zero = {k: F.coalesce(k, F.lit(0.0)) for k in ("sigma_d", "delta_d", "RMS_theta", "MAX_angle_dev", "RMS_plane", "h_max")}
+    flag = {k: F.coalesce(k, F.lit(k == "planar")) for k in ("planar", "axial", "distorted", "JT")}
+    return out.withColumns({"CN": F.coalesce("CN", F.lit(0)), "label": F.coalesce("label", F.lit("UNK")), **zero, **flag})
 
 
 def cluster_rows(raw: DataFrame, config: SiteConfig = SiteConfig(cutoff=3.0, radius=3.0)) -> DataFrame:

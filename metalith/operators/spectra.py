@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 
 def dw_rollup(rows: DataFrame, source: str, kind: str, dw: str, distance: str) -> DataFrame:
     """Mean dw, population variance of the distance and their sum, per source and per
-    source and atom type, in one pass of grouping sets."""
-    out = rows.rollup(source, kind).agg(F.grouping(kind).alias("_all"), F.grouping(source).alias("_top"), F.count("*").alias("n"), F.avg(dw).alias("mean_dw"), F.var_pop(distance).alias("var_d"))
+    source and atom type, in one pass of grouping sets.
+
+    Values count to six decimals and are summed as decimals, so that the order of rows,
+    which a shuffle does not keep, changes nothing."""
+    w, d = (F.col(c).cast("decimal(14,6)") for c in (dw, distance))
+    out = rows.rollup(source, kind).agg(F.grouping(kind).alias("_all"), F.grouping(source).alias("_top"), F.count("*").alias("n"), F.count(w).alias("_k"), F.sum(w).alias("_w"), F.count(d).alias("_m"), F.sum(d).alias("_d"), F.sum(d * d).alias("_q"))
+    mean = lambda total, n: F.col(total).cast("double") / F.expr(f"nullif({n}, 0)")
+    out = out.withColumns({"mean_dw": mean("_w", "_k"), "var_d": F.greatest(mean("_q", "_m") - mean("_d", "_m") * mean("_d", "_m"), F.lit(0.0))})
     out = out.where("_top = 0").withColumn(kind, F.when(F.col("_all") == 1, "all").otherwise(F.col(kind)))
     return out.select(source, kind, "n", "mean_dw", "var_d", (F.col("mean_dw") + F.col("var_d")).alias("total"))
 

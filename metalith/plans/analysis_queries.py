@@ -267,7 +267,7 @@ def element_inference(spark, d):
 # -- spectra --------------------------------------------------------------------------------------
 
 
-@query("dw_rollup", sql("SELECT structure_id AS source, kind, n, round(mean_dw, 6) AS mean_dw, round(var_d, 6) AS var_d, round(mean_dw + var_d, 6) AS total FROM (SELECT structure_id, CASE WHEN grouping(element) = 1 THEN 'all' ELSE element END AS kind, count(*) AS n, avg(occ) AS mean_dw, var_pop(bfac) AS var_d FROM col WHERE element IN ('N', 'S') GROUP BY GROUPING SETS ((structure_id), (structure_id, element)))", "col"))
+@query("dw_rollup", sql("SELECT structure_id AS source, kind, n, round(mean_dw, 6) AS mean_dw, round(var_d, 6) AS var_d, round(mean_dw + var_d, 6) AS total FROM (SELECT structure_id, CASE WHEN grouping(element) = 1 THEN 'all' ELSE element END AS kind, count(*) AS n, CAST(sum(CAST(occ AS DECIMAL(14, 6))) AS DOUBLE) / count(*) AS mean_dw, greatest(CAST(sum(CAST(bfac AS DECIMAL(14, 6)) * CAST(bfac AS DECIMAL(14, 6))) AS DOUBLE) / count(*) - (CAST(sum(CAST(bfac AS DECIMAL(14, 6))) AS DOUBLE) / count(*)) * (CAST(sum(CAST(bfac AS DECIMAL(14, 6))) AS DOUBLE) / count(*)), 0e0) AS var_d FROM col WHERE element IN ('N', 'S') GROUP BY GROUPING SETS ((structure_id), (structure_id, element)))", "col"))
 def dw_rollup(spark, d):
     rows = _base(spark, d)[1].where("element in ('N', 'S')").select(F.col("structure_id").alias("source"), F.col("element").alias("kind"), "occ", "bfac")
     return P.dw_rollup(rows, "source", "kind", "occ", "bfac").select("source", "kind", "n", *[F.round(c, 6).alias(c) for c in ("mean_dw", "var_d", "total")])

@@ -225,21 +225,34 @@ def coordination_summary(spark, d):
     return s.select("c_line_no", "element", F.col("count").alias("n"), "is_water", F.array_join("residues", ";").alias("residues"))
 
 
-def _must(text, condition):
-    name = {"N,S": "must_have_any", "ALL:N,S": "must_have_all", "S>=2": "must_have_min"}[text]
+#: Must-have elements may be in any residue with an atom so near to a metal of the cluster.
+_NEAR_R = 2.5
+_SELECTED = """SELECT m.line_no AS c_line_no, a.element FROM root m JOIN (SELECT DISTINCT r.structure_id, r.root, a.resname, a.chain, a.resseq FROM root r JOIN col a ON a.structure_id = r.structure_id
+  AND (r.x - a.x) * (r.x - a.x) + (r.y - a.y) * (r.y - a.y) + (r.z - a.z) * (r.z - a.z) <= 6.25e0) n ON n.structure_id = m.structure_id AND n.root = m.root
+  JOIN col a ON a.structure_id = n.structure_id AND a.resname = n.resname AND a.chain = n.chain AND a.resseq = n.resseq WHERE a.serial <> m.serial"""
 
+
+def _selected(spark, d):
+    labelled = _labelled(spark, d)
+    return S.around(labelled, S.cluster_selection(labelled, A.water_toggle(_base(spark, d)[1]), _NEAR_R))
+
+
+def _must(name, text, condition):
     def run(spark, d):
         metals, shell = _shell(spark, d)
-        return S.verdicts(metals, shell, S.parse_must_have(text)).where("reason is null").select("c_line_no")
+        return S.verdicts(metals, shell, S.parse_must_have(text), selection=_selected(spark, d)).where("reason is null").select("c_line_no")
 
     QUERIES[name] = run
-    n = "SELECT m.line_no AS c_line_no, count(*) FILTER (s.element = 'N') AS n, count(*) FILTER (s.element = 'S') AS s FROM metals m LEFT JOIN shell s ON s.c_line_no = m.line_no GROUP BY m.line_no"
+    counts = ", ".join(f"count(*) FILTER (s.element = '{e}') AS {e.lower()}" for e in ("N", "S", "C", "FE"))
+    n = f"SELECT m.line_no AS c_line_no, {counts} FROM metals m LEFT JOIN ({_SELECTED}) s ON s.c_line_no = m.line_no GROUP BY m.line_no"
     ORACLES[name] = sql(f"SELECT c_line_no FROM ({n}) WHERE {condition}", "shell")
 
 
-_must("N,S", "n > 0 OR s > 0")
-_must("ALL:N,S", "n > 0 AND s > 0")
-_must("S>=2", "s >= 2")
+_must("must_have_any", "N,S", "n > 0 OR s > 0")
+_must("must_have_all", "ALL:N,S", "n > 0 AND s > 0")
+_must("must_have_min", "S>=2", "s >= 2")
+_must("must_have_carbon", "C>=3", "c >= 3")
+_must("must_have_metal", "FE", "fe > 0")
 
 _REQ = S.LigandRequirement(("CYS", "HIS"), 1, ("SG", "ND1", "NE2"))
 _LIG = """SELECT m.line_no AS c_line_no, count(*) FILTER (s.resname IN ('CYS', 'HIS') AND s.atom_name IN ('SG', 'ND1', 'NE2')) AS k,
@@ -265,11 +278,12 @@ def coord_whitelist(spark, d):
 
 
 @query("rejection_counts", sql(f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN l.nn = 0 THEN 'must_have' WHEN l.k <> 1 THEN 'ligand_requirements' WHEN coalesce(coord_string, '') NOT IN ('1N', '1N1O') THEN 'coord_string' END AS reason
-  FROM (SELECT m.line_no AS c_line_no, count(*) FILTER (s.element = 'N') AS nn, count(*) FILTER (s.resname IN ('CYS', 'HIS') AND s.atom_name IN ('SG', 'ND1', 'NE2')) AS k FROM metals m LEFT JOIN shell s ON s.c_line_no = m.line_no GROUP BY m.line_no) l
+  FROM (SELECT m.line_no AS c_line_no, any_value(coalesce(e.nn, 0)) AS nn, count(*) FILTER (s.resname IN ('CYS', 'HIS') AND s.atom_name IN ('SG', 'ND1', 'NE2')) AS k FROM metals m LEFT JOIN shell s ON s.c_line_no = m.line_no
+    LEFT JOIN (SELECT c_line_no, count(*) FILTER (element = 'N') AS nn FROM ({_SELECTED}) GROUP BY 1) e ON e.c_line_no = m.line_no GROUP BY m.line_no) l
   LEFT JOIN coord USING (c_line_no)) WHERE reason IS NOT NULL GROUP BY reason""", "coord"))
 def rejection_counts(spark, d):
     metals, shell = _shell(spark, d)
-    return S.rejections(S.verdicts(metals, shell, S.parse_must_have("N"), (_REQ,), ("1N", "1N1O")))
+    return S.rejections(S.verdicts(metals, shell, S.parse_must_have("N"), (_REQ,), ("1N", "1N1O"), _selected(spark, d)))
 
 
 @query("coord_distribution", sql("SELECT coord_string, count(*) AS n FROM coord GROUP BY coord_string ORDER BY n DESC, coord_string LIMIT 20", "coord"))
@@ -278,13 +292,13 @@ def coord_distribution(spark, d):
     return c.orderBy(F.desc("n"), "coord_string").limit(20)
 
 
-@query("sites", sql("SELECT g.c_line_no, g.label, c.coord_string, r.root, t.cluster_type FROM geo g JOIN coord c USING (c_line_no) JOIN root r ON r.line_no = g.c_line_no JOIN cluster t ON t.root = r.root WHERE r.atom_name = 'ZN'", "geo"))
+@query("sites", sql("SELECT r.line_no AS c_line_no, CAST(coalesce(g.cn, 0) AS BIGINT) AS cn, coalesce(g.label, 'UNK') AS label, coalesce(c.coord_string, '') AS coord_string, r.root, t.cluster_type FROM root r JOIN cluster t ON t.root = r.root LEFT JOIN geo g ON g.c_line_no = r.line_no LEFT JOIN coord c ON c.c_line_no = r.line_no WHERE r.atom_name = 'ZN'", "geo"))
 def sites(spark, d):
     from metalith.operators.sites import SiteConfig
 
     out = S.sites(atoms(spark, d), SiteConfig())
     c = C.cluster_table(_labelled(spark, d), "ZN").select(*KEY, "root", "cluster_number")
-    return out.where("label is not null").join(c, [*KEY, "cluster_number"]).select("c_line_no", "label", "coord_string", "root", "cluster_type")
+    return out.join(c, [*KEY, "cluster_number"]).select("c_line_no", F.col("CN").cast("long").alias("cn"), "label", "coord_string", "root", "cluster_type")
 
 
 @query("cluster_report", None)

@@ -22,7 +22,13 @@ AMINO_ACIDS = (
 )
 BACKBONE = ("N", "C", "O", "OXT")
 BACKBONE_ANCHORS = ("N", "CA", "C", "O", "OXT")
-ATOMIC_NUMBERS = {"H": 1, "C": 6, "N": 7, "O": 8, "P": 15, "S": 16, "FE": 26, "NI": 28, "CU": 29, "ZN": 30, "SE": 34}
+ATOMIC_NUMBERS = {
+    "H": 1, "HE": 2, "LI": 3, "BE": 4, "B": 5, "C": 6, "N": 7, "O": 8, "F": 9, "NE": 10,
+    "NA": 11, "MG": 12, "AL": 13, "SI": 14, "P": 15, "S": 16, "CL": 17, "AR": 18,
+    "K": 19, "CA": 20, "SC": 21, "TI": 22, "V": 23, "CR": 24, "MN": 25,
+    "FE": 26, "CO": 27, "NI": 28, "CU": 29, "ZN": 30,
+    "SE": 34, "BR": 35, "MO": 42, "CD": 48, "I": 53, "HG": 80,
+}
 COVALENT_RADII = {"C": 0.76, "N": 0.71, "O": 0.66, "S": 1.05, "P": 1.07, "SE": 1.20, "FE": 1.32, "NI": 1.24, "CU": 1.32}
 ONE_LETTER = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
