@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -15,12 +16,13 @@ from metalith.llm import decontaminate, jaccard, language, lines, mixing, qualit
 
 from ..conftest import DATA
 
-DDL = "doc_id long, text string, lang string, source string, n_chars long, n long, sig string, _id long, w string, `key` int"
+CLASHES = ("_w", "_q", "_l", "_p", "_words", "_lines", "_measures", "_predicted", "_size", "_crc", "_shard", "_slot", "size", "shard", "slot", "_toxicity", "_row", "_u", "copies", "_text")
+DDL = "doc_id long, text string, lang string, source string, n_chars long, n long, sig string, _id long, w string, `key` int, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 def table(spark, rows):
     """Documents with extra columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, lang, s, len(t or ""), 1, "x", 5, "w", 7) for i, t, lang, s in rows], DDL)
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), 1, "x", 5, "w", 7, *CLASHES) for i, t, lang, s in rows], DDL)
 
 
 @pytest.fixture(scope="module")
@@ -298,14 +300,166 @@ def test_one_of_each_keeps_unlike_rows_of_one_id(spark):
     assert got[(None, base[1])] + got[(None, base[1] + " more")] == 1 and got[(7, base[4])] + got[(7, base[4] + " other")] == 1
 
 
+# -- clashing names, other paths, brute force -----------------------------------------------------
+
+
+def test_clashing_columns_stay(odd, spark):
+    """Columns named like those the operators use inside keep their values."""
+    model = language.train(["the and of that this", "der die das und nicht"] * 3, ["en", "de"] * 3)
+    added = {"_size", "_crc", "_shard", "_slot"}
+    for out, own in (
+        (quality.quality(odd), set()), (language.identified(odd, model), set()), (toxicity.scored(odd, toxicity.Model({}, 0.0)), set()),
+        (sharding.shards(odd, 3), added), (mixing.mixed(odd), set()), (decontaminate.decontaminate(odd, spark.createDataFrame([(1, "zz")], "item_id long, text string")), set()),
+        (lines.dedup_lines(odd), set()), (jaccard.one_of_each(odd), set()), (secrets.redact(odd, [secrets.Node(0.0)]), set()),
+    ):
+        rows = out.collect()
+        assert rows and all(r[c] == c for r in rows for c in CLASHES if c not in own), out.columns
+
+
+def test_pipeline_stages_keep_clashing_columns(odd, spark):
+    import corpus_pipeline as pipe
+
+    for name, stage in pipe.STAGES:
+        out = stage(spark, odd, DATA)
+        own = {"size", "shard", "slot"} if name == "sharding" else set()
+        assert len(set(out.columns)) == len(out.columns) and set(odd.columns) <= set(out.columns), name
+        assert all(r[c] == c for r in out.collect() for c in CLASHES if c not in own), name
+
+
+def test_windows_beyond_the_broadcast(odd, spark, same, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    same(decontaminate.op5_decontaminate, decontaminate.OP5_SQL)
+    items = spark.createDataFrame([(1, "One  TWO"), (None, "alpha beta")], "item_id long, text string")
+    assert n_rows(decontaminate.decontaminate(odd, items)) == 7
+
+
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op9_mix_sources", "op10_ngram_join"])
+def test_tables_beyond_the_broadcast(name, same, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(lines, "HEAVY", 1)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    same(queries.QUERIES[name], queries.ORACLES[name])
+
+
+def test_line_families(spark):
+    """Lines that differ from a common one in a few words, some of one token set, against all pairs."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(3))
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(50)]
+        for _ in range(30):
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2, 3))):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w) + "\n" + " ".join([word()] * rng.randint(5, 8)))
+    got = {r["_id"]: r["removed"] for r in lines.line_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seen, want = [], {}
+    for i, t in enumerate(texts):
+        want[i] = []
+        for j, line in enumerate(t.split("\n")):
+            w = line.split()
+            s = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+            if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                want[i].append(j)
+            seen.append(s)
+    assert got == want
+
+
+def test_language_scores_equal_the_kernel():
+    """The multiplied-out product is the kernel with the landmarks, K^(-1/2) and the ridge weights."""
+    texts = ["the cat and the dog", "der hund und die katze", "of that this with", "nicht das ist ein", "another the one", "eine und keine"]
+    langs = ["en", "de"] * 3
+    m = language.train(texts, langs, landmarks=4)
+    sets = [set(language.grams(x).tolist()) for x in texts]
+    marks = [0, 2, 1, 3] if m.langs[0] == "en" else [1, 3, 0, 2]
+    k = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    big = np.array([[k(sets[i], sets[j]) for j in marks] for i in marks])
+    values, vectors = np.linalg.eigh(big)
+    root = vectors / np.sqrt(values)
+    phi = np.array([[k(s, sets[j]) for j in marks] for s in sets]) @ root
+    y = np.array([[1.0 if g == n else -1.0 for n in m.langs] for g in langs])
+    a = phi - phi.mean(axis=0)
+    w = np.linalg.solve(a.T @ a + language.RIDGE * len(texts) * np.eye(4), a.T @ (y - y.mean(axis=0)))
+    assert np.allclose(m.scores(texts), a @ w + y.mean(axis=0), atol=1e-4)
+
+
+def test_letters():
+    assert [language.has_letter(x) for x in ("½ ² 12 Ⅷ", "a", "ß", "漢", "_ -", "")] == [False, True, True, True, False, False]
+
+
+def test_risk_gradient_is_its_slope():
+    rng = np.random.default_rng(1)
+    rows, cols = np.repeat(np.arange(12), 2), rng.integers(0, 4, 24)
+    w, b = rng.normal(size=4), 0.3
+    risk = lambda w, b: toxicity.gradient(w, b, rows, cols, 4, 12, 0.05)[0]
+    _, by_w, by_b = toxicity.gradient(w, b, rows, cols, 4, 12, 0.05)
+    e = 1e-6
+    assert np.allclose(by_w, [(risk(w + e * np.eye(4)[i], b) - risk(w - e * np.eye(4)[i], b)) / (2 * e) for i in range(4)], atol=1e-6)
+    assert abs(by_b - (risk(w, b + e) - risk(w, b - e)) / (2 * e)) < 1e-6
+
+
+def test_toxicity_scores_equal_the_formula(odd):
+    model = toxicity.Model({"alpha": 1.5, "^two": -0.5, "one": 0.25}, 0.1)
+    for r in toxicity.scored(odd, model).collect():
+        words = {w for w in (r["text"] or "").lower().split()}
+        g = 0.1 + 1.5 * ("alpha" in words) - 0.5 * any(w.startswith("two") for w in words) + 0.25 * ("one" in words)
+        assert abs(r["score"] - 1 / (1 + np.exp(-g))) < 1e-9
+
+
+def test_compiled_forest_equals_its_trees(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((80, len(secrets.FEATURES)))
+    forest = secrets.train_forest(x, (x[:, 0] > 0.5).astype(int), trees=3, depth=4)
+
+    def walk(n, v):
+        return n.share if n.feature < 0 else walk(n.low if v[n.feature] <= n.cut else n.high, v)
+
+    t = spark.createDataFrame([tuple(map(float, v)) for v in x], list(secrets.FEATURES)).select(F.struct("*").alias("_f"))
+    got = t.select("_f.*", secrets.compiled(forest, "_f").alias("s")).collect()
+    assert all(abs(r["s"] - np.mean([walk(n, tuple(r)[:-1]) for n in forest])) < 1e-9 for r in got)
+
+
+def test_packing_equals_a_plain_loop():
+    rng = np.random.default_rng(5)
+    v = rng.integers(1, 100, (40, 3))
+    share = v / v.sum(axis=0)
+    left, where = [[1 / 5] * 3 for _ in range(5)], [0] * 40
+    for k in sorted(range(40), key=lambda k: (-share[k].max(), k)):
+        fit = [sum(a * b for a, b in zip(c, share[k], strict=True)) for c in left]
+        where[k] = fit.index(max(fit))
+        left[where[k]] = [a - b for a, b in zip(left[where[k]], share[k], strict=True)]
+    got = sharding.pack(v, 5)
+    spread = lambda w: np.ptp(np.bincount(w, weights=v[:, 0], minlength=5))
+    moved = (got != np.array(where)).sum()
+    assert moved <= 20 and spread(got) <= spread(np.array(where))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipe
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, before = docs.columns, docs.count()
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    windows = {tuple(w[i : i + 10]) for w in (split(r["text"]) for r in items.collect()) if w for i in range(max(1, len(w) - 9))}
     for name, stage in pipe.STAGES[:-1]:
+        rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+        if name == "toxicity":
+            model = toxicity.model_of(spark, DATA)
+            want = [r["doc_id"] for r in rows if toxicity.score_of(model.weights, model.bias, r["text"]) < toxicity.THRESHOLD]
+        elif name == "ngram_jaccard_join":
+            roots = brute_components([r["text"] or "" for r in rows], 5, 80)
+            want = [r["doc_id"] for k, r in enumerate(rows) if roots[k] == k]
+        elif name == "decontamination":
+            sizes = {len(w) for w in windows}
+            want = [r["doc_id"] for r in rows for w in [split(r["text"])] if not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))]
         docs = stage(spark, docs, DATA).cache()
         assert docs.columns == columns, name
+        if name != "mixing":
+            assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == want, name
         if name == "ngram_jaccard_join":
             rows = docs.orderBy("doc_id").collect()
             assert brute_components([r["text"] for r in rows], 5, 80) == list(range(len(rows)))
