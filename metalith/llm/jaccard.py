@@ -467,13 +467,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # across groups; a leader is in its own group unless it is near another leader
     groups = work.put(_grouped(cand, members.where("near").select("cid", "leader"), inner), "groups")
     work.drop("members")
-    rows_, met = _looked_up(work, cand.select("cid", "n", "prefix").join(groups, "cid"), percent)
+    # most classes are a group of their own, so few rows go to all prefixes, which stay where they are
+    some = work.put(groups.where((F.col("size") > 1) | (F.col("grp") != -1 - F.col("cid"))), "grouped")
+    placed = cand.select("cid", "n", "prefix").join(some, "cid", "left")
+    placed = placed.withColumns({"grp": F.coalesce("grp", -1 - F.col("cid")), "size": F.coalesce("size", F.lit(1)), "comp": F.coalesce("comp", "cid")})
+    rows_, met = _looked_up(work, placed, percent)
     alone = met.where("gs = 1").select("cid", F.col("g").alias("grp")).join(groups.select("grp", F.col("cid").alias("other")), "grp")
     wanted = met.select("cid").union(alone.select(F.col("other").alias("cid"))).distinct().join(sets.select("cid"), "cid", "left_anti")
     sets = sets.unionByName(sets_of(work, texts, wanted, classes, words, rarity, "more-sets"))
     qualified = _qualified(work, met.where("gs > 1").select("cid", "g"), rows_, groups, sets, percent)
     pairs = _opened(work, rows_, qualified.unionByName(met.where("gs = 1").select("cid", "g")), percent)
-    work.drop("qualified", "looked-up", "queries", "groups")
+    work.drop("qualified", "looked-up", "queries", "groups", "grouped")
     checked = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
     links = checked.select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a long, b long")
     # of each component so far only its root goes on
