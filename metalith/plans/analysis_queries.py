@@ -391,16 +391,18 @@ def resolution_gate(spark, d):
 
 
 @query("embedding_nearest", """SELECT label, vec_id AS id, rk FROM (SELECT e.label, e.vec_id, row_number() OVER (PARTITION BY e.label ORDER BY round(list_sum(list_transform(list_zip(e.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6), e.vec_id) AS rk
-  FROM (SELECT vec_id, label, list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) e JOIN (SELECT label, [avg(CAST(embedding[1] AS DOUBLE)), avg(CAST(embedding[2] AS DOUBLE)), avg(CAST(embedding[3] AS DOUBLE))] AS v FROM embeddings GROUP BY label) c ON c.label = e.label) WHERE rk <= 4""")
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) e
+  JOIN (SELECT label, list(m ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label) c ON c.label = e.label) WHERE rk <= 4""")
 def embedding_nearest(spark, d):
-    """Nearest four points to each group's centroid in the first three dimensions."""
+    """Nearest four points to each group's centroid, in all dimensions."""
     from pyspark.sql import Window
 
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    e = e.select(F.col("vec_id"), "label", *[F.get("embedding", F.lit(i)).cast("double").alias(k) for i, k in enumerate("xyz")])
-    c = e.groupBy("label").agg(*[F.avg(k).alias("c_" + k) for k in "xyz"])
-    w = Window.partitionBy("label").orderBy(F.round(G.d2(G.at(), G.at("c_")), 6), "vec_id")
-    out = e.join(c, "label").withColumn("rk", F.row_number().over(w).cast("long")).where("rk <= 4")
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    c = e.select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("x"))
+    c = c.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("c"))
+    d2 = F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, q: t + q)
+    w = Window.partitionBy("label").orderBy("q", "vec_id")
+    out = e.join(c, "label").withColumn("q", F.round(d2, 6)).withColumn("rk", F.row_number().over(w).cast("long")).where("rk <= 4")
     return out.select("label", F.col("vec_id").alias("id"), "rk")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,11 +62,12 @@ def first_shell_closest(spark, d):
     return R.closest(col, metals).select("c_line_no", "line_no", "element", F.round("d", 6).alias("d"))
 
 
-@query("bond_reach", sql(f"""SELECT s AS start, min(hops) AS hops FROM (SELECT a.i AS s, a.j AS t, 1 AS hops FROM ({_BOTH}) a UNION ALL SELECT a.i, b.j, 2 FROM ({_BOTH}) a JOIN ({_BOTH}) b ON b.i = a.j AND b.j <> a.i)
-  WHERE s IN (SELECT line_no FROM col WHERE element = 'S') AND t IN (SELECT line_no FROM col WHERE element = 'N') GROUP BY s""", "col"))
+@query("bond_reach", sql(f"""SELECT s AS start, min(hops) AS hops FROM (WITH RECURSIVE both_ways AS MATERIALIZED ({_BOTH}), walk AS (SELECT i AS s, j AS t, 1 AS hops FROM both_ways WHERE i IN (SELECT line_no FROM col WHERE element = 'S')
+  UNION SELECT walk.s, b.j, walk.hops + 1 FROM walk JOIN both_ways b ON b.i = walk.t WHERE walk.hops < 4) SELECT * FROM walk)
+  WHERE t IN (SELECT line_no FROM col WHERE element = 'N') GROUP BY s""", "col"))
 def bond_reach(spark, d):
     col, e = _bonds(spark, d)
-    return R.reachable(e, col.where("element = 'S'"), col.where("element = 'N'"), 2).select("start", "hops")
+    return R.reachable(e, col.where("element = 'S'"), col.where("element = 'N'")).select("start", "hops")
 
 
 _DEG = f"SELECT i AS line_no, count(*) AS deg FROM ({_BOTH}) GROUP BY i"
@@ -77,29 +80,31 @@ def hydrogen_counts(spark, d):
     return R.hydrogens(col, e, F.col("altloc") == "B").select("line_no", "n_h")
 
 
+_K = 4
+
+
 @query("shell_assignment", None)
 def shell_assignment(spark, d):
-    """Least total squared distance of each site's three nearest N or S to its three nearest C."""
+    """Least total squared distance of each site's four nearest N or S to its four nearest C."""
     _, col, metals = _base(spark, d)
     near = N.within(metals.where("atom_name = 'ZN'"), col, 6.0, extra=F.col("line_no") != F.col("c_line_no")).withColumn("q", G.d2(G.at("c_"), G.at()))
 
     def top(kinds, p):
         w = Window.partitionBy("c_line_no").orderBy("q", "line_no")
-        t = near.where(F.col("element").isin(*kinds)).withColumn("r", F.row_number().over(w) - 1).where("r < 3")
+        t = near.where(F.col("element").isin(*kinds)).withColumn("r", F.row_number().over(w) - 1).where(f"r < {_K}")
         return t.select("c_line_no", F.col("r").alias("i" if p == "a_" else "j"), *[F.col(k).alias(p + k) for k in "xyz"])
 
     costs = top(("N", "S"), "a_").join(top(("C",), "b_"), "c_line_no").withColumn("cost", G.d2(G.at("a_"), G.at("b_")))
-    return R.assignment(costs, ["c_line_no"], 3).select("c_line_no", F.round("total", 6).alias("total"))
+    return R.assignment(costs, ["c_line_no"], _K).select("c_line_no", F.round("total", 6).alias("total"))
 
 
 def _cost(a: int, b: int) -> str:
     return f"(n{a}.x - c{b}.x) * (n{a}.x - c{b}.x) + (n{a}.y - c{b}.y) * (n{a}.y - c{b}.y) + (n{a}.z - c{b}.z) * (n{a}.z - c{b}.z)"
 
 
-_PERMS = ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0))
 _TOP = "SELECT site, x, y, z, row_number() OVER (PARTITION BY site ORDER BY q, line_no) AS r FROM (SELECT c.line_no AS site, a.line_no, a.x, a.y, a.z, a.element, " + _NEAR + " AS q FROM metals c JOIN col a ON a.structure_id = c.structure_id AND a.line_no <> c.line_no AND " + _NEAR + " <= 36.0e0 WHERE c.atom_name = 'ZN') WHERE element {kinds}"
-_JOINED = " ".join(f"JOIN (SELECT * FROM ({_TOP.format(kinds=k)}) WHERE r = {i + 1}) {p}{i} USING (site)" for p, k in (("n", "IN ('N', 'S')"), ("c", "= 'C'")) for i in range(3)).removeprefix("JOIN ").replace(" USING (site)", "", 1)
-ORACLES["shell_assignment"] = sql(f"SELECT site AS c_line_no, round(least({', '.join('(' + ' + '.join('(' + _cost(i, p[i]) + ')' for i in range(3)) + ')' for p in _PERMS)}), 6) AS total FROM {_JOINED}", "metals")
+_JOINED = " ".join(f"JOIN (SELECT * FROM ({_TOP.format(kinds=k)}) WHERE r = {i + 1}) {p}{i} USING (site)" for p, k in (("n", "IN ('N', 'S')"), ("c", "= 'C'")) for i in range(_K)).removeprefix("JOIN ").replace(" USING (site)", "", 1)
+ORACLES["shell_assignment"] = sql(f"SELECT site AS c_line_no, round(least({', '.join('(' + ' + '.join('(' + _cost(i, p[i]) + ')' for i in range(_K)) + ')' for p in permutations(range(_K)))}), 6) AS total FROM {_JOINED}", "metals")
 
 
 @query("greedy_match", None)
@@ -109,10 +114,16 @@ def greedy_match(spark, d):
     return R.greedy_match(side("a_", "ATOM"), side("b_", "HETATM"), ["structure_id", "element"], 2.0)
 
 
-@query("rotation_grid", sql("""SELECT line_no, a AS alpha, round(x * cos(radians(a)) + z * sin(radians(a)), 6) + 0e0 AS x, round(y, 6) + 0e0 AS y, round(z * cos(radians(a)) - x * sin(radians(a)), 6) + 0e0 AS z FROM metals, (VALUES (-15e0), (0e0), (30e0)) t(a)""", "metals"))
+_TURNED = """SELECT line_no, a, b, c, x2 * cos(radians(c)) - y2 * sin(radians(c)) AS x, x2 * sin(radians(c)) + y2 * cos(radians(c)) AS y, z2 AS z
+  FROM (SELECT *, x1 AS x2, y1 * cos(radians(b)) - z1 * sin(radians(b)) AS y2, y1 * sin(radians(b)) + z1 * cos(radians(b)) AS z2
+  FROM (SELECT *, x * cos(radians(a)) + z * sin(radians(a)) AS x1, y AS y1, z * cos(radians(a)) - x * sin(radians(a)) AS z1
+  FROM metals, (VALUES (-15e0), (0e0), (30e0)) t(a), (VALUES (-10e0), (20e0)) u(b), (VALUES (0e0), (45e0)) v(c)))"""
+
+
+@query("rotation_grid", sql(f"SELECT line_no, a AS alpha, b AS beta, c AS gamma, round(x, 6) + 0e0 AS x, round(y, 6) + 0e0 AS y, round(z, 6) + 0e0 AS z FROM ({_TURNED})", "metals"))
 def rotation_grid(spark, d):
-    out = R.rotations(_base(spark, d)[2].select("line_no", "x", "y", "z"), [-15, 0, 30], [0], [0])
-    return out.select("line_no", "alpha", *[(F.round(k, 6) + 0.0).alias(k) for k in "xyz"])
+    out = R.rotations(_base(spark, d)[2].select("line_no", "x", "y", "z"), [-15, 0, 30], [-10, 20], [0, 45])
+    return out.select("line_no", "alpha", "beta", "gamma", *[(F.round(k, 6) + 0.0).alias(k) for k in "xyz"])
 
 
 # -- names, groups, fallbacks -----------------------------------------------------------------------
@@ -211,15 +222,9 @@ def volume_consistency(spark, d):
     return c.groupBy("c_nationkey").agg(spread.alias("spread"), (spread <= 1e-12).alias("same"), F.count("*").alias("n"))
 
 
-@query("volume_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_name, c_custkey) AS place FROM (SELECT * FROM customer ORDER BY c_acctbal, c_name, c_custkey LIMIT 50)")
+@query("volume_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_name, c_custkey) AS place FROM customer")
 def volume_order(spark, d):
-    top = spark.read.parquet(f"{d}/customer.parquet").orderBy("c_acctbal", "c_name", "c_custkey").limit(50)
-    return top.select("c_custkey", F.row_number().over(Window.orderBy("c_acctbal", "c_name", "c_custkey")).cast("long").alias("place"))
-
-
-@query("volume_places", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_name, c_custkey) AS place FROM customer")
-def volume_places(spark, d):
-    """The place of every row; ``volume_order`` has the first 50 only."""
+    """The place of every row."""
     return places(spark.read.parquet(f"{d}/customer.parquet"), "c_acctbal", "c_name", "c_custkey").select("c_custkey", "place")
 
 
@@ -246,12 +251,7 @@ def json_metadata(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("markdown_escape", r"SELECT doc_id, replace(substr(text, 1, 200), '|', '\|') AS cell FROM documents")
+@query("markdown_escape", r"SELECT doc_id, replace(text, '|', '\|') AS cell FROM documents")
 def markdown_escape(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.replace(F.substring("text", 1, 200), F.lit("|"), F.lit("\\|")).alias("cell"))
-
-
-@query("markdown_cells", r"SELECT doc_id, replace(text, '|', '\|') AS cell FROM documents")
-def markdown_cells(spark, d):
-    """Whole texts; ``markdown_escape`` has their first 200 characters only."""
+    """Whole texts with their pipes escaped."""
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", markdown_cell(F.col("text")).alias("cell"))

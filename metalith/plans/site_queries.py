@@ -344,11 +344,11 @@ def drop_near(spark, d):
     return N.drop_near(_base(spark, d)[1], "C", "ZN", 2.0).select("line_no")
 
 
-@query("pocket", sql(f"SELECT c.root, count(*) AS n FROM col a JOIN (SELECT structure_id, root, cx AS x, cy AS y, cz AS z FROM cluster) c ON c.structure_id = a.structure_id WHERE {_NEAR} <= 25.0e0 GROUP BY c.root", "cluster"))
+@query("pocket", sql(f"SELECT c.root, count(*) AS n FROM col a JOIN (SELECT structure_id, root, cx AS x, cy AS y, cz AS z FROM cluster) c ON c.structure_id = a.structure_id WHERE {_NEAR} <= 100.0e0 GROUP BY c.root", "cluster"))
 def pocket(spark, d):
     col = _base(spark, d)[1]
     t = C.cluster_table(_labelled(spark, d), "ZN").select(*KEY, "root", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
-    return N.pocket(col, t, 5.0).groupBy(F.col("c_root").alias("root")).agg(F.count("*").alias("n"))
+    return N.pocket(col, t).groupBy(F.col("c_root").alias("root")).agg(F.count("*").alias("n"))
 
 
 @query("multiplicity", sql("SELECT structure_id, CAST(sum(CASE element WHEN 'C' THEN 6 WHEN 'N' THEN 7 WHEN 'O' THEN 8 WHEN 'S' THEN 16 WHEN 'FE' THEN 26 WHEN 'ZN' THEN 30 ELSE 0 END) - 2 AS BIGINT) AS electrons, CAST((sum(CASE element WHEN 'C' THEN 6 WHEN 'N' THEN 7 WHEN 'O' THEN 8 WHEN 'S' THEN 16 WHEN 'FE' THEN 26 WHEN 'ZN' THEN 30 ELSE 0 END) - 2) % 2 + 1 AS BIGINT) AS multiplicity FROM col GROUP BY structure_id", "col"))

@@ -280,13 +280,13 @@ def test_places_number_every_row(spark):
     assert places(df.limit(0), "v", "s", "i").count() == 0
 
 
-def test_volume_places_have_all_customers(spark):
+def test_volume_order_has_all_customers(spark):
     from metalith.plans import registry
 
     from .conftest import DATA
 
     n = spark.read.parquet(f"{DATA}/customer.parquet").count()
-    assert n > 50 and sorted(r["place"] for r in registry.QUERIES["volume_places"](spark, DATA).collect()) == list(range(1, n + 1))
+    assert n > 50 and sorted(r["place"] for r in registry.QUERIES["volume_order"](spark, DATA).collect()) == list(range(1, n + 1))
 
 
 def test_markdown_cells_are_whole(spark, tmp_path):
@@ -294,5 +294,5 @@ def test_markdown_cells_are_whole(spark, tmp_path):
 
     texts = ["a|b" * 200, "|", "", None, "x" * 250 + "|"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["cell"] for r in registry.QUERIES["markdown_cells"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["cell"] for r in registry.QUERIES["markdown_escape"](spark, str(tmp_path)).collect()}
     assert got == {i: t if t is None else t.replace("|", "\\|") for i, t in enumerate(texts)}
