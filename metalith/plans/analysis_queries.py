@@ -285,7 +285,8 @@ def spectrum_average(spark, d):
     return P.average(t, "source", "k", "chi").select("i", F.round("mean", 5).alias("mean"), "n")
 
 
-@query("mutual_match", None)
+@query("mutual_match", sql(f"""SELECT structure_id, element, a_id, b_id, sqrt(q) AS d FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY q, b_id) AS ra, row_number() OVER (PARTITION BY b_id ORDER BY q, a_id) AS rb
+  FROM (SELECT a.structure_id, a.element, c.line_no AS a_id, a.line_no AS b_id, {_NEAR} AS q FROM col c JOIN col a ON a.structure_id = c.structure_id AND a.element = c.element AND c.record = 'ATOM' AND a.record = 'HETATM') WHERE q <= 4.0e0) WHERE ra = 1 AND rb = 1""", "col"))
 def mutual_match(spark, d):
     col = _base(spark, d)[1]
     side = lambda p, r: col.where(f"record = '{r}'").select("structure_id", "element", F.col("line_no").alias(p + "id"), *[F.col(k).alias(p + k) for k in "xyz"])

@@ -44,7 +44,14 @@ def five_rings(spark, d):
     return R.rings(e, 5).select(F.array_join(F.col("ring").cast("array<string>"), "-").alias("ring"))
 
 
-@query("ring_nitrogens", None)
+_PARTNERS = f"""WITH both_ways AS MATERIALIZED ({_BOTH}), carbon AS (SELECT DISTINCT e.i, e.j FROM both_ways e JOIN col c ON c.line_no = e.j WHERE c.element = 'C'),
+  outside AS (SELECT e.i, count(*) AS k FROM both_ways e JOIN (SELECT i FROM carbon GROUP BY i HAVING count(*) >= 2) g ON g.i = e.j GROUP BY e.i),
+  shared AS (SELECT p.i AS n, q.i AS partner, count(*) AS shared FROM carbon p JOIN carbon q ON q.j = p.j AND q.i <> p.i GROUP BY p.i, q.i)
+  SELECT s.*, coalesce(u.k, 0) AS ku, coalesce(v.k, 0) AS kv, row_number() OVER (PARTITION BY s.n ORDER BY s.shared DESC, {_NEAR}, s.partner) AS rk
+  FROM shared s JOIN col a ON a.line_no = s.n AND a.element = 'N' JOIN col c ON c.line_no = s.partner AND c.element = 'N' LEFT JOIN outside u ON u.i = s.n LEFT JOIN outside v ON v.i = s.partner"""
+
+
+@query("ring_nitrogens", sql(f"SELECT n, partner, CAST(shared AS INTEGER) AS shared, CASE WHEN ku > kv OR (ku = kv AND n < partner) THEN 'ND' ELSE 'NE' END AS kind FROM ({_PARTNERS}) WHERE rk = 1", "col"))
 def ring_nitrogens(spark, d):
     col, e = _bonds(spark, d)
     return R.ring_nitrogens(col, e).select("n", "partner", "shared", "kind")

@@ -331,7 +331,7 @@ def backbone_keep_drop(spark, d):
     return N.backbone_filtered(_base(spark, d)[1], "ZN", 3.0).select("line_no")
 
 
-_RAD = "CASE {a}.element " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in COVALENT_RADII.items()) + " ELSE 0.77e0 END"
+_RAD = "CASE {a}.element " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in COVALENT_RADII.items()) + " END"
 
 
 @query("bond_graph", sql(f"SELECT a.line_no AS i, c.line_no AS j FROM col a JOIN col c ON a.structure_id = c.structure_id AND a.line_no < c.line_no WHERE a.element NOT IN ('H', 'ZN') AND c.element NOT IN ('H', 'ZN') AND sqrt({_NEAR}) BETWEEN 0.6e0 AND {_RAD.format(a='a')} + {_RAD.format(a='c')} + 0.45e0", "col"))

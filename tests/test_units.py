@@ -296,3 +296,58 @@ def test_markdown_cells_are_whole(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["cell"] for r in registry.QUERIES["markdown_escape"](spark, str(tmp_path)).collect()}
     assert got == {i: t if t is None else t.replace("|", "\\|") for i, t in enumerate(texts)}
+
+
+def test_greedy_match_equals_plain_loop(spark):
+    from metalith.operators.graph import greedy_match
+
+    rng = random.Random(5)
+    place = lambda: tuple(float(rng.randint(0, 6)) for _ in range(3))
+    a = [(g, i, *place()) for g in ("u", "v", "w") for i in range(40)]
+    b = [(g, i, *place()) for g in ("u", "v", "x") for i in range(30)]
+    want = set()
+    for g in "uvwx":
+        free = {r[1]: r[2:] for r in b if r[0] == g}
+        for _, i, *p in [r for r in a if r[0] == g]:
+            near = min(((sum((s - t) ** 2 for s, t in zip(p, q, strict=True)), k) for k, q in free.items()), default=(9.0, 0))
+            if near[0] <= 4.0:
+                want.add((g, i, near[1], round(math.sqrt(near[0]), 9)))
+                del free[near[1]]
+    side = lambda rows, p: spark.createDataFrame(rows, f"g string, {p}id long, {p}x double, {p}y double, {p}z double").repartition(3)
+    got = greedy_match(side(a, "a_"), side(b, "b_"), ["g"], 2.0).collect()
+    assert len(want) > 40 and len(got) == len(want) and {(r["g"], r["a_id"], r["b_id"], round(r["d"], 9)) for r in got} == want
+
+
+def test_spectrum_transform_equals_plain_sums(spark):
+    import cmath
+
+    from metalith.operators.spectra import transform_to_r
+
+    step, size, kmin, kmax, dk = 0.1, 256, 3.0, 9.0, 2.0
+    traces = {s: [(0.37 * i, math.sin(2 * (s + 1) * 0.37 * i) / (1 + i)) for i in range(1, 40)] for s in range(3)}
+    df = spark.createDataFrame([(s, k, v) for s, t in traces.items() for k, v in t], "s long, k double, chi double").repartition(4)
+    got = {(r["s"], round(r["r"], 6)): r for r in transform_to_r(df, "s", "k", "chi", kmin, kmax, dk, 2, step, 4.0, size).collect()}
+
+    def bessel(x):
+        return sum((x / 2) ** (2 * m) / math.factorial(m) ** 2 for m in range(40))
+
+    def chi(t, k):
+        for (a, u), (b, v) in zip(t, t[1:], strict=False):
+            if a <= k <= b:
+                return u + (v - u) * (k - a) / (b - a)
+        return 0.0
+
+    lo, hi, seen = kmin - dk / 2, kmax + dk / 2, 0
+    for s, t in traces.items():
+        f = []
+        for j in range(size):
+            k = j * step
+            at = (k - (lo + hi) / 2) / ((hi - lo) / 2)
+            f.append(chi(t, k) * k**2 * bessel(dk * math.sqrt(max(0.0, 1 - at * at))) / bessel(dk) if lo <= k <= hi else 0.0)
+        for n in range(size // 2):
+            r = math.pi * n / (step * size)
+            if r <= 4.0:
+                z = sum(v * cmath.exp(-2j * math.pi * j * n / size) for j, v in enumerate(f)) * step / math.sqrt(math.pi)
+                row, seen = got[s, round(r, 6)], seen + 1
+                assert abs(complex(row["re"], row["im"]) - z) < 1e-9 and abs(row["mag"] - abs(z)) < 1e-9
+    assert seen == len(got)
