@@ -50,6 +50,19 @@ def altloc_csv(raw: DataFrame, config: S.SiteConfig) -> DataFrame:
     return out.select(F.col("structure_id").alias("pdb_id"), "record", "serial", "atom_name", "element", "altloc", "resname", "chain", "resseq", "x", "y", "z", F.col("cluster_number").alias("cluster_id"), "cluster_type")
 
 
+def preferred_altloc(names: DataFrame, clusters: DataFrame, altlocs: DataFrame, order: str) -> DataFrame:
+    """``names`` (xyz_name, pdb_id, cluster_id) with ``altloc``: that of the first row by ``order``
+    of the cluster report which names the file and has one; else the only label of the
+    cluster in the altloc report; else ``''``."""
+    label = lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    named = clusters.select(F.element_at(F.split(F.trim("XYZ_PATH"), "/"), -1).alias("xyz_name"), label("ALTLOC").alias("_a"), F.col(order).alias("_o"))
+    named = named.where("_a <> '' and xyz_name <> ''").groupBy("xyz_name").agg(F.min_by("_a", "_o").alias("_named"))
+    only = altlocs.select(F.lower(F.trim("pdb_id")).alias("pdb_id"), F.trim(F.col("cluster_id").cast("string")).alias("cluster_id"), label("altloc").alias("_a")).where("_a <> ''")
+    only = only.groupBy("pdb_id", "cluster_id").agg(F.min("_a").alias("_low"), F.max("_a").alias("_high")).where("_low = _high").select("pdb_id", "cluster_id", F.col("_low").alias("_only"))
+    out = names.join(named, "xyz_name", "left").join(only, ["pdb_id", "cluster_id"], "left")
+    return out.withColumn("altloc", F.coalesce("_named", "_only", F.lit(""))).drop("_named", "_only")
+
+
 def run_cache(sites: DataFrame, target: str, cutoff: float, radius: float) -> DataFrame:
     """One JSON-ready row per structure: run parameters and the paths of its clusters."""
     path = F.struct(F.concat_ws("_", "structure_id", F.col("cluster_number").cast("string")).alias("xyz_path"))

@@ -20,6 +20,15 @@ def dw_rollup(rows: DataFrame, source: str, kind: str, dw: str, distance: str) -
     return out.select(source, kind, "n", "mean_dw", "var_d", (F.col("mean_dw") + F.col("var_d")).alias("total"))
 
 
+def value_summary(rows: DataFrame, source: str, value: str) -> DataFrame:
+    """``n``, mean and population deviation per source; sources without values have no row.
+    Values count to six decimals and are summed as decimals."""
+    v = F.col(value).cast("decimal(14,6)")
+    out = rows.where(v.isNotNull()).groupBy(source).agg(F.count("*").alias("n"), F.sum(v).cast("double").alias("_v"), F.sum(v * v).cast("double").alias("_q"))
+    mean = F.col("_v") / F.col("n")
+    return out.select(source, "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("_q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"))
+
+
 def first_per_k(rows: DataFrame, by: list[str], k: str, value: str, order: str) -> DataFrame:
     return rows.groupBy(*by, k).agg(F.min_by(value, order).alias(value))
 

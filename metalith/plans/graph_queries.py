@@ -262,3 +262,26 @@ def json_metadata(spark, d):
 def markdown_escape(spark, d):
     """Whole texts with their pipes escaped."""
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", markdown_cell(F.col("text")).alias("cell"))
+
+
+@query("dw_nearest_summary", "SELECT l_suppkey % 7 AS source, count(*) AS n, CAST(sum(l_partkey % 4001) AS DOUBLE) / 1000e0 / count(*) AS mean FROM lineitem WHERE l_linenumber % 3 = 0 GROUP BY l_suppkey % 7")
+def dw_nearest_summary(spark, d):
+    """First-shell distances of Debye-Waller texts, per source."""
+    from metalith.operators import spectra as P
+    from metalith.sources import xyz as X
+
+    i = spark.read.parquet(f"{d}/lineitem.parquet")
+    group = F.when(F.col("l_linenumber") % 3 == 0, F.when(F.col("l_orderkey") % 2 == 0, "nearest").otherwise("Nearest")).otherwise("far")
+    text = F.format_string("%s N 0.0 0.0 0.0 %.3f 0.004 %d", group, (F.col("l_partkey") % 4001).cast("double") / 1000, F.col("l_linenumber"))
+    lines = i.select((F.col("l_suppkey") % 7).alias("source"), F.col("l_orderkey").alias("line_no"), text.alias("line"))
+    return P.value_summary(X.nearest_rows(X.parse_dw(lines)), "source", "distance").select("source", "n", "mean")
+
+
+@query("scan_group", "SELECT c_custkey, CAST(c_custkey % 3 - 1 AS DOUBLE) AS alpha, CAST(c_custkey % 5 - 2 AS DOUBLE) AS beta, CAST(c_custkey % 7 - 3 AS DOUBLE) AS gamma FROM customer WHERE c_custkey % 5 <> 2 OR (c_custkey % 3 = 1 AND c_custkey % 7 = 3)")
+def scan_group(spark, d):
+    """Rows turned about beta, and those not turned at all."""
+    from metalith.operators import scans
+
+    k = F.col("c_custkey")
+    angles = [(k % m - m // 2).cast("double").alias(a) for m, a in ((3, "alpha"), (5, "beta"), (7, "gamma"))]
+    return scans.scan_group(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", *angles), "beta")

@@ -105,14 +105,19 @@ def atom_rows(structure_id: str, text: str, auth_ids: bool = False) -> list[dict
     return out
 
 
-def read_mmcif(spark: SparkSession, paths: str | list[str], auth_ids: bool = False) -> DataFrame:
-    files = spark.read.text(paths, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[A-Za-z]+)?(\.gz)?$", 1).alias("structure_id"), "value")
+def mmcif_atoms(files: DataFrame, auth_ids: bool = False) -> DataFrame:
+    """Atoms of ``(structure_id, value)`` texts, a file at a time."""
 
     def parse(batches):
         import pandas as pd
 
         for batch in batches:
-            rows = [r for s, t in zip(batch["structure_id"], batch["value"], strict=True) for r in atom_rows(s, t, auth_ids)]
-            yield pd.DataFrame(rows, columns=ATOM.fieldNames())
+            for s, t in zip(batch["structure_id"], batch["value"], strict=True):
+                yield pd.DataFrame(atom_rows(s, t, auth_ids), columns=ATOM.fieldNames())
 
     return files.mapInPandas(parse, ATOM)
+
+
+def read_mmcif(spark: SparkSession, paths: str | list[str], auth_ids: bool = False) -> DataFrame:
+    files = spark.read.text(paths, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[A-Za-z]+)?(\.gz)?$", 1).alias("structure_id"), "value")
+    return mmcif_atoms(files, auth_ids)

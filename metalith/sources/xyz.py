@@ -41,6 +41,19 @@ def parse_dw(lines: DataFrame) -> DataFrame:
     return t.where("x is not null and sig2_tot is not null")
 
 
+def nearest_rows(rows: DataFrame) -> DataFrame:
+    """First-shell rows of a Debye-Waller table."""
+    return rows.where(F.lower("group") == "nearest")
+
+
+def dw_tagged(lines: DataFrame) -> DataFrame:
+    """``source, line_no, element, x, y, z, dw`` of XYZ rows whose comment has a ``dw=`` number;
+    other rows are left out."""
+    tag = F.regexp_extract("comment", r"(?i)\bdw\s*=\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1)
+    rows = parse_xyz(lines).withColumn("dw", tag.try_cast("double")).where("dw is not null")
+    return rows.select("source", "line_no", "element", "x", "y", "z", "dw")
+
+
 def parse_spectrum(lines: DataFrame) -> DataFrame:
     """``source, k, chi``: columns 3 and 6 of wide rows, else 1 and 2; first value of each k."""
     t = lines.where(~F.trim("line").startswith("#")).withColumn("_t", F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != ""))

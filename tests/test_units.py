@@ -351,3 +351,43 @@ def test_spectrum_transform_equals_plain_sums(spark):
                 row, seen = got[s, round(r, 6)], seen + 1
                 assert abs(complex(row["re"], row["im"]) - z) < 1e-9 and abs(row["mag"] - abs(z)) < 1e-9
     assert seen == len(got)
+
+
+def test_both_formats_load_as_one(spark, tmp_path):
+    from metalith.schema import ATOM
+    from metalith.sources.structures import load_atoms
+
+    atom = lambda n, x: f"HETATM{n:5d} ZN    ZN A{n:4d}    {x:8.3f}{0:8.3f}{0:8.3f}  1.00  5.00          ZN"
+    (tmp_path / "1abc.cif").write_text(CIF)
+    (tmp_path / "2abc.txt").write_text(CIF)
+    (tmp_path / "3abc.pdb").write_text("\n".join([atom(1, 0.5), "MODEL        1", atom(2, 1.0), "ENDMDL", "MODEL        2", atom(3, 2.0), "ENDMDL", ""]))
+    (tmp_path / "4abc.pdb").write_text("\n".join(["MODEL        2", atom(4, 1.0), "ENDMDL", "MODEL        1", atom(5, 1.0), "ENDMDL"]))
+    (tmp_path / "5abc.pdb").write_text("")
+    serials = lambda df: sorted((r["structure_id"], r["serial"]) for r in df.collect())
+    cif = [(s, n) for s in ("1abc", "2abc") for n in (1, 3)]
+    every = load_atoms(spark, str(tmp_path))
+    assert every.columns == ATOM.fieldNames()
+    assert serials(every) == cif + [("3abc", 1), ("3abc", 2), ("3abc", 3), ("4abc", 4), ("4abc", 5)]
+    assert serials(load_atoms(spark, str(tmp_path), first_model_only=True)) == cif + [("3abc", 1), ("3abc", 2)]
+
+
+def test_tagged_rows_and_first_shell(spark):
+    from metalith.operators.spectra import value_summary
+
+    text = ["3", "title", "N 0 0 1 # dw=0.004 q=1", "S 0 0 2 # q=1", "C 0 0 x # dw=1", "ZN 0 0 0", "N 0 1 0 # DW = 1e-3"]
+    lines = spark.createDataFrame([("a", i, t) for i, t in enumerate(text)], "source string, line_no long, line string")
+    assert [(r["element"], r["z"], r["dw"]) for r in xyz.dw_tagged(lines).orderBy("line_no").collect()] == [("N", 1.0, 0.004), ("N", 0.0, 0.001)]
+    rows = ["group symbol x y z distance sig2 i", "NEAREST N 0 0 0 2.0 0.004 1", "nearest S 0 0 0 3.0 0.006 2", "far C 0 0 0 9.0 0.1 3"]
+    dw = spark.createDataFrame([("a", i, t) for i, t in enumerate(rows)], "source string, line_no long, line string")
+    got = value_summary(xyz.nearest_rows(xyz.parse_dw(dw)), "source", "distance").collect()
+    assert [(r["source"], r["n"], r["mean"], round(r["std"], 9)) for r in got] == [("a", 2, 2.5, 0.5)]
+
+
+def test_preferred_altloc(spark):
+    from metalith.operators.report import preferred_altloc
+
+    names = spark.createDataFrame([("a_cluster1.xyz", "1abc", "1"), ("b_cluster2.xyz", "1abc", "2"), ("c_cluster3.xyz", "1abc", "3"), ("d_cluster4.xyz", "2abc", "4")], "xyz_name string, pdb_id string, cluster_id string")
+    clusters = spark.createDataFrame([(0, "x/a_cluster1.xyz", ""), (1, "x/a_cluster1.xyz", "b"), (2, "y/a_cluster1.xyz", "A"), (3, None, "C")], "n int, XYZ_PATH string, ALTLOC string")
+    altlocs = spark.createDataFrame([("1ABC", 1, "C"), ("1abc", 2, "d"), ("1abc", 2, "D"), ("1abc", 3, "A"), ("1abc", 3, "B"), (None, 4, "A")], "pdb_id string, cluster_id int, altloc string")
+    got = {r["xyz_name"][0]: r["altloc"] for r in preferred_altloc(names, clusters, altlocs, "n").collect()}
+    assert got == {"a": "B", "b": "D", "c": "", "d": ""}
