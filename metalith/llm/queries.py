@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, lines, mixing, quality, secrets, sharding, tokens, toxicity
+from . import decontaminate, jaccard, language, lines, mixing, nbsvm, quality, secrets, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_tokens": tokens.op8_tokens,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_ngram_join": jaccard.op10_ngram_join,
+    "op13_quality_nbsvm": nbsvm.op13_quality_nbsvm,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
