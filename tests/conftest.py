@@ -12,6 +12,7 @@ sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES += "clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 @pytest.fixture(scope="session")
