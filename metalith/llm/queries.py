@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, lines, mixing, nbsvm, quality, secrets, sessions, sharding, tokens, toxicity
+from . import decontaminate, jaccard, language, lines, mixing, nbsvm, quality, secrets, sessions, sharding, tokens, toxicity, trie
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_tokens": tokens.op8_tokens,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_ngram_join": jaccard.op10_ngram_join,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_sessions": sessions.op12_sessions,
     "op13_quality_nbsvm": nbsvm.op13_quality_nbsvm,
 }
@@ -24,5 +25,6 @@ ORACLES = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
     "op10_ngram_join": jaccard.OP10_SQL,
+    "op11_prefix_trie": trie.OP11_SQL,
     "op12_sessions": sessions.OP12_SQL,
 }
