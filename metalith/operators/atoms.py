@@ -14,18 +14,23 @@ SITE_KEY = ["chain", "resseq", "icode", "atom_name"]
 RESIDUE = ["chain", "resseq", "icode"]
 
 
+def altloc_order(policy: str = "default") -> Column:
+    """What ranks the lines of one place; the least is taken."""
+    blank = F.col("altloc").isin("", "A")
+    return {
+        "default": F.struct((~blank).cast("int").alias("a"), F.when(blank, 0.0).otherwise(-F.col("occ")).alias("b"), F.col("line_no").alias("c")),
+        "best_occupancy": F.struct((-F.col("occ")).alias("a"), F.col("line_no").alias("b")),
+        "first": F.struct(F.col("line_no").alias("a")),
+    }[policy]
+
+
 def collapse_altloc(atoms: DataFrame, policy: str = "default") -> DataFrame:
     """One atom per (chain, resseq, icode, atom_name) and structure.
 
     ``default``: the first line with altloc blank or A, else the highest occupancy, else
     the first line; ``best_occupancy``: the highest occupancy, first line on ties;
     ``first``: the first line. ``group_ord`` keeps the place of the group's first line."""
-    blank = F.col("altloc").isin("", "A")
-    order = {
-        "default": F.struct((~blank).cast("int").alias("a"), F.when(blank, 0.0).otherwise(-F.col("occ")).alias("b"), F.col("line_no").alias("c")),
-        "best_occupancy": F.struct((-F.col("occ")).alias("a"), F.col("line_no").alias("b")),
-        "first": F.struct(F.col("line_no").alias("a")),
-    }[policy]
+    order = altloc_order(policy)
     columns = [c for c in atoms.columns]
     picked = atoms.groupBy(*STRUCTURE, *SITE_KEY).agg(F.min_by(F.struct(*columns), order).alias("_a"), F.min("line_no").alias("group_ord"))
     return picked.select(*[F.col(f"_a.{c}").alias(c) for c in columns], "group_ord")
@@ -77,3 +82,9 @@ def residue_sort_key(resseq: Column) -> Column:
     """Numbers by value, then letter; other texts behind all numbers."""
     number = F.regexp_extract(resseq, r"^(-?\d+)([A-Za-z]?)$", 1)
     return F.struct(F.coalesce(number.try_cast("int"), F.lit(1_000_000_000)).alias("n"), F.when(number == "", resseq).otherwise(F.regexp_extract(resseq, r"^(-?\d+)([A-Za-z]?)$", 2)).alias("t"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with all columns computed here, once. An array that a later lambda reads is otherwise an expression that the
+    planner may put into that lambda, to be computed anew for each element, or once more below a filter."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_s")).select("_s.*")

@@ -21,8 +21,6 @@ def cluster_csv(raw: DataFrame, config: S.SiteConfig, resolution: DataFrame | No
     """The 30 report columns, one row per reported centre. ``resolution``: structure_id and
     resolution; a missing one is ``NA``."""
     rows = S.cluster_rows(raw, config)
-    center = A.collapse_altloc(raw).select(*STRUCTURE, F.col("line_no").alias("c_line_no"), "element", "atom_name", "icode", "altloc", "occ")
-    rows = rows.join(center, S.CENTER)
     if resolution is not None:
         rows = rows.join(resolution, "structure_id", "left")
     else:

