@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metalith.functions import geometry as G
+from metalith.schema import AMINO_ACIDS
+
+from . import atoms as A
+from .atoms import STRUCTURE
+from .neighbors import within
+
 
 def group_stats(values: DataFrame, by: list[str], value: str = "bfac") -> DataFrame:
     """Mean and population deviation; no values give (-1, 0), one gives (v, 0)."""
@@ -39,3 +46,79 @@ def secondary_structure(residues: DataFrame, ranges: DataFrame, by: list[str], n
     out = residues.join(hit, [*by, "chain", number], "left").join(known, by, "left")
     name: Column = F.when(F.col("_known").isNull(), "XXXX").when(F.col("_p") == 0, "HELIX").when(F.col("_p") == 1, "SHEET").otherwise("LOOP")
     return out.withColumn("sec", name).drop("_p", "_known")
+
+
+# -- declared sequences ---------------------------------------------------------------------------
+
+
+def declared_positions(observed: DataFrame, declared: DataFrame, by: list[str] = STRUCTURE) -> DataFrame:
+    """``observed`` residues (by, chain, resname, resseq) with ``seq_index``, their place from 0 in the declared
+    sequence ``declared`` (by, chain, residues), or null.
+
+    The alignment keeps order: residues are taken by number, then insertion letter, and each gets the first place of its
+    name behind the last place given; one without such a place gets none and moves nothing. A chain is one fold over its
+    residues, as the pointer makes it sequential; chains without a declared sequence get nulls."""
+    key = A.residue_sort_key(F.col("resseq"))
+    chain = observed.groupBy(*by, "chain").agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.upper("resname").alias("name"), F.struct(*observed.columns).alias("row")))).alias("_o"))
+    chain = chain.join(declared.select(*by, "chain", F.transform("residues", F.upper).alias("_d")), [*by, "chain"], "left")
+
+    def place(state: Column, o: Column) -> Column:
+        found = F.array_position(F.slice("_d", state["next"] + 1, F.greatest(F.size("_d") - state["next"], F.lit(0))), o["name"]).cast("int")
+        at = F.when(found > 0, state["next"] + found - 1)
+        return F.struct(F.coalesce(at + 1, state["next"]).alias("next"), F.concat(state["at"], F.array(at)).alias("at"))
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at"))
+    chain = chain.withColumn("_at", F.when(F.col("_d").isNotNull(), F.aggregate("_o", start, place)["at"]))
+    rows = chain.select(F.posexplode("_o").alias("_p", "_r"), "_at")
+    return rows.select("_r.row.*", F.get("_at", F.col("_p")).alias("seq_index"))
+
+
+def declared_neighbors(positions: DataFrame, marked: str, reach: int = 2, by: list[str] = STRUCTURE) -> DataFrame:
+    """Residues within ``reach`` places of a marked one, the marked ones among them: by declared index where the marked one has
+    it, else by the order observed. ``positions``: as ``declared_positions`` gives it, with a flag ``marked``."""
+    w = Window.partitionBy(*by, "chain").orderBy(A.residue_sort_key(F.col("resseq")), "resname")
+    p = positions.withColumn("_seen", F.row_number().over(w))
+    hits = []
+    for at, which in (("seq_index", F.col("seq_index").isNotNull()), ("_seen", F.col("seq_index").isNull())):
+        near = p.where(F.col(marked) & which).select(*by, "chain", F.explode(F.sequence(F.col(at) - reach, F.col(at) + reach)).alias(at)).distinct()
+        hits.append(p.join(near, [*by, "chain", at], "left_semi").select(*p.columns))
+    return hits[0].unionByName(hits[1]).drop("_seen").distinct()
+
+
+# -- groups around a metal -------------------------------------------------------------------------
+
+
+def metal_groups(atoms: DataFrame, centers: DataFrame, reach: float = 3.0, pocket: float = 10.0, places: int = 2) -> DataFrame:
+    """``structure, c_line_no, ord, label, n, mean, std`` of the B-factors around each centre (line_no, x, y, z,
+    bfac): the metal; each coordinator, a residue but metal and water with a heavy atom within ``reach``, without its N, C and
+    O; ``near`` it, the amino acids within ``places`` of it in the chain's order of first lines, coordinators left out;
+    and the pocket, heavy atoms within ``pocket`` that belong to no coordinator and no metal residue.
+
+    Coordinators are ordered by chain and number. Every group has a row: without values (-1, 0), with one (v, 0)."""
+    res = ["chain", "resseq", "resname"]
+    heavy = atoms.where(F.upper("element") != "H").select(*STRUCTURE, "line_no", "record", "chain", "resseq", F.upper("resname").alias("resname"), F.upper("atom_name").alias("atom_name"), "x", "y", "z", "bfac")
+    c = centers.select(*STRUCTURE, "line_no", "x", "y", "z", "bfac")
+    around = within(c, heavy, pocket).withColumn("d", G.distance(G.at("c_"), G.at()))
+    metal_name = F.col("resname") == "ZN"
+    own = around.where(~metal_name & (F.col("resname") != "HOH")).groupBy(*STRUCTURE, "c_line_no", *res).agg(F.min("d").alias("d")).where(F.col("d") <= reach).drop("d")
+    number = A.residue_sort_key(F.col("resseq"))
+    own = own.withColumn("nth", F.row_number().over(Window.partitionBy(*STRUCTURE, "c_line_no").orderBy("chain", number, "resname")))
+    values = own.join(heavy.where(~F.col("atom_name").isin("N", "C", "O")).select(*STRUCTURE, *res, "bfac"), [*STRUCTURE, *res], "left")
+    key = [*STRUCTURE, "c_line_no", "ord", "label"]
+    shells = [values.withColumns({"ord": F.col("nth") * 2 - 1, "label": F.concat("resname", "resseq")}).select(*key, "bfac")]
+    # places in the chain, of the standard residues of ATOM lines
+    chain = heavy.where((F.col("record") == "ATOM") & F.col("resname").isin(*AMINO_ACIDS) & (F.col("chain") != "") & (F.col("resseq") != ""))
+    chain = chain.groupBy(*STRUCTURE, *res).agg(F.min("line_no").alias("_f")).withColumn("at", F.row_number().over(Window.partitionBy(*STRUCTURE, "chain").orderBy("_f"))).drop("_f")
+    spots = own.join(chain, [*STRUCTURE, *res]).select(*STRUCTURE, "c_line_no", "nth", "chain", F.explode(F.sequence(F.col("at") - places, F.col("at") + places)).alias("at"))
+    near = spots.join(chain, [*STRUCTURE, "chain", "at"]).join(own.select(*STRUCTURE, "c_line_no", *res), [*STRUCTURE, "c_line_no", *res], "left_anti")
+    near = near.join(heavy.select(*STRUCTURE, *res, "bfac"), [*STRUCTURE, *res]).select(*STRUCTURE, "c_line_no", "nth", "bfac")
+    near = own.select(*STRUCTURE, "c_line_no", "nth", "resseq").join(near, [*STRUCTURE, "c_line_no", "nth"], "left")
+    shells.append(near.withColumns({"ord": F.col("nth") * 2, "label": F.concat(F.lit("near"), "resseq")}).select(*key, "bfac"))
+    free = around.where(~metal_name).join(own.select(*STRUCTURE, "c_line_no", *res), [*STRUCTURE, "c_line_no", *res], "left_anti").select(*STRUCTURE, "c_line_no", "bfac")
+    every = c.select(*STRUCTURE, F.col("line_no").alias("c_line_no"))
+    shells.append(every.join(free, [*STRUCTURE, "c_line_no"], "left").withColumns({"ord": F.lit(1_000_000), "label": F.lit("Pocket")}).select(*key, "bfac"))
+    shells.append(c.select(*STRUCTURE, F.col("line_no").alias("c_line_no"), F.lit(0).alias("ord"), F.lit("Zn").alias("label"), "bfac"))
+    out = shells[0]
+    for s in shells[1:]:
+        out = out.unionByName(s)
+    return group_stats(out, key)

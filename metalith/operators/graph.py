@@ -152,3 +152,157 @@ def rotations(points: DataFrame, alphas: list[float], betas: list[float], gammas
         v = G.rotated(G.at(), axis, F.col(angle))
         out = out.withColumns(dict(zip("xyz", v, strict=True)))
     return out
+
+
+# -- turns of a ring about its nitrogen ------------------------------------------------------------
+
+
+def ring_frames(rings: DataFrame, by: list[str]) -> DataFrame:
+    """``by, n, ux, uy, uz``: the nitrogen that coordinates and an orthonormal frame of each ring.
+
+    ``rings``: by, ``m`` (the metal's place), ``n`` (the nitrogen's), ``ring`` (places of all ring atoms), structs of x, y, z. y
+    goes from metal to nitrogen; z is the ring's normal without its part along y; x is z cross y. The normal's sign, which the
+    ring leaves open, is such that its first component that is not 0 is positive. A ring whose normal lies along y has no
+    frame of its own and gets one from the direction to the ring's mean."""
+    r = rings.select(*by, "m", "n", "ring", F.struct(*[_mean_of("ring", k).alias(k) for k in "xyz"]).alias("_m"))
+    r = r.withColumns({"_" + a + b: _moment("ring", a, b) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")})
+    cov = [F.col("_" + k) for k in ("xx", "yy", "zz", "xy", "xz", "yz")]
+    r = r.withColumn("_low", G.smallest_eigenvalue(*cov)).withColumn("_n", G.plane_normal(*cov, F.col("_low")))
+    unit = lambda v: tuple(c / G.norm(v) for c in v)
+    st = lambda v: F.struct(*[c.alias(k) for k, c in zip("xyz", v, strict=True)])
+    r = r.withColumn("uy", st(unit(G.minus(G.of(F.col("n")), G.of(F.col("m"))))))
+    y, raw = G.of(F.col("uy")), G.of(F.col("_n"))
+    sign = F.when(raw[0] != 0, F.signum(raw[0])).when(raw[1] != 0, F.signum(raw[1])).otherwise(F.signum(raw[2]))
+    flat = tuple(sign * (a - G.dot(raw, y) * b) for a, b in zip(raw, y, strict=True))
+    side = G.minus(G.of(F.col("_m")), G.of(F.col("n")))
+    spare = G.cross(y, tuple(a - G.dot(side, y) * b for a, b in zip(side, y, strict=True)))
+    r = r.withColumns({"_flat": st(flat), "_spare": st(spare)})
+    z = F.when(G.norm(G.of(F.col("_flat"))) > 1e-8, F.col("_flat")).otherwise(F.col("_spare"))
+    r = r.withColumn("_z", z).withColumn("uz", st(unit(G.of(F.col("_z")))))
+    return r.withColumn("ux", st(unit(G.cross(G.of(F.col("uz")), y)))).select(*by, "n", "ux", "uy", "uz")
+
+
+def _mean_of(array: str, k: str) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, v: a + v[k]) / F.size(array)
+
+
+def _moment(array: str, a: str, b: str) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda t, v: t + (v[a] - F.col(f"_m.{a}")) * (v[b] - F.col(f"_m.{b}"))) / F.size(array)
+
+
+def angle_sets(alphas: list[float], betas: list[float], gammas: list[float]) -> list[tuple[float, float, float]]:
+    """Lists of angles side by side; a list of one goes with all of the others."""
+    n = max(len(alphas), len(betas), len(gammas))
+    if not all(len(v) in (1, n) for v in (alphas, betas, gammas)):
+        raise ValueError("lists of angles must have one entry or as many as the longest")
+    return [tuple(float(v[i % len(v)]) for v in (alphas, betas, gammas)) for i in range(n)]
+
+
+def turned(atoms: DataFrame, frames: DataFrame, by: list[str], sets: list[tuple[float, float, float]]) -> DataFrame:
+    """``atoms`` (by, x, y, z) once per set of angles (``nth, alpha, beta, gamma``), turned about the nitrogen of their
+    frame: alpha about its y, then beta about x, then gamma about z, all of the frame before any turn."""
+    grid = F.array(*[F.struct(F.lit(i).alias("nth"), *[F.lit(v).alias(k) for k, v in zip(("alpha", "beta", "gamma"), s, strict=True)]) for i, s in enumerate(sets)])
+    out = atoms.join(frames, by).withColumn("_g", F.explode(grid)).select(*atoms.columns, "_g.*", "n", "ux", "uy", "uz")
+    out = out.withColumns({k: F.col(k) - F.col(f"n.{k}") for k in "xyz"})
+    for axis, angle in (("uy", "alpha"), ("ux", "beta"), ("uz", "gamma")):
+        out = out.withColumns(dict(zip("xyz", G.rotated(G.at(), G.of(F.col(axis)), F.col(angle)), strict=True)))
+    return out.withColumns({k: F.col(k) + F.col(f"n.{k}") for k in "xyz"}).drop("n", "ux", "uy", "uz")
+
+
+# -- alignment of residue paths --------------------------------------------------------------------
+
+#: Atoms that a histidine's frame may use beside its donor, in this order.
+FRAME_ATOMS = ("CB", "CG", "CD2", "NE2", "CE1", "ND1", "CA")
+
+
+def _frame(residue: dict):
+    """Orthonormal columns: towards the donor, then towards the first other atom that is not in line."""
+    import numpy as np
+
+    seed = residue["atoms"][residue["donor"]]
+    if not np.linalg.norm(seed):
+        return None
+    first = seed / np.linalg.norm(seed)
+    for name in FRAME_ATOMS:
+        if name in residue["atoms"] and name != residue["donor"]:
+            flat = residue["atoms"][name] - (residue["atoms"][name] @ first) * first
+            if np.linalg.norm(flat):
+                second = flat / np.linalg.norm(flat)
+                return np.column_stack([first, second, np.cross(first, second)])
+    return None
+
+
+def _seeds(kinds: list[str]) -> list[int]:
+    """Residues that may stand for the reference's seed: the odd one out, else cysteines, or all where all are alike."""
+    cys, his = ([i for i, k in enumerate(kinds) if k == w] for w in ("CYS", "HIS"))
+    if len(cys) == 1 or len(his) == 1:
+        return cys if len(cys) == 1 else his
+    return list(range(len(kinds))) if 4 in (len(cys), len(his)) else cys or his
+
+
+def coordinating(atoms: DataFrame) -> DataFrame:
+    """``source, rank, chain, resseq, kind, donor, names, places``: of each source the four CYS and HIS whose donor (SG; the
+    nearer of ND1 and NE2) is nearest to the origin, with the atoms that alignment looks at."""
+    r = atoms.where(F.col("resname").isin("CYS", "HIS")).groupBy("source", "chain", "resseq").agg(F.min_by("resname", "line_no").alias("kind"), F.map_from_entries(F.collect_list(F.struct("atom_name", F.struct("x", "y", "z")))).alias("m"))
+    q = lambda name: F.when(F.try_element_at("m", F.lit(name)).isNotNull(), G.dot(*[G.of(F.try_element_at("m", F.lit(name)))] * 2))
+    his = F.when(q("ND1").isNull() | (q("NE2") < q("ND1")), "NE2").otherwise("ND1")
+    r = r.withColumn("donor", F.when(F.col("kind") == "CYS", "SG").otherwise(his)).where(F.array_contains(F.map_keys("m"), F.col("donor")))
+    r = r.withColumn("q", F.element_at("m", F.col("donor"))).withColumn("q", G.dot(G.of(F.col("q")), G.of(F.col("q"))))
+    w = Window.partitionBy("source").orderBy("q", "chain", "resseq")
+    r = r.withColumn("rank", F.row_number().over(w)).where("rank <= 4")
+    used = F.map_filter("m", lambda k, v: F.when(F.col("kind") == "CYS", k.isin("SG", "CB", "CA")).otherwise(k.isin(*FRAME_ATOMS)))
+    return r.select("source", "rank", "chain", "resseq", "kind", "donor", F.map_keys(used).alias("names"), F.transform(F.map_values(used), lambda v: F.array(v["x"], v["y"], v["z"])).alias("places"))
+
+
+def aligned_paths(residues: DataFrame, reference: str) -> DataFrame:
+    """Each source's residues (as ``coordinating`` gives them) laid over those of the source ``reference``: ``source,
+    resseq, chain, against`` (the reference's residue it stands for, from 0), ``seed, total, names, places`` turned.
+
+    The reference's seed is its only CYS or only HIS, else its nearest CYS, else its nearest residue; it comes first. A source tries
+    each residue that may be the seed: its frame is turned onto the reference's, and of all orders of the others the
+    one with the least sum of squared distances of atoms of one name counts, the first on ties. A source without a frame stays as it is.
+    The reference is four residues; a source is one small group."""
+    from itertools import permutations
+
+    import numpy as np
+    import pandas as pd
+
+    def read(pdf: pd.DataFrame) -> list[dict]:
+        pdf = pdf.sort_values("rank")
+        return [dict(kind=r.kind, donor=r.donor, chain=r.chain, resseq=r.resseq, atoms={n: np.array(p, dtype=float) for n, p in zip(r.names, r.places, strict=True)}) for r in pdf.itertuples()]
+
+    ref = read(residues.where(F.col("source") == reference).toPandas())
+    if not ref:
+        raise ValueError("the reference has no coordinating residue")
+    cys, his = ([r for r in ref if r["kind"] == k] for k in ("CYS", "HIS"))
+    lead = cys[0] if len(cys) == 1 else his[0] if len(his) == 1 else (cys or ref)[0]
+    ref = [lead, *(r for r in ref if r is not lead)]
+    base = _frame(lead)
+    if base is None:
+        raise ValueError("the reference's seed has no frame")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        cur, source = read(pdf), pdf["source"].iloc[0]
+        n = min(len(ref), len(cur))
+        best = (None, np.eye(3), tuple(range(n)), -1)
+        if source == reference:
+            cur = [next(c for c in cur if (c["chain"], c["resseq"]) == (r["chain"], r["resseq"])) for r in ref]
+        else:
+            for seed in _seeds([c["kind"] for c in cur[:n]]):
+                frame = _frame(cur[seed])
+                if frame is None:
+                    continue
+                turn = base @ frame.T
+                laid = [{k: turn @ p for k, p in c["atoms"].items()} for c in cur[:n]]
+                cost = np.array([[sum(((r["atoms"][k] - c[k]) ** 2).sum() for k in r["atoms"].keys() & c.keys()) for c in laid] for r in ref[:n]])
+                for rest in permutations([i for i in range(n) if i != seed]):
+                    order = (seed, *rest)
+                    total = float(cost[range(n), order].sum())
+                    if best[0] is None or total < best[0]:
+                        best = (total, turn, order, seed)
+        total, turn, order, seed = best
+        rows = [(source, cur[i]["chain"], cur[i]["resseq"], a, seed, total if total is not None else (0.0 if source == reference else None), list(cur[i]["atoms"]), [(turn @ p).tolist() for p in cur[i]["atoms"].values()]) for a, i in enumerate(order)]
+        return pd.DataFrame(rows, columns=["source", "chain", "resseq", "against", "seed", "total", "names", "places"])
+
+    ddl = "source string, chain string, resseq string, against int, seed int, total double, names array<string>, places array<array<double>>"
+    return residues.groupBy("source").applyInPandas(one, ddl)
