@@ -42,18 +42,17 @@ def fetch_entry(entry: str, get: Callable[[str], bytes], base: str, most: int =
 
 
 def fetch_all(ids: DataFrame, get: Callable[[str], bytes], base: str, column: str = "entry_id") -> DataFrame:
-    """``entry_id, format, text, error`` of each id, fetched on the executors."""
+    """``entry_id, format, text, error`` of each id, fetched on the executors; a task holds one text at a time."""
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            out = []
             for entry in batch[column]:
                 try:
-                    out.append((entry, *fetch_entry(entry, get, base), None))
+                    row = (entry, *fetch_entry(entry, get, base), None)
                 except FetchError as e:
-                    out.append((entry, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["entry_id", "format", "text", "error"])
+                    row = (entry, None, None, str(e))
+                yield pd.DataFrame([row], columns=["entry_id", "format", "text", "error"])
 
     return ids.select(column).mapInPandas(run, "entry_id string, format string, text string, error string")
