@@ -36,6 +36,8 @@ from .components import components
 WORDS, PERCENT = 3, 90
 #: Counters of the rarity sketch (one byte each goes to every task).
 SKETCH, PARTS = 1 << 20, 64
+#: Texts that are expected in it: rarity ranks tokens, which affects cost only, and ranks settle early.
+SKETCH_TEXTS = 20_000
 #: Min-hash pairs per class that bring it to a leader.
 PAIRS = 4
 #: Up to so many ids are broadcast to pick texts from a scan (about 40 bytes each); beyond, a join shuffles.
@@ -444,7 +446,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = work or Scratch(spark, "near-copies")
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     id_type = dict(texts.dtypes)["_id"]
-    rarity = spark.sparkContext.broadcast(rarities(texts, words))
+    some = F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < SKETCH_TEXTS / F.greatest(F.lit(texts.count()), F.lit(1)) * (1 << 20)
+    rarity = spark.sparkContext.broadcast(rarities(texts.where(some), words))
     rows = texts.mapInArrow(_described(words, percent, rarity), f"_id {id_type}, n long, sig binary, prefix array<long>, mins array<long>, central long")
     described = work.put(rows, "described")
     classes = described.where("n > 0").groupBy("sig").agg(F.min("_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("mins").alias("mins"), F.first("central").alias("central"))
@@ -492,8 +495,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = rooted.groupBy("root").agg(F.min("doc").alias("component"))
     of = work.put(rooted.join(ends, "root").select("sig", "component"), "components")
     work.drop("classes")
-    out = rows.join(of, "sig", "left")
-    return out.select("_id", "n", "sig", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component"))
+    # empty sets have one signature, however many they are, and join nothing
+    out = rows.where("n > 0").join(of, "sig").select("_id", "n", "sig", "component")
+    return out.unionByName(rows.where("n = 0").select("_id", "n", "sig", F.col("_id").alias("component")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
