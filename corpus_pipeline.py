@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from metalith.llm import decontaminate, jaccard, mixing, sharding
 from metalith.llm import toxicity as tox
-from metalith.llm.common import free, read, stored
+from metalith.llm.common import free, new_path, read, removed
 
 ORACLE_SQL = None
 
@@ -57,8 +57,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written and read again but the last."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the documents table, each written and read again but the last. What a
+    stage has read goes once its own output is written, so two outputs lie on disk at most."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        out, at = stage(spark, docs, sf_dir), new_path(spark, f"stage-{name}")
+        out.write.parquet(at)
+        docs = spark.read.schema(out.schema).parquet(at)
+        if before:
+            removed(spark, before)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)
