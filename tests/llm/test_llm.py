@@ -79,7 +79,11 @@ def test_lines_odd_rows(odd, none):
 
 def test_secrets_odd_rows(odd, none, spark):
     forest = secrets.fit(spark)
-    assert n_rows(secrets.redact(odd, forest)) == 12 and secrets.redact(odd, forest).columns == odd.columns
+    cut = secrets.redact(odd, forest)
+    assert cut.columns == odd.columns
+    texts = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+    found = [(r["doc_id"], r["candidate"]) for r in secrets.scan(odd, forest, "text", "doc_id").where("is_secret").collect()]
+    assert [t for t in texts(cut) if "[SECRET]" not in t[2]] == [t for t in texts(odd) if not any(i == t[1] and c in t[2] for i, c in found)]
     assert n_rows(secrets.scan(none, forest, "text", "doc_id")) == 0
 
 
@@ -157,14 +161,53 @@ def test_risk_is_class_prior_corrected():
 
 
 def test_forest_on_held_out_findings(spark):
-    import json
-
-    forest = secrets.fit(spark)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = secrets.fit(spark, language=secrets.learn(docs))
     rows = secrets.labelled_findings(600, seed=99)
-    kind = "array<struct<before:string,candidate:string,after:string,label:int>>"
-    t = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
-    t = t.withColumn("_f", secrets.features(F.col("before"), F.col("candidate"), F.col("after"))).withColumn("s", secrets.compiled(forest, "_f"))
-    assert t.where((F.col("s") > 0.5) == (F.col("label") == 1)).count() >= 0.93 * 600
+    d = spark.createDataFrame([(i, r["before"] + r["candidate"] + r["after"]) for i, r in enumerate(rows)], "i long, text string")
+    hits = {i: [] for i in range(len(rows))}
+    for f in secrets.scan(d, model, "text", "i").where("is_secret").collect():
+        hits[f["i"]].append((f["start"], f["start"] + len(f["candidate"])))
+    right = {0: 0, 1: 0}
+    for i, r in enumerate(rows):
+        a, b = len(r["before"]), len(r["before"]) + len(r["candidate"])
+        right[r["label"]] += any(x < b and y > a for x, y in hits[i]) == bool(r["label"])
+    assert right[1] >= 0.9 * 300 and right[0] >= 0.9 * 300, right
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("password = hunter2!x9 now", [(11, "hunter2!x9")]), ("token=ghp_abcdefghij0123456789", [(6, "ghp_abcdefghij0123456789")]), ("see com/ghp_abcdefghij0123456789", [(8, "ghp_abcdefghij0123456789")]),
+        ('"api_key": "abcdefghijklmnop"', [(12, "abcdefghijklmnop")]), ("Bearer abc/def+123==", [(7, "abc/def+123==")]), ("the key element", []), ("pwd: short", []), ("x" * 15, []), ("naïve " + "x" * 16, [(6, "x" * 16)]), (None, []), ("", []),
+    ],
+)
+def test_candidates_are_cut_from_their_names(spark, text, want):
+    d = spark.createDataFrame([(text,)], "text string")
+    assert [(r["start"], r["candidate"]) for r in secrets.candidates(d).collect()] == want
+
+
+def test_candidates_and_features_equal_plain_python(spark):
+    """Places by the same pattern in Python, shares and transitions by hand; a text with thousands of candidates is one pass."""
+    import time
+
+    import regex
+
+    text = " ".join(f"tok{i:04d}{'aB3_'[i % 4] * (9 + i % 5)} word" for i in range(4000)) + ' secret: "a!b@c#d$" end'
+    pattern = regex.compile(secrets.CANDIDATE.replace("{7,}+", "{7,}").replace("{16,}+", "{16,}"))
+    language = secrets.learn(spark.createDataFrame([("these common words these common words these words",)] * 3, "text string"))
+    began = time.time()
+    got = secrets.candidates(spark.createDataFrame([(text,)], "text string"), language=language).collect()
+    assert time.time() - began < 30
+    assert [(r["start"], r["candidate"]) for r in got] == [(m.start(), m.group()) for m in pattern.finditer(text)] and len(got) > 3000
+    assert {"these", "common", "words"} <= set(language.words) and len(language.table) == 729
+    code = lambda ch: ord(ch) - 96 if "a" <= ch <= "z" else 0
+    for r in got[:40] + got[-1:]:
+        c, f, low = r["candidate"], r["_f"], r["candidate"].lower()
+        assert f["length"] == len(c) and f["digits"] == pytest.approx(sum(x.isdigit() for x in c) / len(c)) and f["distinct"] == pytest.approx(len(set(c)) / len(c))
+        assert f["uppers"] == pytest.approx(sum(x.isupper() for x in c) / len(c)) and f["others"] == pytest.approx(sum(not x.isalnum() for x in c) / len(c))
+        assert f["transitions"] == pytest.approx(np.mean([ord(language.table[code(x) * 27 + code(y)]) for x, y in zip(low, low[1:], strict=False)]))
+        assert f["coverage"] == pytest.approx(1 - len(regex.sub("|".join(language.words), "", low)) / len(c))
 
 
 def test_secrets_are_found_and_cut(spark):
