@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metalith.functions import geometry as G
+
+from . import atoms as A
+
 
 def dw_rollup(rows: DataFrame, source: str, kind: str, dw: str, distance: str) -> DataFrame:
     """Mean dw, population variance of the distance and their sum, per source and per
@@ -20,6 +24,41 @@ def dw_rollup(rows: DataFrame, source: str, kind: str, dw: str, distance: str) -
     return out.select(source, kind, "n", "mean_dw", "var_d", (F.col("mean_dw") + F.col("var_d")).alias("total"))
 
 
+def paired_shells(tagged: DataFrame) -> DataFrame:
+    """``source, reason, pairs``: of each source's dw-tagged rows (source, line_no, element, x, y, z, dw, kind) the first
+    shell, its S and N, each with a C of its own, so that the sum of squared distances is least.
+
+    Exactly four S and N and at least four C must be tagged, else ``reason`` says what is missing and there are no
+    pairs. Rows count in line order, and so does the first of equal choices. ``kind`` names the donor's type."""
+    row = F.struct("line_no", F.upper("element").alias("el"), "x", "y", "z", "dw", "kind")
+    g = tagged.groupBy("source").agg(F.sort_array(F.collect_list(row)).alias("r"))
+    g = A.settled(g.select("source", F.filter("r", lambda a: a["el"].isin("S", "N")).alias("f"), F.filter("r", lambda a: a["el"] == "C").alias("c")))
+    reason = F.when(F.size("f") != 4, F.format_string("4 S or N with dw are needed, %d found", F.size("f"))).when(F.size("c") < 4, F.format_string("4 C with dw are needed, %d found", F.size("c")))
+    g = A.settled(g.withColumn("reason", reason).withColumn("cost", F.transform("f", lambda a: F.transform("c", lambda b: G.d2(G.of(a), G.of(b))))))
+
+    def choices(used: Column, total: Column, k: int) -> Column:
+        """All ways to go on, as (total, places)."""
+        if k == 4:
+            return F.array(F.struct(total.alias("total"), used.alias("at")))
+        free = F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda j: ~F.array_contains(used, j))
+        return F.flatten(F.transform(free, lambda j: choices(F.concat(used, F.array(j)), total + F.get(F.get("cost", F.lit(k)), j), k + 1)))
+
+    best = F.when(F.col("reason").isNull(), F.array_min(choices(F.array().cast("array<int>"), F.lit(0.0), 0)))
+    g = A.settled(g.withColumn("b", best))
+    return g.select("source", "reason", F.transform("f", lambda a, i: F.when(F.col("b").isNotNull(), F.struct(a.alias("first"), F.get("c", F.get("b.at", i)).alias("ca")))).alias("pairs"))
+
+
+def shell_metrics(tagged: DataFrame) -> DataFrame:
+    """``source, kind, part, n, mean_dw, var_d, total`` over the pairs of each source: ``first`` and ``ca``, for all
+    (``kind`` all) and for each type. Sources that miss atoms have no row. ``var_d`` is the population variance of the
+    distance from the origin, ``total`` its sum with the mean."""
+    pair = paired_shells(tagged).where("reason is null").select("source", F.explode("pairs").alias("p"))
+    rows = pair.select("source", F.col("p.first.kind").alias("kind"), F.explode(F.array(F.struct(F.lit("first").alias("part"), F.col("p.first").alias("a")), F.struct(F.lit("ca").alias("part"), F.col("p.ca").alias("a")))).alias("r"))
+    rows = rows.select("source", "kind", "r.part", F.col("r.a.dw").alias("dw"), G.norm(G.of(F.col("r.a"))).alias("d"))
+    both = rows.unionByName(rows.withColumn("kind", F.lit("all")))
+    return both.groupBy("source", "kind", "part").agg(F.count("*").alias("n"), F.avg("dw").alias("mean_dw"), F.var_pop("d").alias("var_d"), (F.avg("dw") + F.var_pop("d")).alias("total"))
+
+
 def value_summary(rows: DataFrame, source: str, value: str) -> DataFrame:
     """``n``, mean and population deviation per source; sources without values have no row.
     Values count to six decimals and are summed as decimals."""
