@@ -118,3 +118,14 @@ def bonds(atoms: DataFrame, radii: dict[str, float], slack: float = 0.45, least:
     d = G.distance(G.at("a_"), G.at("b_"))
     found = _pairs(n, 2 * max(radii.values()) + slack + 1e-6)
     return found.where((d >= least) & (d <= F.col("a_radius") + F.col("b_radius") + slack)).withColumn("d", d)
+
+
+def bonds_by_pair(atoms: DataFrame, limits: dict[tuple[str, str], float]) -> DataFrame:
+    """Pairs a < b no farther apart than the limit of their two elements, in either order; pairs of elements without a
+    limit have no bonds. ``limits``: two upper-case symbols in order of the alphabet, and the distance."""
+    table = F.create_map(*[F.lit(v) for (a, b), limit in limits.items() for v in (f"{a}-{b}", float(limit))])
+    known = sorted({e for pair in limits for e in pair})
+    n = atoms.where(F.upper("element").isin(*known)).select(*STRUCTURE, "line_no", F.upper("element").alias("element"), "x", "y", "z")
+    found = _pairs(n, max(limits.values()) + 1e-6)
+    limit = F.try_element_at(table, F.concat_ws("-", F.least("a_element", "b_element"), F.greatest("a_element", "b_element")))
+    return found.withColumn("d", G.distance(G.at("a_"), G.at("b_"))).where(G.d2(G.at("a_"), G.at("b_")) <= limit * limit)

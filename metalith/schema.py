@@ -30,6 +30,8 @@ ATOMIC_NUMBERS = {
     "SE": 34, "BR": 35, "MO": 42, "CD": 48, "I": 53, "HG": 80,
 }
 COVALENT_RADII = {"C": 0.76, "N": 0.71, "O": 0.66, "S": 1.05, "P": 1.07, "SE": 1.20, "FE": 1.32, "NI": 1.24, "CU": 1.32}
+#: Longest bonds of two elements, for structures with hydrogens.
+BOND_LIMITS = {("C", "C"): 1.75, ("C", "N"): 1.62, ("C", "S"): 1.90, ("C", "H"): 1.20, ("H", "N"): 1.15}
 ONE_LETTER = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
     "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
