@@ -353,7 +353,7 @@ def test_clashing_columns_stay(odd, spark):
     for out, own in (
         (quality.quality(odd), set()), (language.identified(odd, model), set()), (toxicity.scored(odd, toxicity.Model({}, 0.0)), set()),
         (sharding.shards(odd, 3), added), (mixing.mixed(odd), set()), (decontaminate.decontaminate(odd, spark.createDataFrame([(1, "zz")], "item_id long, text string")), set()),
-        (lines.dedup_lines(odd), set()), (jaccard.one_of_each(odd), set()), (secrets.redact(odd, [secrets.Node(0.0)]), set()),
+        (lines.dedup_lines(odd), set()), (jaccard.one_of_each(odd), set()), (secrets.redact(odd, secrets.Model([secrets.Node(0.0)])), set()),
     ):
         rows = out.collect()
         assert rows and all(r[c] == c for r in rows for c in CLASHES if c not in own), out.columns
