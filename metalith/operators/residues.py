@@ -25,15 +25,11 @@ def around(centers: DataFrame, atoms: DataFrame, structure: list[str], radius: f
     return out.select(*structure, F.col("c_line_no").alias("site"), *[c for c in atoms.columns if c not in structure]).withColumn("d2", G.dot(G.at(), G.at()))
 
 
-def pick(name: str, point: Column | None = None) -> Column:
-    """The first atom of a name in a residue, as a struct."""
-    return F.min_by(F.struct("x", "y", "z", "d2"), F.when(F.col("atom_name") == name, F.col("line_no"))).alias(name)
-
-
-def residues(atoms: DataFrame, by: list[str], resname: str, names: tuple[str, ...]) -> DataFrame:
-    """One row per residue with the first atom of each name."""
+def residues(atoms: DataFrame, by: list[str], resname: str, names: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per residue with the first atom of each name, as a struct with the columns ``extra``."""
+    atom = F.struct("x", "y", "z", "d2", *extra)
     return atoms.where(F.upper("resname") == resname).groupBy(*by, "chain", "resseq", "icode").agg(
-        *[F.min_by(F.struct("x", "y", "z", "d2"), F.when(F.col("atom_name") == n, F.col("line_no"))).alias(n) for n in names]
+        *[F.min_by(atom, F.when(F.col("atom_name") == n, F.col("line_no"))).alias(n) for n in names]
     )
 
 
@@ -142,10 +138,16 @@ def gap_string(residues_: DataFrame, by: list[str], number: str = "resi") -> Dat
     return chain.groupBy(*by).agg(F.count("*").alias("n"), F.first("s").alias("one"), many.alias("many")).select(*by, F.when(F.col("n") == 1, F.col("one")).otherwise(F.col("many")).alias("sequence"))
 
 
-def metric_summary(metrics: DataFrame, expected: int) -> DataFrame:
-    """Per metric key: values, range, mean, and sources with fewer than expected values."""
+def metric_summary(metrics: DataFrame, expected: int, sources: DataFrame | None = None) -> DataFrame:
+    """Per metric key with values: their number, range, mean, and sources with fewer than expected values. ``sources``
+    (source) lists all of them, so that those without a value count too."""
     per = metrics.groupBy("key", "source").agg(F.count("value").alias("k"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("value").alias("s"))
-    return per.groupBy("key").agg(F.sum("k").alias("n"), F.min("lo").alias("min"), F.max("hi").alias("max"), (F.sum("s") / F.sum("k")).alias("mean"), F.sum((F.col("k") < expected).cast("int")).alias("short_sources")).where("n > 0")
+    short, full = F.sum((F.col("k") < expected).cast("int")), F.sum((F.col("k") >= expected).cast("int"))
+    out = per.groupBy("key").agg(F.sum("k").alias("n"), F.min("lo").alias("min"), F.max("hi").alias("max"), (F.sum("s") / F.sum("k")).alias("mean"), short.alias("short_sources"), full.alias("_full"))
+    if sources is not None:
+        total = sources.agg(F.count_distinct("source").alias("_total"))
+        out = out.crossJoin(F.broadcast(total)).withColumn("short_sources", F.col("_total") - F.col("_full")).drop("_total")
+    return out.where("n > 0").drop("_full")
 
 
 def histogram(values: DataFrame, value: str, source: str, low: float, high: float, bins: int) -> DataFrame:

@@ -156,10 +156,6 @@ def markdown_cell(value: Column) -> Column:
     return F.replace(value, F.lit("|"), F.lit("\\|"))
 
 
-def suffix_rank(suffix: Column) -> Column:
-    return F.when(suffix == "h-only", 0).when(suffix == "", 1).otherwise(2)
-
-
 def places(df: DataFrame, *by: str, name: str = "place") -> DataFrame:
     """``df`` with the place of every row in ascending order of ``by``, nulls last.
 
@@ -196,39 +192,6 @@ def angle_scan(spark, d):
     return c.select("c_custkey", part("alpha").alias("alpha"), part("beta").alias("beta"))
 
 
-@query("file_name_parts", "SELECT c_custkey, 'fam' AS prefix, '1ab' || CAST(c_custkey % 10 AS VARCHAR) AS pdb_id, CAST(c_custkey % 4 AS VARCHAR) AS cluster, CASE c_custkey % 3 WHEN 0 THEN 'h-only' WHEN 1 THEN '' ELSE 'w-n' END AS suffix FROM customer")
-def file_name_parts(spark, d):
-    """Prefix, id, cluster and variant of names such as ``fam_1ab2_cluster3_h-only.xyz``."""
-    k = F.col("c_custkey")
-    c = spark.read.parquet(f"{d}/customer.parquet")
-    tail = F.when(k % 3 == 0, "_h-only").when(k % 3 == 1, "").otherwise("_w-n")
-    name = F.concat(F.lit("fam_1AB"), (k % 10).cast("string"), F.lit("_cluster"), (k % 4).cast("string"), tail, F.lit(".xyz"))
-    m = lambda g: F.regexp_extract(name, r"^(.*?)_?([1-9][A-Za-z0-9]{3})_cluster(\d+)(?:_(h-only-w-n|h-only|w-n))?\.xyz$", g)
-    return c.select("c_custkey", m(1).alias("prefix"), F.lower(m(2)).alias("pdb_id"), m(3).alias("cluster"), m(4).alias("suffix"))
-
-
-@query("suffix_order", "SELECT c_custkey, CAST(CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INTEGER) AS rank FROM customer")
-def suffix_order(spark, d):
-    k = F.col("c_custkey") % 3
-    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", suffix_rank(F.when(k == 0, "h-only").when(k == 1, "").otherwise("w-n")).alias("rank"))
-
-
-@query("metric_fallback", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END, CASE WHEN c_custkey % 2 = 0 THEN -1e0 END) AS value FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0")
-def metric_fallback(spark, d):
-    """Tagged metrics, inferred ones only where a key has none."""
-    c = spark.read.parquet(f"{d}/customer.parquet")
-    tagged = c.where("c_custkey % 3 = 0").select("c_custkey", F.col("c_acctbal").alias("t"))
-    inferred = c.where("c_custkey % 2 = 0").select("c_custkey", F.lit(-1.0).alias("i"))
-    return tagged.join(inferred, "c_custkey", "full").select("c_custkey", F.coalesce("t", "i").alias("value"))
-
-
-@query("volume_consistency", "SELECT c_nationkey, max(c_acctbal) - min(c_acctbal) AS spread, max(c_acctbal) - min(c_acctbal) <= 1e-12 AS same, count(*) AS n FROM customer GROUP BY c_nationkey")
-def volume_consistency(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet")
-    spread = F.max("c_acctbal") - F.min("c_acctbal")
-    return c.groupBy("c_nationkey").agg(spread.alias("spread"), (spread <= 1e-12).alias("same"), F.count("*").alias("n"))
-
-
 @query("volume_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_name, c_custkey) AS place FROM customer")
 def volume_order(spark, d):
     """The place of every row."""
