@@ -26,6 +26,8 @@ from .toxicity import fold
 SIZES = (2, 3, 4)
 #: Texts per language that are trained on, and landmarks over all languages.
 PER_LANGUAGE, LANDMARKS = 400, 160
+#: The sample as a whole: the most languages, texts and characters of a text that are learned from.
+LANGUAGES, SAMPLE, FIT_CHARS = 128, 3_200, 65_536
 RIDGE = 1e-3
 BATCH = 64
 UNKNOWN = "und"
@@ -117,16 +119,19 @@ def train(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Mod
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from a bounded sample: about PER_LANGUAGE texts of each non-null language,
-    chosen by a hash of the id. An empty table gives a model that answers ``und``."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("_lang"))
+    """Learn from a bounded sample: about PER_LANGUAGE texts of each non-null language, fewer where there are many
+    languages, chosen by a hash of the id. Learned are the LANGUAGES with most texts; the driver holds at most
+    2 * SAMPLE texts, of each the first FIT_CHARS characters. An empty table gives a model that answers ``und``."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.substring(F.col(f"`{text_col}`"), 1, FIT_CHARS).alias("_text"), F.col(f"`{lang_col}`").alias("_lang"))
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    counts = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
+    top = rows.groupBy("_lang").count().orderBy(F.col("count").desc(), "_lang").limit(LANGUAGES).collect()
+    counts = {r["_lang"]: r["count"] for r in top}
+    each = min(PER_LANGUAGE, SAMPLE // max(1, len(counts)))
     u = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     wanted = F.lit(False)
     for lang, n in sorted(counts.items()):
-        wanted = wanted | ((F.col("_lang") == lang) & (u < PER_LANGUAGE / n))
-    got = rows.where(wanted).withColumn("_u", u).limit(2 * PER_LANGUAGE * max(1, len(counts))).collect()
+        wanted = wanted | ((F.col("_lang") == lang) & (u < each / n))
+    got = rows.where(wanted).withColumn("_u", u).limit(2 * each * max(1, len(counts))).collect()
     got.sort(key=lambda r: (r["_u"], str(r["_id"]), r["_text"]))
     return train([r["_text"] for r in got], [r["_lang"] for r in got])
 

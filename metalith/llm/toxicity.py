@@ -25,6 +25,8 @@ from .common import batched, read
 WORD = re.compile(r"[^\W\d_]+")
 #: Most positive and unlabelled texts that are trained on (about 3 kB each).
 MAX_POSITIVE, MAX_UNLABELLED = 1_500, 4_000
+#: Characters of a training text that are learned from.
+FIT_CHARS = 65_536
 #: Words whose presence differs this many standard errors between the samples are features.
 MIN_Z, MIN_TEXTS = 4.0, 4
 STEPS, RATE, DECAY = 400, 0.1, 1e-5
@@ -106,17 +108,19 @@ def train(positive: Iterable[str | None], unlabelled: Iterable[str | None], prio
 
 
 def _texts(df: DataFrame) -> Iterator[str | None]:
-    """A bounded column of texts, one by one from Arrow batches."""
-    for batch in df.select("_text").toArrow().to_batches(256):
+    """A bounded column of texts in order of id and text, so that sums do not follow the partitions; one by one from
+    Arrow batches."""
+    for batch in df.orderBy("_id", "_text").select("_text").toArrow().to_batches(256):
         yield from batch.column(0).to_pylist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train from the texts that ``labels`` confirms as toxic and from all texts of
     ``docs`` as the unlabelled ones. ``prior``: share of toxic texts; by default that
-    of the labelled rows. Bounded by MAX_POSITIVE and MAX_UNLABELLED; the driver holds
-    the sampled texts in columns and their words as numbers."""
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    of the labelled rows. Bounded by MAX_POSITIVE, MAX_UNLABELLED and the first FIT_CHARS
+    characters of each; the driver holds the sampled texts in columns and their words as
+    numbers."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.substring(F.col(f"`{text_col}`"), 1, FIT_CHARS).alias("_text"))
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("toxic").alias("_toxic"))
     seen = marks.agg(F.count("*").alias("n"), F.sum(F.col("_toxic")).alias("k")).first()
     n, k = seen["n"] or 0, seen["k"] or 0
