@@ -110,6 +110,18 @@ def volume_consistency(spark, d):
     return Y.consistency(rows, ["secstruct"], "volume").withColumn("spread", F.round("spread", 6))
 
 
+@query("distance_consistency", after(
+    near_sql("", "his"),
+    "SELECT secstruct, count(*) AS n, round(max(m) - min(m), 6) AS spread, max(m) - min(m) <= 1e-12 AS same FROM strings JOIN means USING (site) GROUP BY secstruct",
+    means="""SELECT site, avg(sqrt(q)) AS m FROM (SELECT site, q, row_number() OVER (PARTITION BY site ORDER BY q, chain, resseq) AS k
+      FROM (SELECT site, chain, resseq, sg.d2 AS q FROM cys UNION ALL SELECT site, chain, resseq, n.d2 FROM his)) WHERE k <= 4 GROUP BY site""",
+    **_STRINGS))
+def distance_consistency(spark, d):
+    """Spread of mean distances among sites of one structure string."""
+    rows = _strings(spark, d).join(R.mean_distance(_near(spark, d), BY), BY)
+    return Y.consistency(rows, ["secstruct"], "mean_d").withColumn("spread", F.round("spread", 6))
+
+
 # -- donors and residues ----------------------------------------------------------------------------
 
 _FLAGGED = {

@@ -97,3 +97,8 @@ def test_sinks_can_be_read_back(spark, tmp_path):
     report.write_json(texts, str(tmp_path / "json"))
     report.write_json(texts, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).select(*texts.columns).exceptAll(texts).exceptAll(texts).count() == 0
+
+
+def test_consistency_of_families(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0 + 1e-13), ("b", 1.0), ("b", 2.0), ("b", None), ("c", None)], "f string, v double")
+    assert {r["f"]: (r["n"], r["same"]) for r in Y.consistency(df, ["f"], "v").collect()} == {"a": (2, True), "b": (2, False)}
