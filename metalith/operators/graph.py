@@ -16,8 +16,8 @@ VALENCE = {"H": 1, "C": 4, "N": 3, "O": 2, "F": 1, "P": 3, "S": 2, "CL": 1, "BR"
 
 
 def both_ways(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
-    e = edges.select(*STRUCTURE, F.col(a).alias("i"), F.col(b).alias("j"))
-    return e.unionByName(e.select(*STRUCTURE, F.col("j").alias("i"), F.col("i").alias("j")))
+    ways = F.array(F.struct(F.col(a).alias("i"), F.col(b).alias("j")), F.struct(F.col(b).alias("i"), F.col(a).alias("j")))
+    return edges.select(*STRUCTURE, F.explode(ways).alias("_e")).select(*STRUCTURE, "_e.i", "_e.j")
 
 
 def rings(edges: DataFrame, size: int = 5) -> DataFrame:
@@ -41,14 +41,17 @@ def ring_nitrogens(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ``nodes``: line_no, element, x, y, z. A nitrogen next to such a carbon is ND, the other NE."""
     e = both_ways(edges)
     el = nodes.select(*STRUCTURE, "line_no", "element", "x", "y", "z")
-    c = e.join(el.select(*STRUCTURE, F.col("line_no").alias("j"), F.col("element").alias("ej")), [*STRUCTURE, "j"])
-    nc = c.join(el.where("element = 'N'").select(*STRUCTURE, F.col("line_no").alias("i")), [*STRUCTURE, "i"], "left_semi").where("ej = 'C'").groupBy(*STRUCTURE, "i").agg(F.collect_set("j").alias("carbons"))
-    degree = c.where("ej = 'C'").groupBy(*STRUCTURE, "i").agg(F.count("*").alias("deg"))
+    c = e.join(el.where("element = 'C'").select(*STRUCTURE, F.col("line_no").alias("j")), [*STRUCTURE, "j"])
+    at = el.where("element = 'N'").select(*STRUCTURE, F.col("line_no").alias("i"), "x", "y", "z")
+    degree = c.groupBy(*STRUCTURE, "i").agg(F.count("*").alias("deg"))
     outside = e.join(degree.where("deg >= 2").select(*STRUCTURE, F.col("i").alias("j")), [*STRUCTURE, "j"], "left_semi").groupBy(*STRUCTURE, "i").agg(F.count("*").alias("outer"))
-    at = el.select(*STRUCTURE, F.col("line_no").alias("i"), "x", "y", "z")
-    n = nc.join(at, [*STRUCTURE, "i"]).join(outside, [*STRUCTURE, "i"], "left").withColumn("outer", F.coalesce("outer", F.lit(0)))
-    side = lambda p: n.select(*STRUCTURE, *[F.col(k).alias(p + k) for k in ("i", "x", "y", "z", "carbons", "outer")])
-    pair = side("a_").join(side("b_"), STRUCTURE).where("a_i <> b_i").withColumn("shared", F.size(F.array_intersect("a_carbons", "b_carbons"))).where("shared > 0")
+    carbon = c.join(at.select(*STRUCTURE, "i"), [*STRUCTURE, "i"], "left_semi").distinct()
+    n = at.join(outside, [*STRUCTURE, "i"], "left").withColumn("outer", F.coalesce("outer", F.lit(0)))
+    side = lambda p: n.select(*STRUCTURE, *[F.col(k).alias(p + k) for k in ("i", "x", "y", "z", "outer")])
+    # partners are found by the carbons themselves, not among all nitrogens of a structure
+    both = carbon.select(*STRUCTURE, "j", F.col("i").alias("a_i")).join(carbon.select(*STRUCTURE, "j", F.col("i").alias("b_i")), [*STRUCTURE, "j"]).where("a_i <> b_i")
+    shared = both.groupBy(*STRUCTURE, "a_i", "b_i").agg(F.count("*").cast("int").alias("shared"))
+    pair = shared.join(side("a_"), [*STRUCTURE, "a_i"]).join(side("b_"), [*STRUCTURE, "b_i"])
     best = pair.groupBy(*STRUCTURE, F.col("a_i").alias("n")).agg(
         F.max_by(F.struct("b_i", "shared", "a_outer", "b_outer"), F.struct("shared", (-G.d2(G.at("a_"), G.at("b_"))).alias("q"), (-F.col("b_i")).alias("t"))).alias("m")
     )

@@ -11,6 +11,7 @@ from metalith.functions import geometry as G
 from metalith.operators import graph as R
 from metalith.operators import neighbors as N
 from metalith.schema import COVALENT_RADII
+from metalith.scratch import stored
 
 from .analysis_queries import sql as residue_sql
 from .site_queries import _NEAR, _RAD, KEY, _base, sql
@@ -33,8 +34,9 @@ _BOTH = f"SELECT structure_id, i, j FROM ({_BONDS}) UNION ALL SELECT structure_i
 
 
 def _bonds(spark, d):
+    """Collapsed atoms and their bonds, found once: rings and walks read them in every step."""
     col = _base(spark, d)[1]
-    return col, N.bonds(col, COVALENT_RADII).select(*KEY, F.col("a_line_no").alias("i"), F.col("b_line_no").alias("j"))
+    return col, stored(N.bonds(col, COVALENT_RADII).select(*KEY, F.col("a_line_no").alias("i"), F.col("b_line_no").alias("j")), "bonds")
 
 
 @query("five_rings", sql(f"""SELECT CAST(a.i AS VARCHAR) || '-' || a.j || '-' || b.j || '-' || c.j || '-' || d.j AS ring FROM ({_BOTH}) a JOIN ({_BOTH}) b ON b.i = a.j JOIN ({_BOTH}) c ON c.i = b.j JOIN ({_BOTH}) d ON d.i = c.j JOIN ({_BOTH}) e ON e.i = d.j AND e.j = a.i
