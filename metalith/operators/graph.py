@@ -117,33 +117,47 @@ def assignment(costs: DataFrame, by: list[str], k: int) -> DataFrame:
 
 
 def greedy_match(a: DataFrame, b: DataFrame, by: list[str], tolerance: float) -> DataFrame:
-    """Each a in row order takes the nearest b still free within the tolerance. The order
-    makes it sequential: one small group (a structure's symbol) per call.
-
-    ``a``: by, a_id, a_x, a_y, a_z; ``b`` likewise."""
-    import pandas as pd
-
-    rows = a.select(*by, F.lit(True).alias("first"), F.col("a_id").alias("id"), F.col("a_x").alias("x"), F.col("a_y").alias("y"), F.col("a_z").alias("z")).unionByName(
-        b.select(*by, F.lit(False).alias("first"), F.col("b_id").alias("id"), F.col("b_x").alias("x"), F.col("b_y").alias("y"), F.col("b_z").alias("z"))
-    )
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        left, right = pdf[pdf["first"]].sort_values("id"), pdf[~pdf["first"]].sort_values("id")
-        free, out = np.ones(len(right), dtype=bool), []
-        xyz = right[["x", "y", "z"]].to_numpy()
-        for i, p in zip(left["id"], left[["x", "y", "z"]].to_numpy(), strict=True):
-            d = np.where(free, ((xyz - p) ** 2).sum(axis=1), np.inf) if len(xyz) else np.array([np.inf])
-            k = int(d.argmin())
-            if d[k] <= tolerance * tolerance:
-                free[k] = False
-                out.append([*pdf[by].iloc[0], i, right["id"].iloc[k], float(d[k]) ** 0.5])
-        return pd.DataFrame(out, columns=[*by, "a_id", "b_id", "d"])
-
-    kinds = dict(rows.dtypes)
-    ddl = ", ".join(f"{c} {kinds[c]}" for c in by) + f", a_id {kinds['id']}, b_id {kinds['id']}, d double"
-    return rows.groupBy(*by).applyInPandas(one, ddl)
+    """Each a in row order takes the nearest b still free within the tolerance, the smallest id on ties.
+
+    Pairs within the tolerance are found by blocks of four tolerances in each group (null keys are one group). The order makes the choice
+    sequential, but only over those pairs: a task reads its groups one pair after the other and keeps the ids taken in one group.
+
+    ``a``: by, a_id, a_x, a_y, a_z; ``b`` likewise; ids occur once in a group."""
+    import pyarrow as pa
+
+    reach = tolerance * (1 + 1e-9) + 1e-9
+    block = lambda k, off=0.0: F.floor((F.col(k) + off) / (4 * reach))
+    keys = [f"_g{n}" for n in range(len(by))]
+    side = lambda t, p: t.select(*[F.col(c).alias(g if p == "a_" else "_" + g) for c, g in zip(by, keys, strict=True)], *[F.col(p + k) for k in ("id", "x", "y", "z")])
+    left, right = side(a, "a_"), side(b, "b_").withColumns({f"_b{k}": block(f"b_{k}") for k in "xyz"})
+    for k in "xyz":
+        left = left.withColumn(f"_a{k}", F.explode(F.sequence(block(f"a_{k}", -reach), block(f"a_{k}", reach))))
+    on = G.d2(G.at("a_"), G.at("b_")) <= tolerance * tolerance
+    for k in "xyz":
+        on = on & (F.col(f"_a{k}") == F.col(f"_b{k}"))
+    for g in keys:
+        on = on & F.col(g).eqNullSafe(F.col("_" + g))
+    pairs = left.join(right, on).select(*keys, "a_id", "b_id", G.d2(G.at("a_"), G.at("b_")).alias("q"))
+    ordered = pairs.repartition(*keys).sortWithinPartitions(*keys, "a_id", "q", "b_id")
+
+    def chosen(batches):
+        group, last, taken = None, None, set()
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*keys, "a_id", "b_id")]
+            keep = []
+            for row in zip(*columns, strict=True):
+                if row[:-2] != group:
+                    group, last, taken = row[:-2], None, set()
+                if row[-2] != last and row[-1] not in taken:
+                    last = row[-2]
+                    taken.add(row[-1])
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    out = ordered.mapInArrow(chosen, ordered.schema)
+    return out.select(*[F.col(g).alias(c) for g, c in zip(keys, by, strict=True)], "a_id", "b_id", F.sqrt("q").alias("d"))
 
 
 def rotations(points: DataFrame, alphas: list[float], betas: list[float], gammas: list[float]) -> DataFrame:

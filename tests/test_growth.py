@@ -32,3 +32,17 @@ def test_edges_both_ways_read_the_edges_once(spark):
     both = R.both_ways(edges)
     assert sorted((r["i"], r["j"]) for r in both.collect()) == [(1, 2), (2, 1), (2, 3), (3, 2)]
     assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_greedy_match_of_large_group_and_odd_places(spark):
+    nan = float("nan")
+    a = [(None, 1, 0.0, 0.0, 0.0), ("g", 1, 0.0, 0.0, 0.0), ("g", 2, 0.5, 0.0, 0.0), ("g", 3, nan, 0.0, 0.0), ("g", 4, 0.0, None, 0.0)]
+    b = [(None, 9, 1.0, 0.0, 0.0), ("g", 7, nan, 0.0, 0.0), ("g", 8, 2.0, 0.0, 0.0), ("g", 9, -2.0, 0.0, 0.0)]
+    side = lambda rows, p: spark.createDataFrame(rows, f"g string, {p}id long, {p}x double, {p}y double, {p}z double")
+    got = R.greedy_match(side(a, "a_"), side(b, "b_"), ["g"], 2.0)
+    # a place that is no number takes nobody's match away; ties go to the smaller id
+    assert {(r["g"], r["a_id"], r["b_id"], r["d"]) for r in got.collect()} == {(None, 1, 9, 1.0), ("g", 1, 8, 2.0)}
+    # one group of a line of atoms: candidates are neighbours, not all pairs
+    line = spark.range(30000).selectExpr("'h' g", "id a_id", "id * 3D a_x", "0D a_y", "0D a_z")
+    other = line.selectExpr("g", "a_id b_id", "a_x + 1 b_x", "a_y b_y", "a_z b_z")
+    assert R.greedy_match(line, other, ["g"], 2.0).where("a_id = b_id").count() == 30000
