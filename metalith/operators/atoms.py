@@ -31,9 +31,9 @@ def collapse_altloc(atoms: DataFrame, policy: str = "default") -> DataFrame:
     the first line; ``best_occupancy``: the highest occupancy, first line on ties;
     ``first``: the first line. ``group_ord`` keeps the place of the group's first line."""
     order = altloc_order(policy)
-    columns = [c for c in atoms.columns]
-    picked = atoms.groupBy(*STRUCTURE, *SITE_KEY).agg(F.min_by(F.struct(*columns), order).alias("_a"), F.min("line_no").alias("group_ord"))
-    return picked.select(*[F.col(f"_a.{c}").alias(c) for c in columns], "group_ord")
+    keys = [*STRUCTURE, *SITE_KEY]
+    picked = atoms.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in atoms.columns if c not in keys]), order).alias("_a"), F.min("line_no").alias("group_ord"))
+    return picked.select(*[F.col(c if c in keys else f"_a.{c}").alias(c) for c in atoms.columns], "group_ord")
 
 
 def is_metal(excluded: tuple[str, ...] = ()) -> Column:

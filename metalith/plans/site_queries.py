@@ -66,6 +66,11 @@ def _base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     return raw, col, A.metals(col)
 
 
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Atoms with what a collapse alone looks at; the planner does not drop columns inside an aggregate."""
+    return atoms(spark, d).select(*KEY, *A.SITE_KEY, "line_no", "serial", "altloc", "occ")
+
+
 def _shell(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     _, col, metals = _base(spark, d)
     centers = metals.select(*KEY, "line_no", "serial", "x", "y", "z")
@@ -96,11 +101,11 @@ def first_shell_coord_counts(spark, d):
 
 @query("altloc_collapse", sql("SELECT line_no, serial, atom_name, altloc, occ, group_ord FROM col", "col"))
 def altloc_collapse(spark, d):
-    return A.collapse_altloc(atoms(spark, d)).select("line_no", "serial", "atom_name", "altloc", "occ", "group_ord")
+    return A.collapse_altloc(_lines(spark, d)).select("line_no", "serial", "atom_name", "altloc", "occ", "group_ord")
 
 
 for _policy, _order in (("best_occupancy", "-occ, line_no"), ("first", "line_no")):
-    QUERIES[f"altloc_collapse_{_policy}"] = lambda spark, d, p=_policy: A.collapse_altloc(atoms(spark, d), p).select("line_no", "serial", "altloc")
+    QUERIES[f"altloc_collapse_{_policy}"] = lambda spark, d, p=_policy: A.collapse_altloc(_lines(spark, d), p).select("line_no", "serial", "altloc")
     ORACLES[f"altloc_collapse_{_policy}"] = sql(f"SELECT line_no, serial, altloc FROM (SELECT *, row_number() OVER (PARTITION BY structure_id, chain, resseq, icode, atom_name ORDER BY {_order}) AS k FROM atoms) WHERE k = 1", "atoms")
 
 

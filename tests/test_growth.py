@@ -46,3 +46,14 @@ def test_greedy_match_of_large_group_and_odd_places(spark):
     line = spark.range(30000).selectExpr("'h' g", "id a_id", "id * 3D a_x", "0D a_y", "0D a_z")
     other = line.selectExpr("g", "a_id b_id", "a_x + 1 b_x", "a_y b_y", "a_z b_z")
     assert R.greedy_match(line, other, ["g"], 2.0).where("a_id = b_id").count() == 30000
+
+
+def test_collapse_carries_its_keys_once(spark):
+    from metalith.operators import atoms as A
+
+    rows = [("a", 1, i, "A", "5", "", "CA", alt, 0.5) for i, alt in ((3, "B"), (1, "C"), (2, "A"))]
+    df = spark.createDataFrame(rows, "structure_id string, model int, line_no long, chain string, resseq string, icode string, atom_name string, altloc string, occ double")
+    out = A.collapse_altloc(df)
+    assert out.columns == [*df.columns, "group_ord"]
+    assert [tuple(r) for r in out.collect()] == [(*rows[2], 1)]
+    assert "chain, chain#" not in out._jdf.queryExecution().optimizedPlan().toString()
