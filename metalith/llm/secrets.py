@@ -4,7 +4,7 @@ Candidates are what a key word is set to, from eight characters of any kind, and
 runs of sixteen or more key characters; names before an assignment sign and parts of a path are cut
 off. Their features (length, character classes, how likely their letters follow each other
 in the corpus, coverage by its common words, path signs, neighbouring words) are built-in
-expressions. Letter transitions and common words are counted in a bounded sample of the documents;
+expressions. Letter transitions and common words are counted in all documents;
 the forest is trained on the driver from a bounded set of labelled findings, found and measured
 by the same expressions, and compiled into one CASE expression per tree. The scan is a projection
 without shuffle or user code.
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read
+from .common import Scratch, let, read
 
 #: Least length of a candidate, and of one that a key word is set to.
 LEAST, LEAST_SET = 16, 8
@@ -36,8 +36,8 @@ TREES, DEPTH, THRESHOLD = 15, 7, 0.5
 #: Labelled findings that the forest is trained on (150 bytes each).
 MAX_LABELLED = 6_000
 SEED = 23
-#: Texts that letters and words are learned from, and words that are taken, common ones first.
-SAMPLE_TEXTS, WORDS = 2_000, 300
+#: Words that are taken, common ones first.
+WORDS = 300
 #: Words of placeholders, which count as known beside those of the corpus.
 PLACEHOLDERS = (
     "example", "sample", "dummy", "test", "your", "here", "placeholder", "change", "default", "insert", "fake", "demo",
@@ -58,18 +58,18 @@ class Language:
     table: str = "\x1e" * 729
 
 
-def learn(docs: DataFrame, text_col: str = "text", n: int | None = None) -> Language:
-    """Common words of four to ten letters and letter transitions, counted in about SAMPLE_TEXTS of
-    ``docs``, those whose texts hash lowest; at most WORDS words and 729 counts reach the driver. Null texts
-    count nothing; an empty table gives placeholders and even odds."""
-    total = max(docs.count() if n is None else n, 1)
+def learn(docs: DataFrame, text_col: str = "text") -> Language:
+    """Common words of four to ten letters and letter transitions, counted in all of ``docs``; at most WORDS words and 729
+    counts reach the driver. Null texts count nothing; an empty table gives placeholders and even odds."""
     text = F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    some = docs.where(F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(1 << 20)) < SAMPLE_TEXTS / total * (1 << 20))
-    words = some.select(F.explode(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    common = words.where(F.length("w").between(4, 10) & (F.col("n") > 2)).orderBy(F.desc("n"), "w").limit(WORDS).collect()
+    found = docs.select(F.explode(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words, at = Scratch(docs.sparkSession, "op4"), "words"
+    found = words.put(found, at)
+    common = found.where(F.length("w").between(4, 10) & (F.col("n") > 2)).orderBy(F.desc("n"), "w").limit(WORDS).collect()
     around = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
-    pairs = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(around, i, F.lit(2)))).alias("p"))
+    pairs = found.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(around, i, F.lit(2)))).alias("p"))
     counts = {r["p"]: r["n"] for r in pairs.groupBy("p").agg(F.sum("n").alias("n")).collect()}
+    words.drop(at)
     letters = " abcdefghijklmnopqrstuvwxyz"
     table = ""
     for x in letters:

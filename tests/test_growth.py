@@ -57,3 +57,14 @@ def test_collapse_carries_its_keys_once(spark):
     assert out.columns == [*df.columns, "group_ord"]
     assert [tuple(r) for r in out.collect()] == [(*rows[2], 1)]
     assert "chain, chain#" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_letters_and_words_are_learned_from_all_texts(spark):
+    from metalith.llm import secrets
+
+    # one text in 3,000 holds the rare word three times; no sample of texts may miss it
+    docs = spark.range(9000).selectExpr("CASE WHEN id = 17 THEN 'qzqzqz qzqzqz qzqzqz' ELSE concat('plain text ', id) END AS text").repartition(3)
+    language = secrets.learn(docs)
+    assert "qzqzqz" in language.words and "plain" in language.words
+    letters = " abcdefghijklmnopqrstuvwxyz"
+    assert ord(language.table[27 * letters.index("q") + letters.index("z")]) > 45
