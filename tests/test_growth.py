@@ -68,3 +68,21 @@ def test_letters_and_words_are_learned_from_all_texts(spark):
     assert "qzqzqz" in language.words and "plain" in language.words
     letters = " abcdefghijklmnopqrstuvwxyz"
     assert ord(language.table[27 * letters.index("q") + letters.index("z")]) > 45
+
+
+def test_sets_of_a_site_meet_their_structure_once(spark):
+    from pyspark.sql import functions as F
+
+    from metalith.operators import xyz_sets
+    from metalith.scratch import stored
+    from metalith.sources.derived import atoms
+
+    raw = stored(atoms(spark, "/root/testdata/sf0.001"), "raw")
+    sets = xyz_sets.annotated_sets(stored(xyz_sets.bases(raw), "bases"), raw)
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    # no row per site and atom is joined or gathered: the sites meet one row per structure
+    assert plan.count("Join ") == 1 and plan.count("Aggregate [") == 2
+    values = [0.0, -0.0, 1e-9, -4e-7, 0.0000005, 1.0000005, -2.0000015, 12.3456785, 998.9999996, 999.9999996, -99999.5, 1234567.1]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for got, want in df.select(xyz_sets._fixed(F.col("v"), 6), F.format_string("%.6f", "v")).collect():
+        assert got == want
