@@ -86,3 +86,17 @@ def test_sets_of_a_site_meet_their_structure_once(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for got, want in df.select(xyz_sets._fixed(F.col("v"), 6), F.format_string("%.6f", "v")).collect():
         assert got == want
+
+
+def test_targets_meet_their_structure_once(spark):
+    from metalith.operators import record
+    from metalith.operators.sites import SiteConfig
+    from metalith.sources.derived import atoms
+
+    raw = atoms(spark, "/root/testdata/sf0.001")
+    selected = record.selected(raw, SiteConfig())
+    plan = selected._jdf.queryExecution().optimizedPlan().toString()
+    # joins of a few metals each, then one with a row per structure; a place of one line is carried once
+    assert plan.count("Join ") == 3 and plan.count("LeftSemi") == 0
+    place = record.places(raw)
+    assert place.where("alts is not null and size(alts) = 0").count() == 0 < place.where("alts is null").count() < place.count()
