@@ -59,23 +59,25 @@ def ring_nitrogens(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return best.select(*STRUCTURE, "n", F.col("m.b_i").alias("partner"), F.col("m.shared").alias("shared"), kind.alias("kind"))
 
 
+def _nearest(nodes: DataFrame, center: DataFrame, k: int) -> DataFrame:
+    """``structure, c_line_no, line_no, element, q, rank``: the k nodes nearest to each centre, by distance, then line.
+
+    A structure's nodes are one row that its centres meet, so a task holds one centre's candidates, not all pairs to be sorted."""
+    whole = nodes.groupBy(*STRUCTURE).agg(F.collect_list(F.struct("line_no", "element", "x", "y", "z")).alias("_all"))
+    c = center.select(*STRUCTURE, F.struct("line_no", "x", "y", "z").alias("c"))
+    far = F.transform(F.filter("_all", lambda a: a["line_no"] != F.col("c.line_no")), lambda a: F.struct(G.d2(G.of(F.col("c")), G.of(a)).alias("q"), a["line_no"].alias("line_no"), a["element"].alias("element")))
+    near = c.join(whole, STRUCTURE).select(*STRUCTURE, F.col("c.line_no").alias("c_line_no"), F.posexplode(F.slice(F.sort_array(far), 1, k)).alias("_p", "a"))
+    return near.select(*STRUCTURE, "c_line_no", "a.line_no", "a.element", "a.q", (F.col("_p") + 1).alias("rank"))
+
+
 def imidazole_ring(nodes: DataFrame, center: DataFrame) -> DataFrame:
     """The four atoms nearest to each nitrogen: two adjacent, two opposite."""
-    from .neighbors import prefixed
-
-    pair = prefixed(center, "c_").join(nodes, STRUCTURE).where("line_no <> c_line_no").withColumn("q", G.d2(G.at("c_"), G.at()))
-    w = Window.partitionBy(*STRUCTURE, "c_line_no").orderBy("q", "line_no")
-    out = pair.withColumn("rank", F.row_number().over(w)).where("rank <= 4")
-    return out.select(*STRUCTURE, "c_line_no", "line_no", F.when(F.col("rank") <= 2, "adjacent").otherwise("opposite").alias("place"))
+    return _nearest(nodes, center, 4).select(*STRUCTURE, "c_line_no", "line_no", F.when(F.col("rank") <= 2, "adjacent").otherwise("opposite").alias("place"))
 
 
 def closest(nodes: DataFrame, center: DataFrame, k: int = 4) -> DataFrame:
     """The k nearest S and N of each centre."""
-    from .neighbors import prefixed
-
-    pair = prefixed(center, "c_").join(nodes.where(F.upper("element").isin("S", "N")), STRUCTURE).where("line_no <> c_line_no").withColumn("q", G.d2(G.at("c_"), G.at()))
-    w = Window.partitionBy(*STRUCTURE, "c_line_no").orderBy("q", "line_no")
-    return pair.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*STRUCTURE, "c_line_no", "line_no", "element", "rank", F.sqrt("q").alias("d"))
+    return _nearest(nodes.where(F.upper("element").isin("S", "N")), center, k).select(*STRUCTURE, "c_line_no", "line_no", "element", "rank", F.sqrt("q").alias("d"))
 
 
 def reachable(edges: DataFrame, start: DataFrame, goal: DataFrame, depth: int = 4) -> DataFrame:
