@@ -1,8 +1,8 @@
 """Coordinating residues read off a bare structure: roles by bonds alone, without residue names.
 
 The nearest sulphurs and nitrogens of a metal are its donors. From each, shortest bond paths lead to the atoms of a
-cysteine (SG, CB, CA) or of a histidine (CG within four bonds, CB, CA, and the ring). A site touches a few dozen
-atoms, so every step is an equi-join of a short list of donors with the bond table."""
+cysteine (SG, CB, CA) or of a histidine (CG within four bonds, CB, CA, and the ring). A structure's
+bonds meet its few donors once, in one row, and every step is read from there."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from metalith.schema import COVALENT_RADII
 from metalith.scratch import stored
 
 from . import graph
-from .atoms import STRUCTURE
+from .atoms import STRUCTURE, settled
 from .neighbors import bonds
 
 #: Bonds from a donor nitrogen within which the ring's root is looked for.
@@ -53,7 +53,11 @@ def coordinators(atoms: DataFrame, target: str = "ZN", k: int = 4, edges: DataFr
     ``coord``, beside its row in the ring. Donors without such paths give no residue. Residues are numbered by distance:
     cysteines from 1, histidines from 101."""
     nodes = atoms.select(*STRUCTURE, "line_no", "element", F.upper("element").alias("el"), "x", "y", "z")
-    star = stored(stars(nodes, edges if edges is not None else bonds(nodes, COVALENT_RADII).select(*STRUCTURE, F.col("a_line_no").alias("i"), F.col("b_line_no").alias("j"))), "stars")
+    star = (stars(nodes, edges if edges is not None else bonds(nodes, COVALENT_RADII).select(*STRUCTURE, F.col("a_line_no").alias("i"), F.col("b_line_no").alias("j"))))
+    atom = F.struct(F.col("line_no").alias("j"), "el", "x", "y", "z")
+    # a structure's stars are one row, from which its donors read every step
+    star = star.join(nodes.select(*STRUCTURE, F.col("line_no").alias("i"), atom.alias("me")), [*STRUCTURE, "i"]).groupBy(*STRUCTURE).agg(F.collect_list(F.struct("i", "me", "around")).alias("_stars"))
+    star = stored(star, "stars")
     zn = nodes.where(F.col("el") == target.upper()).groupBy(*STRUCTURE).agg(F.min_by(F.struct("line_no", "element", "x", "y", "z"), "line_no").alias("zn"))
     center = zn.select(*STRUCTURE, "zn.line_no", "zn.x", "zn.y", "zn.z")
     donor = graph.closest(nodes.select(*STRUCTURE, "line_no", "element", "x", "y", "z"), center, k).select(*STRUCTURE, "line_no", "rank")
@@ -61,29 +65,27 @@ def coordinators(atoms: DataFrame, target: str = "ZN", k: int = 4, edges: DataFr
 
     def walk(df: DataFrame, at: str, name: str, how: str = "left") -> DataFrame:
         """``df`` with ``name``, the atoms around the atom ``at``."""
-        step = star.select(*STRUCTURE, F.col("i").alias("_i"), F.col("around").alias(name))
-        return df.withColumn("_i", F.col(f"{at}.j")).join(step, [*STRUCTURE, "_i"], how).drop("_i")
+        out = settled(settled(df).withColumn(name, F.get(F.filter("_stars", lambda s: s["i"] == F.col(f"{at}.j")), F.lit(0))["around"]))
+        return out if how == "left" else out.where(F.col(name).isNotNull())
 
     role = lambda name, atom, coord=False: F.struct(F.lit(name).alias("atom_name") if isinstance(name, str) else name.alias("atom_name"), F.lit(coord).alias("coord"), *[atom[c].alias(c) for c in ("j", "el", "x", "y", "z")])
-    cys = walk(donor.where("d.el = 'S'"), "d", "_s", "inner").withColumn("cb", _nearest(_of(F.col("_s"), "C"), F.col("d"))).where("cb is not null")
+    cys = walk(donor.where("d.el = 'S'").join(star, STRUCTURE), "d", "_s", "inner").withColumn("cb", _nearest(_of(F.col("_s"), "C"), F.col("d"))).where("cb is not null")
     cys = walk(cys, "cb", "_b", "inner").withColumn("ca", _farthest(_of(F.col("_b"), "C", F.col("d.j")), F.col("zn"))).where("ca is not null")
     cys = cys.select(*STRUCTURE, "rank", "zn", F.lit("CYS").alias("resname"), F.array(role("SG", F.col("d"), True), role("CB", F.col("cb")), role("CA", F.col("ca"))).alias("roles"))
 
     # shortest paths over carbons and nitrogens from each donor nitrogen
-    n = donor.where("d.el = 'N'")
-    front = n.select(*STRUCTURE, "rank", F.col("d.j").alias("i"), F.lit(0).alias("depth"))
-    seen = front
+    n = donor.where("d.el = 'N'").join(star, STRUCTURE)
+    n = n.withColumn("_0", F.array("d.j"))
     for depth in range(1, DEPTH + 1):
-        ahead = front.join(star, [*STRUCTURE, "i"]).select(*STRUCTURE, "rank", F.explode(F.filter("around", lambda a: a["el"].isin("C", "N"))["j"]).alias("i")).distinct()
-        front = ahead.join(seen.select(*STRUCTURE, "rank", "i"), [*STRUCTURE, "rank", "i"], "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(front)
-    carbon = nodes.where("el = 'C'").select(*STRUCTURE, F.col("line_no").alias("i"), F.struct(F.col("line_no").alias("j"), "el", "x", "y", "z").alias("cg"))
-    roots = seen.where("depth > 0").join(carbon, [*STRUCTURE, "i"]).join(star, [*STRUCTURE, "i"]).join(n.select(*STRUCTURE, "rank", "d"), [*STRUCTURE, "rank"])
-    stem = F.filter("around", lambda a: (a["el"] == "C") & (a["n"] == 0))
-    roots = roots.where(F.exists("around", lambda a: a["el"] == "N") & (F.size(stem) > 0))
-    best = F.struct("depth", G.d2(G.of(F.col("cg")), G.of(F.col("d"))).alias("q"), "i")
-    his = n.join(roots.groupBy(*STRUCTURE, "rank").agg(F.min_by(F.struct("cg", F.col("around").alias("g"), stem.alias("s")), best).alias("r")), [*STRUCTURE, "rank"])
-    his = his.select(*STRUCTURE, "rank", "zn", "d", F.col("r.cg").alias("cg"), F.col("r.g").alias("g"), _nearest(F.col("r.s"), F.col("r.cg")).alias("cb"))
+        seen, last = F.concat(*[f"_{k}" for k in range(depth)]), f"_{depth - 1}"
+        ahead = F.flatten(F.transform(F.filter("_stars", lambda s: F.array_contains(last, s["i"])), lambda s: F.filter(s["around"], lambda a: a["el"].isin("C", "N"))["j"]))
+        n = settled(n.withColumn(f"_{depth}", F.array_except(ahead, seen)))
+    hops = lambda s: F.coalesce(*[F.when(F.array_contains(f"_{k}", s["i"]), k) for k in range(1, DEPTH + 1)])
+    stem = lambda s: F.filter(s["around"], lambda a: (a["el"] == "C") & (a["n"] == 0))
+    roots = F.filter("_stars", lambda s: (s["me"]["el"] == "C") & hops(s).isNotNull() & F.exists(s["around"], lambda a: a["el"] == "N") & (F.size(stem(s)) > 0))
+    best = F.array_min(F.transform(roots, lambda s: F.struct(hops(s).alias("depth"), G.d2(G.of(s["me"]), G.of(F.col("d"))).alias("q"), s["i"].alias("i"), s["me"].alias("cg"), s["around"].alias("g"), stem(s).alias("s"))))
+    his = settled(n.withColumn("r", best)).where("r is not null")
+    his = his.select(*STRUCTURE, "rank", "zn", "d", "_stars", F.col("r.cg").alias("cg"), F.col("r.g").alias("g"), _nearest(F.col("r.s"), F.col("r.cg")).alias("cb"))
     his = walk(his, "cb", "_b", "inner").withColumn("ca", _farthest(_of(F.col("_b"), "C", F.col("cg.j")), F.col("zn"))).where("ca is not null")
     first, last = (lambda a: F.get(a, F.lit(0))), (lambda a: F.get(a, F.size(a) - 1))
     his = his.withColumns({"nd1": last(_of(F.col("g"), "N", F.col("cb.j"))), "cd2": last(_of(F.col("g"), "C", F.col("cb.j")))})

@@ -100,3 +100,31 @@ def test_targets_meet_their_structure_once(spark):
     assert plan.count("Join ") == 3 and plan.count("LeftSemi") == 0
     place = record.places(raw)
     assert place.where("alts is not null and size(alts) = 0").count() == 0 < place.where("alts is null").count() < place.count()
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    from metalith.operators import bfactor
+
+    # 57.54 / 64 ends in a 5 behind six digits: a sum in another order may fall short of it
+    values = [0.01, 0.29, 0.57, 3.14, 20.03, 8.2, 25.3] + [0.0] * 57
+    df = spark.createDataFrame([("g", v) for v in sorted(values)] + [("h", v) for v in sorted(values, reverse=True)] + [("n", float("nan")), ("e", None)], "g string, bfac double").coalesce(1)
+    got = {r["g"]: r["mean"] for r in bfactor.group_stats(df, ["g"]).collect()}
+    assert got["g"] == got["h"] == 57.54 / 64 and got["n"] != got["n"] and got["e"] == -1.0
+
+
+def test_nearest_meet_one_row_per_structure(spark):
+    rows, df = _atoms(spark, 60, 5.0)
+    centers = df.where("line_no < 5")
+    out = R.closest(df, centers, 3)
+    want = {(c[0], c[2], k + 1, a[2]) for c in rows if c[2] < 5 for k, a in enumerate(sorted((a for a in rows if a[0] == c[0] and a[2] != c[2] and a[3] in "NS"), key=lambda a: (sum((s - t) ** 2 for s, t in zip(a[4:], c[4:], strict=True)), a[2]))[:3])}
+    assert {(r["structure_id"], r["c_line_no"], r["rank"], r["line_no"]) for r in out.collect()} == want
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_coordinators_meet_their_bonds_twice(spark):
+    from metalith.operators import coordinators as C
+
+    rows = [("a", 1, i, e, float(x), float(y), 0.0) for i, (e, x, y) in enumerate([("ZN", 0, 0), ("S", 2.3, 0), ("C", 3.9, 0), ("C", 5.4, 0), ("N", 0, 9)])]
+    out = C.coordinators(spark.createDataFrame(rows, ATOM))
+    assert sorted((r["resname"], r["atom_name"], r["line_no"]) for r in out.collect()) == [("CYS", "CA", 3), ("CYS", "CB", 2), ("CYS", "SG", 1), ("ZN", "ZN", 0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
