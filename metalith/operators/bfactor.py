@@ -14,9 +14,12 @@ from .neighbors import within
 
 
 def group_stats(values: DataFrame, by: list[str], value: str = "bfac") -> DataFrame:
-    """Mean and population deviation; no values give (-1, 0), one gives (v, 0)."""
-    n = F.count(value)
-    return values.groupBy(*by).agg(n.alias("n"), F.coalesce(F.avg(value), F.lit(-1.0)).alias("mean"), F.when(n > 1, F.stddev_pop(value)).otherwise(F.lit(0.0)).alias("std"))
+    """Mean and population deviation; no values give (-1, 0), one gives (v, 0).
+
+    The mean is that of exact sums where all values are decimals, so it does not depend on the order of rows."""
+    n, exact = F.count(value), F.col(value).try_cast("decimal(28,12)")
+    mean = F.when(F.count(exact) == n, F.sum(exact).cast("double") / n).otherwise(F.avg(value))
+    return values.groupBy(*by).agg(n.alias("n"), F.coalesce(F.when(n > 0, mean), F.lit(-1.0)).alias("mean"), F.when(n > 1, F.stddev_pop(value)).otherwise(F.lit(0.0)).alias("std"))
 
 
 def sequence_neighbors(residues: DataFrame, by: list[str], number: str, marked: str, reach: int = 2) -> DataFrame:
@@ -98,9 +101,9 @@ def metal_groups(atoms: DataFrame, centers: DataFrame, reach: float = 3.0, pocke
     res = ["chain", "resseq", "resname"]
     heavy = atoms.where(F.upper("element") != "H").select(*STRUCTURE, "line_no", "record", "chain", "resseq", F.upper("resname").alias("resname"), F.upper("atom_name").alias("atom_name"), "x", "y", "z", "bfac")
     c = centers.select(*STRUCTURE, "line_no", "x", "y", "z", "bfac")
-    around = within(c, heavy, pocket).withColumn("d", G.distance(G.at("c_"), G.at()))
+    close = within(c, heavy.select(*STRUCTURE, *res, "x", "y", "z"), reach + 1e-6).withColumn("d", G.distance(G.at("c_"), G.at()))
     metal_name = F.col("resname") == "ZN"
-    own = around.where(~metal_name & (F.col("resname") != "HOH")).groupBy(*STRUCTURE, "c_line_no", *res).agg(F.min("d").alias("d")).where(F.col("d") <= reach).drop("d")
+    own = close.where(~metal_name & (F.col("resname") != "HOH")).groupBy(*STRUCTURE, "c_line_no", *res).agg(F.min("d").alias("d")).where(F.col("d") <= reach).drop("d")
     number = A.residue_sort_key(F.col("resseq"))
     own = own.withColumn("nth", F.row_number().over(Window.partitionBy(*STRUCTURE, "c_line_no").orderBy("chain", number, "resname")))
     values = own.join(heavy.where(~F.col("atom_name").isin("N", "C", "O")).select(*STRUCTURE, *res, "bfac"), [*STRUCTURE, *res], "left")
@@ -114,11 +117,16 @@ def metal_groups(atoms: DataFrame, centers: DataFrame, reach: float = 3.0, pocke
     near = near.join(heavy.select(*STRUCTURE, *res, "bfac"), [*STRUCTURE, *res]).select(*STRUCTURE, "c_line_no", "nth", "bfac")
     near = own.select(*STRUCTURE, "c_line_no", "nth", "resseq").join(near, [*STRUCTURE, "c_line_no", "nth"], "left")
     shells.append(near.withColumns({"ord": F.col("nth") * 2, "label": F.concat(F.lit("near"), "resseq")}).select(*key, "bfac"))
-    free = around.where(~metal_name).join(own.select(*STRUCTURE, "c_line_no", *res), [*STRUCTURE, "c_line_no", *res], "left_anti").select(*STRUCTURE, "c_line_no", "bfac")
-    every = c.select(*STRUCTURE, F.col("line_no").alias("c_line_no"))
-    shells.append(every.join(free, [*STRUCTURE, "c_line_no"], "left").withColumns({"ord": F.lit(1_000_000), "label": F.lit("Pocket")}).select(*key, "bfac"))
+    # the pocket is read off one row per structure, its centres beside it, and shuffles no pairs
+    name = F.concat_ws("\x01", *res)
+    whole = heavy.where(~metal_name).groupBy(*STRUCTURE).agg(F.collect_list(F.struct("x", "y", "z", "bfac", name.alias("res"))).alias("_all"))
+    mine = own.groupBy(*STRUCTURE, "c_line_no").agg(F.collect_set(name).alias("_own"))
+    every = c.withColumnRenamed("line_no", "c_line_no").join(mine, [*STRUCTURE, "c_line_no"], "left").join(whole, STRUCTURE, "left")
+    free = F.filter("_all", lambda a: (G.d2((F.col("x"), F.col("y"), F.col("z")), G.of(a)) <= pocket * pocket) & ~F.coalesce(F.array_contains("_own", a["res"]), F.lit(False)))
+    free = every.select(*STRUCTURE, "c_line_no", F.explode_outer(F.transform(free, lambda a: a["bfac"])).alias("bfac"))
     shells.append(c.select(*STRUCTURE, F.col("line_no").alias("c_line_no"), F.lit(0).alias("ord"), F.lit("Zn").alias("label"), "bfac"))
     out = shells[0]
     for s in shells[1:]:
         out = out.unionByName(s)
-    return group_stats(out, key)
+    rest = group_stats(free, [*STRUCTURE, "c_line_no"]).withColumns({"ord": F.lit(1_000_000), "label": F.lit("Pocket")})
+    return group_stats(out, key).unionByName(rest)
