@@ -11,6 +11,7 @@ from metalith.operators import clusters as C
 from metalith.operators import neighbors as N
 from metalith.operators import sites as S
 from metalith.schema import COVALENT_RADII, METALS
+from metalith.scratch import stored
 from metalith.sources.derived import ATOMS_SQL, atoms
 
 KEY = A.STRUCTURE
@@ -240,15 +241,20 @@ _SELECTED = """SELECT m.line_no AS c_line_no, a.element FROM root m JOIN (SELECT
   JOIN col a ON a.structure_id = n.structure_id AND a.resname = n.resname AND a.chain = n.chain AND a.resseq = n.resseq WHERE a.serial <> m.serial"""
 
 
-def _selected(spark, d):
-    labelled = _labelled(spark, d)
-    return S.around(labelled, S.cluster_selection(labelled, A.water_toggle(_base(spark, d)[1]), _NEAR_R))
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Metals, first shells and selections, from atoms that are collapsed once and metals that are labelled once."""
+    col = stored(A.collapse_altloc(atoms(spark, d)), "atoms")
+    labelled = stored(C.components(A.metals(col), 5.0), "metals")
+    wet = A.water_toggle(col)
+    shell = N.coordination(labelled.select(*KEY, "line_no", "serial", "x", "y", "z"), wet)
+    selection = S.around(labelled, S.cluster_selection(labelled, wet.select(*KEY, "serial", "element", "resname", "chain", "resseq", "x", "y", "z"), _NEAR_R))
+    return labelled, shell, selection
 
 
 def _must(name, text, condition):
     def run(spark, d):
-        metals, shell = _shell(spark, d)
-        return S.verdicts(metals, shell, S.parse_must_have(text), selection=_selected(spark, d)).where("reason is null").select("c_line_no")
+        metals, shell, selection = _judged(spark, d)
+        return S.verdicts(metals, shell, S.parse_must_have(text), selection=selection).where("reason is null").select("c_line_no")
 
     QUERIES[name] = run
     counts = ", ".join(f"count(*) FILTER (s.element = '{e}') AS {e.lower()}" for e in ("N", "S", "C", "FE"))
@@ -290,8 +296,8 @@ def coord_whitelist(spark, d):
     LEFT JOIN (SELECT c_line_no, count(*) FILTER (element = 'N') AS nn FROM ({_SELECTED}) GROUP BY 1) e ON e.c_line_no = m.line_no GROUP BY m.line_no) l
   LEFT JOIN coord USING (c_line_no)) WHERE reason IS NOT NULL GROUP BY reason""", "coord"))
 def rejection_counts(spark, d):
-    metals, shell = _shell(spark, d)
-    return S.rejections(S.verdicts(metals, shell, S.parse_must_have("N"), (_REQ,), ("1N", "1N1O"), _selected(spark, d)))
+    metals, shell, selection = _judged(spark, d)
+    return S.rejections(S.verdicts(metals, shell, S.parse_must_have("N"), (_REQ,), ("1N", "1N1O"), selection))
 
 
 @query("coord_distribution", sql("SELECT coord_string, count(*) AS n FROM coord GROUP BY coord_string ORDER BY n DESC, coord_string LIMIT 20", "coord"))

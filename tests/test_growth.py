@@ -128,3 +128,11 @@ def test_coordinators_meet_their_bonds_twice(spark):
     out = C.coordinators(spark.createDataFrame(rows, ATOM))
     assert sorted((r["resname"], r["atom_name"], r["line_no"]) for r in out.collect()) == [("CYS", "CA", 3), ("CYS", "CB", 2), ("CYS", "SG", 1), ("ZN", "ZN", 0)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_verdicts_collapse_the_atoms_once(spark):
+    from metalith.plans import registry
+
+    for name in ("must_have_min", "rejection_counts"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan  # the query starts from stored atoms
