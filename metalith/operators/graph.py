@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -234,29 +235,42 @@ def turned(atoms: DataFrame, frames: DataFrame, by: list[str], sets: list[tuple[
 FRAME_ATOMS = ("CB", "CG", "CD2", "NE2", "CE1", "ND1", "CA")
 
 
-def _frame(residue: dict):
-    """Orthonormal columns: towards the donor, then towards the first other atom that is not in line."""
+def _places(names, places, rows, donors):
+    """Dense places of atoms: ``(at, has, donor)`` of len(donors) residues. ``names`` and ``places`` (n x 3) are those of all atoms, ``rows`` tells whose."""
     import numpy as np
 
-    seed = residue["atoms"][residue["donor"]]
-    if not np.linalg.norm(seed):
-        return None
-    first = seed / np.linalg.norm(seed)
-    for name in FRAME_ATOMS:
-        if name in residue["atoms"] and name != residue["donor"]:
-            flat = residue["atoms"][name] - (residue["atoms"][name] @ first) * first
-            if np.linalg.norm(flat):
-                second = flat / np.linalg.norm(flat)
-                return np.column_stack([first, second, np.cross(first, second)])
-    return None
+    known = {n: i for i, n in enumerate(dict.fromkeys([*FRAME_ATOMS, *donors, *names]))}
+    at, has = np.zeros((len(donors), len(known), 3)), np.zeros((len(donors), len(known)), dtype=bool)
+    column = np.array([known[n] for n in names], dtype=np.int64)
+    at[rows, column], has[rows, column] = places, True
+    return at, has, np.array([known[n] for n in donors], dtype=np.int64)
 
 
-def _seeds(kinds: list[str]) -> list[int]:
-    """Residues that may stand for the reference's seed: the odd one out, else cysteines, or all where all are alike."""
-    cys, his = ([i for i, k in enumerate(kinds) if k == w] for w in ("CYS", "HIS"))
-    if len(cys) == 1 or len(his) == 1:
-        return cys if len(cys) == 1 else his
-    return list(range(len(kinds))) if 4 in (len(cys), len(his)) else cys or his
+def _frames(at, has, donor):
+    """``(frames, found)``: orthonormal columns of each residue, towards the donor, then towards the first other atom of FRAME_ATOMS (the first
+    columns of ``at``) that is not in line."""
+    import numpy as np
+
+    length = lambda v: np.sqrt((v * v).sum(-1))
+    rows = np.arange(len(at))
+    seed = at[rows, donor]
+    with np.errstate(all="ignore"):
+        first = seed / length(seed)[:, None]
+        second, found = np.zeros_like(first), np.zeros(len(at), dtype=bool)
+        for k in range(len(FRAME_ATOMS)):
+            flat = at[:, k] - (at[:, k] * first).sum(-1)[:, None] * first
+            far = length(flat)
+            take = ~found & has[:, k] & (donor != k) & (far != 0)
+            second[take], found = flat[take] / far[take, None], found | take
+        return np.stack([first, second, np.cross(first, second)], axis=-1), found & (length(seed) != 0)
+
+
+def _seeds(cys, his):
+    """Residues (rows x places) that may stand for the reference's seed: the odd one out, else cysteines, or all where all are alike."""
+    import numpy as np
+
+    nc, nh = cys.sum(1)[:, None], his.sum(1)[:, None]
+    return np.where(nc == 1, cys, np.where(nh == 1, his, np.where((nc == 4) | (nh == 4), True, np.where(nc > 0, cys, his))))
 
 
 def coordinating(atoms: DataFrame) -> DataFrame:
@@ -280,48 +294,83 @@ def aligned_paths(residues: DataFrame, reference: str) -> DataFrame:
     The reference's seed is its only CYS or only HIS, else its nearest CYS, else its nearest residue; it comes first. A source tries
     each residue that may be the seed: its frame is turned onto the reference's, and of all orders of the others the
     one with the least sum of squared distances of atoms of one name counts, the first on ties. A source without a frame stays as it is.
-    The reference is four residues; a source is one small group."""
-    from itertools import permutations
-
+    The reference is four residues; a source is one small row, and a task tries the orders of many sources at a time."""
     import numpy as np
-    import pandas as pd
-
-    def read(pdf: pd.DataFrame) -> list[dict]:
-        pdf = pdf.sort_values("rank")
-        return [dict(kind=r.kind, donor=r.donor, chain=r.chain, resseq=r.resseq, atoms={n: np.array(p, dtype=float) for n, p in zip(r.names, r.places, strict=True)}) for r in pdf.itertuples()]
+    import pyarrow as pa
 
-    ref = read(residues.where(F.col("source") == reference).toPandas())
+    cols = ("rank", "chain", "resseq", "kind", "donor", "names", "places")
+    ref = sorted(residues.where(F.col("source") == reference).select(*cols).collect(), key=lambda r: r["rank"])  # four rows at most
     if not ref:
         raise ValueError("the reference has no coordinating residue")
     cys, his = ([r for r in ref if r["kind"] == k] for k in ("CYS", "HIS"))
     lead = cys[0] if len(cys) == 1 else his[0] if len(his) == 1 else (cys or ref)[0]
     ref = [lead, *(r for r in ref if r is not lead)]
-    base = _frame(lead)
-    if base is None:
+    ref = [(r["chain"], r["resseq"], r["donor"], list(r["names"]), [[math.nan if v is None else v for v in p] for p in r["places"]]) for r in ref]
+    own = [n for r in ref for n in r[3]], np.array([p for r in ref for p in r[4]]), np.repeat(range(len(ref)), [len(r[3]) for r in ref])
+    at, has, donor = _places(*own, [r[2] for r in ref])
+    base, found = _frames(at, has, donor)
+    if not found[0]:
         raise ValueError("the reference's seed has no frame")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        cur, source = read(pdf), pdf["source"].iloc[0]
-        n = min(len(ref), len(cur))
-        best = (None, np.eye(3), tuple(range(n)), -1)
-        if source == reference:
-            cur = [next(c for c in cur if (c["chain"], c["resseq"]) == (r["chain"], r["resseq"])) for r in ref]
-        else:
-            for seed in _seeds([c["kind"] for c in cur[:n]]):
-                frame = _frame(cur[seed])
-                if frame is None:
-                    continue
-                turn = base @ frame.T
-                laid = [{k: turn @ p for k, p in c["atoms"].items()} for c in cur[:n]]
-                cost = np.array([[sum(((r["atoms"][k] - c[k]) ** 2).sum() for k in r["atoms"].keys() & c.keys()) for c in laid] for r in ref[:n]])
-                for rest in permutations([i for i in range(n) if i != seed]):
-                    order = (seed, *rest)
-                    total = float(cost[range(n), order].sum())
-                    if best[0] is None or total < best[0]:
-                        best = (total, turn, order, seed)
-        total, turn, order, seed = best
-        rows = [(source, cur[i]["chain"], cur[i]["resseq"], a, seed, total if total is not None else (0.0 if source == reference else None), list(cur[i]["atoms"]), [(turn @ p).tolist() for p in cur[i]["atoms"].values()]) for a, i in enumerate(order)]
-        return pd.DataFrame(rows, columns=["source", "chain", "resseq", "against", "seed", "total", "names", "places"])
+    base = base[0]
+
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        source, size = batch.column(0), np.asarray(batch.column(1).value_lengths())
+        flat = batch.column(1).flatten()
+        chain, resseq, names, places = (flat.field(c) for c in ("chain", "resseq", "names", "places"))
+        first = np.cumsum(size) - size
+        atoms = np.asarray(names.value_lengths())
+        xyz = places.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+        of = np.repeat(np.arange(len(flat)), atoms)
+        # the reference's atoms stand behind the others, so that columns are shared
+        at, has, donor = _places(names.flatten().to_pylist() + own[0], np.concatenate([xyz, own[1]]), np.concatenate([of, len(flat) + own[2]]), flat.field("donor").to_pylist() + [r[2] for r in ref])
+        goal, known = at[len(flat) :], has[len(flat) :]
+        frame, found = _frames(at, has, donor)
+        kind = np.array(flat.field("kind").to_pylist(), dtype=object)
+        cys, his = kind == "CYS", kind == "HIS"
+
+        turn = np.tile(np.eye(3), (len(size), 1, 1))
+        total, seed = np.full(len(size), np.nan), np.full(len(size), -1)
+        order = np.tile(np.arange(len(ref)), (len(size), 1))
+        held = np.minimum(size, len(ref))
+        same = np.array([s == reference for s in source.to_pylist()])
+        for n in set(held[~same].tolist()):
+            s = np.flatnonzero(~same & (held == n))
+            r = first[s][:, None] + np.arange(n)
+            may, chosen = _seeds(cys[r], his[r]) & found[r], np.zeros(len(s), dtype=bool)
+            for k in range(n):
+                spin = base @ frame[r[:, k]].transpose(0, 2, 1)
+                laid = np.einsum("sij,snaj->snai", spin, at[r])
+                both = known[None, :n, None] & has[r][:, None]
+                gap = np.where(both[..., None], goal[None, :n, None] - laid[:, None], 0.0)
+                cost = (gap * gap).sum((-1, -2))
+                for rest in permutations([i for i in range(n) if i != k]):
+                    path = (k, *rest)
+                    sums = sum(cost[:, a, i] for a, i in enumerate(path))
+                    take = may[:, k] & (~chosen | (sums < total[s]))
+                    t = s[take]
+                    total[t], turn[t], seed[t], order[t, :n] = sums[take], spin[take], k, path
+                    chosen |= take
+        for s in np.flatnonzero(same):
+            at_ = [(c, q) for c, q in zip(chain.slice(first[s], size[s]).to_pylist(), resseq.slice(first[s], size[s]).to_pylist(), strict=True)]
+            order[s], total[s] = [at_.index(r[:2]) for r in ref], 0.0
+
+        against = np.concatenate([np.arange(n) for n in held])
+        whose = np.repeat(np.arange(len(size)), held)
+        row = pa.array(first[whose] + order[whose, against])
+        spun = np.einsum("mij,mj->mi", turn[np.repeat(np.arange(len(size)), size)][of], xyz)
+        ends = pa.array(np.concatenate([[0], np.cumsum(atoms)]).astype(np.int32))
+        triple = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * len(xyz) + 1, 3, dtype=np.int32)), pa.array(spun.reshape(-1)))
+        out = [
+            source.take(pa.array(whose)), chain.take(row), resseq.take(row), pa.array(against.astype(np.int32)), pa.array(seed[whose].astype(np.int32)),
+            pa.array(total[whose], from_pandas=True), names.take(row), pa.ListArray.from_arrays(ends, triple).take(row),
+        ]
+        return pa.RecordBatch.from_arrays(out, ["source", "chain", "resseq", "against", "seed", "total", "names", "places"])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                yield some(batch.slice(k, 1024))
 
     ddl = "source string, chain string, resseq string, against int, seed int, total double, names array<string>, places array<array<double>>"
-    return residues.groupBy("source").applyInPandas(one, ddl)
+    whole = residues.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("_r"))
+    return whole.mapInArrow(run, ddl)

@@ -136,3 +136,17 @@ def test_verdicts_collapse_the_atoms_once(spark):
     for name in ("must_have_min", "rejection_counts"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "l_orderkey" not in plan  # the query starts from stored atoms
+
+
+def test_paths_of_many_sources_are_aligned_at_once(spark):
+    flat = [(s, i, "A", str(i), kind, name, x + 0.1 * s * i, y, z) for s in range(40) for i, kind in enumerate(("CYS", "HIS", "HIS", "CYS")[: 1 + (s + 3) % 4]) for name, x, y, z in ((("SG", 2.0 + i, 0.0, 0.5), ("CB", 3.0, 1.0 + i, 0.0)) if kind == "CYS" else (("ND1", 0.0, 2.0 + i, 1.0), ("CG", 1.0, 3.0, 1.0)))]
+    df = spark.createDataFrame(flat, "source int, line_no int, chain string, resseq string, resname string, atom_name string, x double, y double, z double").withColumn("source", R.F.col("source").cast("string"))
+    out = R.aligned_paths(R.coordinating(df), "0")
+    # no Python call for each source: the planner hands batches of sources on
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.collect()
+    assert {s: sorted(r["against"] for r in got if r["source"] == str(s)) for s in range(40)} == {s: list(range(1 + (s + 3) % 4)) for s in range(40)}
+    # a turn keeps lengths, also where a source has fewer residues than the reference
+    for r in got:
+        own = {f[5]: sum(v * v for v in f[6:]) for f in flat if str(f[0]) == r["source"] and f[3] == r["resseq"]}
+        assert all(abs(sum(v * v for v in p) - own[n]) < 1e-9 for n, p in zip(r["names"], r["places"], strict=True))
