@@ -38,7 +38,7 @@ WORDS, PERCENT = 3, 90
 SKETCH, PARTS = 1 << 20, 64
 #: Min-hash pairs per class that bring it to a leader.
 PAIRS = 4
-#: Up to so many ids are broadcast to pick texts from a scan (about 40 bytes each); beyond, a join shuffles.
+#: Up to so many ids are broadcast to pick texts from a scan, and so many classes with their groups (about 40 bytes each); beyond, a join shuffles.
 BROADCAST_IDS = 200_000
 #: Hits by its rarer tokens that a query asks of a group before all tokens are compared.
 HITS = 4
@@ -219,8 +219,8 @@ def sets_of(work: Scratch, texts: DataFrame, wanted: DataFrame, classes: DataFra
         picked = F.broadcast(picked)
     rows = texts.join(picked, texts["_id"].eqNullSafe(picked["_want"]), "left_semi").select("_text")
     found = rows.mapInArrow(_sets(k, rarity), "sig binary, set binary")
-    found = found.join(ids.select("sig", "cid"), "sig").groupBy("cid").agg(F.first("set").alias("set"))
-    found = work.put(found, name)
+    # sets are shuffled once: a class has one signature, so what is grouped by it meets its class where it lies
+    found = work.put(found.groupBy("sig").agg(F.first("set").alias("set")).join(ids.select("sig", "cid"), "sig").select("cid", "set"), name)
     work.drop(name + "-wanted")
     return found
 
@@ -353,11 +353,13 @@ def _looked_up(work: Scratch, cand: DataFrame, percent: int) -> tuple[DataFrame,
     the smaller group asks, so a class far from a large family asks it once, not each of
     its members. Pairs inside a component add nothing to it and are left out; so are those
     inside a leader's group, which are settled."""
-    rows = cand.select("cid", "grp", "size", "comp", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    # the one shuffle of all prefix tokens carries the class and, if it has company, its group; the rest is added to what is left
+    rows = cand.select("cid", F.when(F.col("grp") != -1 - F.col("cid"), F.col("grp")).alias("_g"), F.explode("prefix").alias("token"))
     # tokens of one group alone meet no other; the rest are the rows of the matrix
-    of_token = Window.partitionBy("token")
-    rows = rows.withColumns({"_low": F.min("grp").over(of_token), "_high": F.max("grp").over(of_token), "c": F.count("*").over(of_token)})
-    rows = rows.where("_low < _high").groupBy("cid", "grp", "size", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("met"))
+    of_token, grp = Window.partitionBy("token"), F.coalesce("_g", -1 - F.col("cid"))
+    rows = rows.withColumns({"_low": F.min(grp).over(of_token), "_high": F.max(grp).over(of_token), "c": F.count("*").over(of_token)})
+    rows = rows.where("_low < _high").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("met"))
+    rows = rows.join(cand.select("cid", "grp", "size", "comp", F.col("n").cast("int").alias("n")), "cid")
     rows = rows.withColumn("need", _reaches(percent).cast("int")).where(F.size("met") >= F.col("need"))
     rows = work.put(rows.select("cid", "grp", "size", "comp", "n", "need", F.transform("met", lambda t: t["token"]).alias("met")), "queries")
     freed(work.spark)
@@ -469,7 +471,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work.drop("members")
     # most classes are a group of their own, so few rows go to all prefixes, which stay where they are
     some = work.put(groups.where((F.col("size") > 1) | (F.col("grp") != -1 - F.col("cid"))), "grouped")
-    placed = cand.select("cid", "n", "prefix").join(some, "cid", "left")
+    placed = cand.select("cid", "n", "prefix").join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, "cid", "left")
     placed = placed.withColumns({"grp": F.coalesce("grp", -1 - F.col("cid")), "size": F.coalesce("size", F.lit(1)), "comp": F.coalesce("comp", "cid")})
     rows_, met = _looked_up(work, placed, percent)
     alone = met.where("gs = 1").select("cid", F.col("g").alias("grp")).join(groups.select("grp", F.col("cid").alias("other")), "grp")

@@ -150,3 +150,31 @@ def test_paths_of_many_sources_are_aligned_at_once(spark):
     for r in got:
         own = {f[5]: sum(v * v for v in f[6:]) for f in flat if str(f[0]) == r["source"] and f[3] == r["resseq"]}
         assert all(abs(sum(v * v for v in p) - own[n]) < 1e-9 for n, p in zip(r["names"], r["places"], strict=True))
+
+
+def test_near_copies_shuffle_sets_and_prefixes_once(spark, monkeypatch):
+    import re
+
+    from metalith.llm import jaccard
+    from metalith.llm.common import Scratch
+
+    plans, put = {}, Scratch.put
+
+    def logged(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return put(self, df, name)
+
+    rng = random.Random(2)
+    texts = [[rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(60)] for _ in range(12)]
+    near = [[*t[:i], "new", *t[i + 1 :]] for t in texts for i in (5, 30)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + near)], "doc_id long, text string")
+    monkeypatch.setattr(Scratch, "put", logged)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs).collect()) == list(range(12))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # of tables that may not be broadcast: the sets are dealt by signature alone, their classes come to them
+    assert len(re.findall(r"Exchange hashpartitioning\(sig#", plans["sets"])) == 2 and "Exchange hashpartitioning(cid#" not in plans["sets"]
+    # prefixes go out by token once, with their class and group alone; the few classes in groups come to them
+    assert "BroadcastHashJoin [cid#" in plans["queries"] and "comp#" not in plans["queries"].split("Window [")[1].split("Generate")[0]
