@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from metalith.operators.atoms import settled
 from metalith.schema import PDB_COLUMNS
 
 FILE = ["structure_id"]
@@ -23,8 +24,8 @@ def file_format(path: Column, first_line: Column) -> Column:
 
 
 def field(line: Column, a: int, b: int) -> Column:
-    """Columns a to b (from 0, end excluded) of a line padded to 80, stripped."""
-    return F.trim(F.substring(F.when(F.length(line) < 80, F.rpad(line, 80, " ")).otherwise(line), a + 1, b - a))
+    """Columns a to b (from 0, end excluded) of a line, stripped; columns behind its end are blank."""
+    return F.trim(F.substring(line, a + 1, b - a))
 
 
 def infer_element(element: Column, atom_name: Column) -> Column:
@@ -38,7 +39,8 @@ def parse_atoms(lines: DataFrame) -> DataFrame:
     """Atom rows of ATOM and HETATM lines; rows without three coordinates go, an unreadable
     serial is 0, occupancy 1, B-factor 0. Other columns of ``lines`` stay."""
     f = {name: field(F.col("line"), a, b) for name, a, b in PDB_COLUMNS}
-    rows = lines.where(F.substring("line", 1, 6).isin("ATOM  ", "HETATM", "ATOM"))
+    # the filters below would otherwise make a computed line anew for each of their columns
+    rows = settled(lines).where(F.substring("line", 1, 6).isin("ATOM  ", "HETATM", "ATOM"))
     number = lambda c, kind: F.expr(f"try_cast(`{c}` as {kind})")
     rows = rows.withColumns({n: v for n, v in f.items()})
     rows = rows.withColumn("element", infer_element(F.col("element"), F.col("atom_name")))

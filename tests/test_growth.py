@@ -178,3 +178,14 @@ def test_near_copies_shuffle_sets_and_prefixes_once(spark, monkeypatch):
     assert len(re.findall(r"Exchange hashpartitioning\(sig#", plans["sets"])) == 2 and "Exchange hashpartitioning(cid#" not in plans["sets"]
     # prefixes go out by token once, with their class and group alone; the few classes in groups come to them
     assert "BroadcastHashJoin [cid#" in plans["queries"] and "comp#" not in plans["queries"].split("Window [")[1].split("Generate")[0]
+
+
+def test_a_rendered_line_is_made_once(spark):
+    from metalith.plans import registry
+    from metalith.sources import pdb
+
+    plan = registry.QUERIES["fixed_width_parse"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string(") == 1  # else each filter on a parsed column makes the text again
+    short = spark.createDataFrame([("a", 1, "ATOM      1  CA  GLY A   1       1.000   2.000   3.000"), ("a", 2, "HETATM"), ("a", 3, None)], "structure_id string, line_no long, line string")
+    got = pdb.parse_atoms(short).collect()
+    assert [(r["serial"], r["z"], r["occ"], r["bfac"], r["element"], r["charge"]) for r in got] == [(1, 3.0, 1.0, 0.0, "C", "")]
