@@ -226,7 +226,9 @@ def xyz_lines(spark, d):
 
 @query("xyz_round_trip", sql("SELECT structure_id AS source, element, round(x, 6) AS x, resname, atom_name FROM (SELECT structure_id, CASE WHEN length(element) = 1 THEN element ELSE element[1] || lower(element[2:]) END AS element, x, resname, atom_name FROM col)", "col"))
 def xyz_round_trip(spark, d):
-    col = _base(spark, d)[1].withColumn("ord", F.col("line_no"))
+    # dealt by structure once, for the collapse and the texts; only what is read of an atom is carried
+    raw = atoms(spark, d).select(*KEY, *A.SITE_KEY, "line_no", "altloc", "occ", "record", "element", "resname", "x", "y", "z").repartition("structure_id")
+    col = A.collapse_altloc(raw).withColumn("ord", F.col("line_no"))
     text = xyz.render(col, ["structure_id"], F.concat(F.lit("PDB="), F.col("structure_id")))
     lines = text.select(F.col("structure_id").alias("source"), F.posexplode(F.split(F.rtrim("xyz_text"), "\n")).alias("line_no", "line"))
     out = xyz.parse_xyz(lines)

@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metalith.operators.atoms import symbol
+from metalith.operators.atoms import let, settled, symbol
+
+
+def _words(text: Column) -> Column:
+    """What stands between white space, without a pattern to be matched at each place."""
+    for c in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def comment_map(comment: Column) -> Column:
     """``K=V`` words of a comment as a map; the last of a key wins, other words are left out."""
-    pairs = F.filter(F.split(F.trim(comment), r"\s+"), lambda t: F.instr(t, "=") > 1)
+    pairs = F.filter(_words(comment), lambda t: F.instr(t, "=") > 1)
     entry = lambda t: F.struct(F.substring_index(t, "=", 1).alias("key"), F.substring(t, F.instr(t, "=") + 1, F.length(t)).alias("value"))
-    entries = F.transform(pairs, entry)
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(last)
+    # bound once: lambdas inside would split the comment anew for each of its words; words are compared only where a key repeats
+    last = lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda o: o["key"] == e["key"]))
+    once = lambda all_: F.size(F.array_distinct(all_["key"])) == F.size(all_)
+    return let(F.transform(pairs, entry), lambda all_: F.map_from_entries(F.when(once(all_), all_).otherwise(last(all_))))
 
 
 def upsert(comment: Column, key: str, value: Column, drop: tuple[str, ...] = ()) -> Column:
@@ -26,9 +34,9 @@ def upsert(comment: Column, key: str, value: Column, drop: tuple[str, ...] = ())
 def parse_xyz(lines: DataFrame) -> DataFrame:
     """Atoms of XYZ lines ``(source, line_no, line)``: the two header lines are skipped, rows
     need a symbol and three numbers; ``meta`` is the comment's map."""
-    body = lines.where("line_no >= 2").withColumns({"_t": F.filter(F.split(F.trim(F.substring_index("line", "#", 1)), r"\s+"), lambda x: x != ""), "comment": F.when(F.instr("line", "#") > 0, F.trim(F.expr("substring(line, instr(line, '#') + 1)"))).otherwise(F.lit(""))})
+    body = lines.where("line_no >= 2").withColumns({"_t": _words(F.substring_index("line", "#", 1)), "comment": F.when(F.instr("line", "#") > 0, F.trim(F.expr("substring(line, instr(line, '#') + 1)"))).otherwise(F.lit(""))})
     n = lambda i: F.get("_t", F.lit(i)).try_cast("double")
-    body = body.where(F.size("_t") >= 4).select("source", "line_no", F.get("_t", F.lit(0)).alias("element"), n(1).alias("x"), n(2).alias("y"), n(3).alias("z"), "comment")
+    body = settled(body.select("source", "line_no", "_t", "comment")).where(F.size("_t") >= 4).select("source", "line_no", F.get("_t", F.lit(0)).alias("element"), n(1).alias("x"), n(2).alias("y"), n(3).alias("z"), "comment")
     return body.where("x is not null and y is not null and z is not null").withColumn("meta", comment_map(F.col("comment")))
 
 

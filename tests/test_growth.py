@@ -189,3 +189,19 @@ def test_a_rendered_line_is_made_once(spark):
     short = spark.createDataFrame([("a", 1, "ATOM      1  CA  GLY A   1       1.000   2.000   3.000"), ("a", 2, "HETATM"), ("a", 3, None)], "structure_id string, line_no long, line string")
     got = pdb.parse_atoms(short).collect()
     assert [(r["serial"], r["z"], r["occ"], r["bfac"], r["element"], r["charge"]) for r in got] == [(1, 3.0, 1.0, 0.0, "C", "")]
+
+
+def test_a_comment_is_split_once_and_atoms_are_dealt_once(spark):
+    from pyspark.sql import functions as F
+
+    from metalith.plans import registry
+    from metalith.sources import xyz
+
+    query = registry.QUERIES["xyz_round_trip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    # lines to atoms, then atoms by structure for the collapse and the texts
+    assert query.executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 2
+    # a text into lines, a line into words, a comment into words
+    assert query.optimizedPlan().toString().count("split(") <= 4
+    df = spark.createDataFrame([("A=1 B=2\tA=3  word =x C= B=4=5",), ("",), (None,), ("A=1\x0bB=2",)], "c string")
+    got = [r["m"] for r in df.select(xyz.comment_map(F.col("c")).alias("m")).collect()]
+    assert got == [{"A": "3", "C": "", "B": "4=5"}, {}, None, {"A": "1", "B": "2"}]
