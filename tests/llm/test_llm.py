@@ -387,6 +387,14 @@ def test_tables_beyond_the_broadcast(name, same, monkeypatch):
     same(queries.QUERIES[name], queries.ORACLES[name])
 
 
+def test_line_words(spark):
+    """A plain line is split as it is; any other white space still separates words."""
+    plain = ["a", "a b", "ä b c"]
+    odd = ["", " ", " a", "a ", "a  b", "a\tb", "a\x0bb\x0cc", "\r", "a b\r", "\ta"]
+    rows = spark.createDataFrame([(x,) for x in plain + odd], "x string").select("x", lines._words(F.col("x")).alias("w")).collect()
+    assert [(r.x, r.w) for r in rows] == [(x, re.findall(r"[^\x20\x09-\x0D]+", x)) for x in plain + odd]
+
+
 def test_line_families(spark):
     """Lines that differ from a common one in a few words, some of one token set, against all pairs."""
     rng = random.Random(4)
