@@ -331,17 +331,20 @@ def _verified(percent: int):
     return run
 
 
-def _grouped(cand: DataFrame, leaders: DataFrame, roots: DataFrame) -> DataFrame:
-    """``cid, grp, size, comp``: group, its number of classes and the component so far.
+def _grouped(leaders: DataFrame, roots: DataFrame) -> DataFrame:
+    """``cid, grp, size, comp``: group, its number of classes and the component so far, of the
+    classes that have company. All others are a group of their own, numbered -1 - cid.
 
     A leader's group whose members are all linked already is merged with all others of
     its component (numbered below 0): the answer is components, so nothing inside one
     is compared any more."""
-    c = cand.select("cid").join(leaders, "cid", "left").join(roots.select(F.col("node").alias("cid"), F.col("root").alias("comp")), "cid", "left")
+    none = F.lit(None).cast("long")
+    c = leaders.select("cid", "leader", none.alias("comp")).unionByName(leaders.select(F.col("leader").alias("cid"), none.alias("leader"), none.alias("comp")))
+    c = c.unionByName(roots.select(F.col("node").alias("cid"), none.alias("leader"), F.col("root").alias("comp"))).groupBy("cid").agg(F.max("leader").alias("leader"), F.max("comp").alias("comp"))
     c = c.select("cid", F.coalesce("leader", "cid").alias("led"), F.coalesce("comp", "cid").alias("comp"))
     one = c.groupBy("led").agg((F.min("comp") == F.max("comp")).alias("one"))
     c = c.join(one, "led").select("cid", "comp", F.when(F.col("one"), -1 - F.col("comp")).otherwise(F.col("led")).alias("grp"))
-    return c.join(c.groupBy("grp").agg(F.count("*").alias("size")), "grp")
+    return c.join(c.groupBy("grp").agg(F.count("*").alias("size")), "grp").where((F.col("size") > 1) | (F.col("grp") != -1 - F.col("cid")))
 
 
 def _looked_up(work: Scratch, cand: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -467,19 +470,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work.drop("probes")
 
     # across groups; a leader is in its own group unless it is near another leader
-    groups = work.put(_grouped(cand, members.where("near").select("cid", "leader"), inner), "groups")
+    groups = work.put(_grouped(members.where("near").select("cid", "leader"), inner), "groups")
     work.drop("members")
     # most classes are a group of their own, so few rows go to all prefixes, which stay where they are
-    some = work.put(groups.where((F.col("size") > 1) | (F.col("grp") != -1 - F.col("cid"))), "grouped")
-    placed = cand.select("cid", "n", "prefix").join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, "cid", "left")
+    placed = cand.select("cid", "n", "prefix").join(F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups, "cid", "left")
     placed = placed.withColumns({"grp": F.coalesce("grp", -1 - F.col("cid")), "size": F.coalesce("size", F.lit(1)), "comp": F.coalesce("comp", "cid")})
     rows_, met = _looked_up(work, placed, percent)
-    alone = met.where("gs = 1").select("cid", F.col("g").alias("grp")).join(groups.select("grp", F.col("cid").alias("other")), "grp")
+    alone = met.where("gs = 1").select("cid", F.col("g").alias("grp")).join(groups.select("grp", F.col("cid").alias("other")), "grp", "left").withColumn("other", F.coalesce("other", -1 - F.col("grp")))
     wanted = met.select("cid").union(alone.select(F.col("other").alias("cid"))).distinct().join(sets.select("cid"), "cid", "left_anti")
     sets = sets.unionByName(sets_of(work, texts, wanted, classes, words, rarity, "more-sets"))
     qualified = _qualified(work, met.where("gs > 1").select("cid", "g"), rows_, groups, sets, percent)
     pairs = _opened(work, rows_, qualified.unionByName(met.where("gs = 1").select("cid", "g")), percent)
-    work.drop("qualified", "looked-up", "queries", "groups", "grouped")
+    work.drop("qualified", "looked-up", "queries", "groups")
     checked = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
     links = checked.select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a long, b long")
     # of each component so far only its root goes on

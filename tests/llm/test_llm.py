@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from metalith.llm import decontaminate, jaccard, language, lines, mixing, quality, queries, secrets, sharding, tokens, toxicity
+from metalith.llm import components, decontaminate, jaccard, language, lines, mixing, quality, queries, secrets, sharding, tokens, toxicity
 
 from ..conftest import DATA
 
@@ -387,6 +387,19 @@ def test_tables_beyond_the_broadcast(name, same, monkeypatch):
     same(queries.QUERIES[name], queries.ORACLES[name])
 
 
+def test_components_broadcast_and_shuffled(spark, monkeypatch):
+    """Few roots are broadcast, many shuffled; groups are made of classes with company alone."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(20, 30), (40, 30)], "a long, b long")
+    want = [(k, 0) for k in range(13)] + [(k, 20) for k in (20, 30, 40)]
+    for most in (200_000, 0):
+        monkeypatch.setattr(components, "BROADCAST_ENDS", most)
+        roots = components.components(links, "a", "b")
+        assert sorted(map(tuple, roots.collect())) == want
+    leaders = spark.createDataFrame([(1, 2), (50, 51), (52, 51)], "cid long, leader long")
+    got = {r.cid: (r.grp, r.size, r.comp) for r in jaccard._grouped(leaders, roots).collect()}
+    assert got == {k: (-1, 13, 0) for k in range(13)} | {k: (-21, 3, 20) for k in (20, 30, 40)} | {k: (51, 3, k) for k in (50, 51, 52)}
+
+
 def test_line_words(spark):
     """A plain line is split as it is; any other white space still separates words."""
     plain = ["a", "a b", "ä b c"]
