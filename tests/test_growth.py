@@ -88,6 +88,38 @@ def test_sets_of_a_site_meet_their_structure_once(spark):
         assert got == want
 
 
+def test_kept_sites_and_their_sets_need_one_shuffle_of_lines(spark):
+    from pyspark.sql import functions as F
+
+    from metalith.operators import xyz_sets
+    from metalith.plans import registry
+    from metalith.scratch import stored
+    from metalith.sources.derived import atoms
+
+    out = registry.QUERIES["annotated_sets"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # the lines' own grouping and that by structure; no site, metal or place is joined, and no table is read but lineitem
+    assert plan.count("Join ") == 0 and plan.count("Aggregate [") == 2
+    assert [f for f in out.inputFiles() if not f.endswith("/lineitem.parquet")] == []
+    raw = stored(atoms(spark, "/root/testdata/sf0.001"), "raw")
+    apart = xyz_sets.annotated_sets(stored(xyz_sets.bases(raw), "bases"), raw).select("name", "set", "n", F.md5("xyz_text").alias("text_md5"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, apart.collect())) and apart.count() > 500
+
+
+def test_sites_of_one_row_are_those_of_joins(spark):
+    from metalith.operators import record
+    from metalith.operators.sites import SiteConfig
+
+    rng = random.Random(4)
+    line = lambda s, i: (s, 1 if s != "c" else None, i, i % 40, "HETATM", *rng.choice((("ZN", "ZN"), ("FE", "FE"), ("ZN", "FE"), ("N", "N"))), rng.choice(["", "A", "B"]), "LIG", "A", str(rng.randrange(25)), "", *(rng.choice([None, 1.0]) if rng.random() < 0.05 else round(rng.uniform(0, 16), 2) for _ in range(3)), rng.random(), 1.0)
+    ddl = "structure_id string, model int, line_no long, serial int, record string, element string, atom_name string, altloc string, resname string, chain string, resseq string, icode string, x double, y double, z double, occ double, bfac double"
+    raw = spark.createDataFrame([line(s, i) for s in "abc" for i in range(60)], ddl).repartition(3)
+    cols = ["structure_id", "root", "cluster_number", "cluster_type", "n_metals", "center", "c_alts", "siblings", "near"]
+    rows = lambda df: sorted(((*(r[c] for c in cols), *(None if r[k] is None else round(r[k], 9) for k in ("cx", "cy", "cz"))) for r in df.collect()), key=lambda r: (r[0], r[5]["line_no"]))
+    got, want = rows(record.selected_in(record.structures(raw), SiteConfig(cutoff=4.0))), rows(record.selected(raw, SiteConfig(cutoff=4.0)))
+    assert got == want and len(want) > 15 and max(r[4] for r in want) > 2 and {r[0] for r in want} == {"a", "b"}
+
+
 def test_targets_meet_their_structure_once(spark):
     from metalith.operators import record
     from metalith.operators.sites import SiteConfig
