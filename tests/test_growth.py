@@ -116,7 +116,7 @@ def test_sites_of_one_row_are_those_of_joins(spark):
     raw = spark.createDataFrame([line(s, i) for s in "abc" for i in range(60)], ddl).repartition(3)
     cols = ["structure_id", "root", "cluster_number", "cluster_type", "n_metals", "center", "c_alts", "siblings", "near"]
     rows = lambda df: sorted(((*(r[c] for c in cols), *(None if r[k] is None else round(r[k], 9) for k in ("cx", "cy", "cz"))) for r in df.collect()), key=lambda r: (r[0], r[5]["line_no"]))
-    got, want = rows(record.selected_in(record.structures(raw), SiteConfig(cutoff=4.0))), rows(record.selected(raw, SiteConfig(cutoff=4.0)))
+    got, want = rows(record.selected_in(record.with_places(record.structures(raw)), SiteConfig(cutoff=4.0))), rows(record.selected(raw, SiteConfig(cutoff=4.0)))
     assert got == want and len(want) > 15 and max(r[4] for r in want) > 2 and {r[0] for r in want} == {"a", "b"}
 
 
