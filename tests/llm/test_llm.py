@@ -433,6 +433,19 @@ def test_line_families(spark):
     assert got == want
 
 
+def test_lines_whichever_texts_are_counted(spark, monkeypatch):
+    """The counts only order tokens: no text, some or all of them counted give the same lines, with frequent tokens or without."""
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(60)}" for _ in range(30)] for _ in range(4)]
+    texts = ["\n".join(" ".join(f"x{rng.randrange(99)}" if rng.random() < 0.03 else w for w in rng.choice(base)) for _ in range(4)) for _ in range(40)]
+    df, got = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), []
+    for counted, heavy in ((0, 512), (20, 3), (1e15, 512)):
+        monkeypatch.setattr(lines, "SKETCH_TEXTS", counted)
+        monkeypatch.setattr(lines, "HEAVY", heavy)
+        got.append(sorted((r["_id"], tuple(r["removed"])) for r in lines.line_report(df).collect()))
+    assert got[0] == got[1] == got[2] and 40 < sum(len(r) for _, r in got[0]) < 160
+
+
 def test_language_scores_equal_the_kernel():
     """The multiplied-out product is the kernel with the landmarks, K^(-1/2) and the ridge weights."""
     texts = ["the cat and the dog", "der hund und die katze", "of that this with", "nicht das ist ein", "another the one", "eine und keine"]
